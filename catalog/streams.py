@@ -27,7 +27,7 @@ def _table_stream(spark: SparkSession, sf: str, name: str):
 
 
 @query("stream_event_ingest", """SELECT 'logs-' || strftime(ts, '%Y.%m.%d') AS index_name, event_type, count(*) AS docs,
-  CAST(max(epoch_ms(ts)) AS BIGINT) AS last_ms FROM events GROUP BY 1, 2""")
+  CAST(max(epoch_us(ts)) AS BIGINT) AS last_us FROM events GROUP BY 1, 2""")
 def stream_event_ingest(spark, sf):
     feed, out = staging_path(spark, "feed"), staging_path(spark, "ingested")
     lines = I.table(spark, sf, "events").select(
@@ -40,7 +40,7 @@ def stream_event_ingest(spark, sf):
     stored = store.read_index(spark, f"{out}/table", "logs")
     return stored.groupBy(
         F.concat_ws("-", "index_prefix", "index_date").alias("index_name"), "event_type"
-    ).agg(F.count("*").alias("docs"), F.unix_millis(F.max("@timestamp")).alias("last_ms"))
+    ).agg(F.count("*").alias("docs"), F.unix_micros(F.max("@timestamp")).alias("last_us"))
 
 
 @query("stream_event_histogram", f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS docs,
