@@ -239,12 +239,11 @@ def sql_shorten(source: str, key: str, text: str, stopwords: list[str]) -> str:
     plain = f"lower({text})"
     for filler in K.FILLERS:
         plain = f"replace({plain}, '{filler}', '')"
-    plain = f"regexp_replace({plain}, '{K.UNICODE_BLANK}+', ' ', 'g')"
-    plain = f"regexp_replace({plain}, '{K.UNICODE_NOT_WORD}', '', 'g')"
+    plain = f"regexp_replace({plain}, '{K.UNICODE_NOT_WORD_OR_BLANK}', '', 'g')"
     dropped = [w for w in stopwords if w not in K.KEEP_WORDS]
     listed = ", ".join(f"'{w}'" for w in dropped)
     return f"""word_lists AS (
-  SELECT {key}, regexp_split_to_array({plain}, ' +') AS words FROM {source}),
+  SELECT {key}, regexp_split_to_array({plain}, '{K.UNICODE_BLANK}+') AS words FROM {source}),
 positions AS (
   SELECT {key}, unnest(words) AS word, unnest(range(len(words))) AS pos FROM word_lists),
 firsts AS (

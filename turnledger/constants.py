@@ -58,7 +58,7 @@ NOT_WORD_OR_SPACE = r"[^\w\s]"
 # and letters, digits and underscore as word characters.
 UNICODE_BLANK = r"[\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\p{Z}]"
 UNICODE_NOT_BLANK = r"[^\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\p{Z}]"
-UNICODE_NOT_WORD = r"[^\p{L}\p{N}_ ]"
+UNICODE_NOT_WORD_OR_BLANK = r"[^\p{L}\p{N}_\t\n\x{0B}\f\r\x{1C}-\x{1F} \x{85}\p{Z}]"
 NOT_BRACKET = r"[^(){}\[\]]"
 NOT_TERM = r"[^\p{L}\p{N}]+"
 

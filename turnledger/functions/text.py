@@ -23,6 +23,10 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _contains_any(text: Column, parts: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+
+
 # ---- turn features ---------------------------------------------------------------
 
 
@@ -31,9 +35,15 @@ def word_count(text: Column | str) -> Column:
     return F.size(F.split(F.trim(_col(text)), K.SPACES))
 
 
+def single_spaced_word_count(text: Column | str) -> Column:
+    """`word_count` of a text whose only blanks are single spaces between words."""
+    text = _col(text)
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+
+
 def sentence_count(text: Column | str) -> Column:
     """Number of sentence ends, at least 1."""
-    return F.greatest(F.lit(1), F.size(F.split(_col(text), K.SENTENCE_END)) - 1)
+    return F.greatest(F.lit(1), F.regexp_count(_col(text), F.lit(K.SENTENCE_END)))
 
 
 def avg_word_length(chars: Column | str, words: Column | str) -> Column:
@@ -48,7 +58,12 @@ def has_code_block(text: Column | str) -> Column:
 def optimized_text(text: Column | str) -> Column:
     """Lower case without filler phrases and punctuation, single spaces."""
     lowered = F.lower(_col(text))
-    no_filler = F.regexp_replace(lowered, K.filler_pattern(), " ")
+    # Searching for the phrases is much cheaper than the pattern, and most texts of a
+    # corpus hold none of them.
+    no_filler = F.when(
+        _contains_any(lowered, [f + " " for f in K.FILLERS]),
+        F.regexp_replace(lowered, K.filler_pattern(), " "),
+    ).otherwise(lowered)
     no_punctuation = F.regexp_replace(no_filler, K.NOT_WORD_OR_SPACE, "")
     return F.trim(F.regexp_replace(no_punctuation, K.SPACES, " "))
 
@@ -62,7 +77,7 @@ def savings_pct(saved: Column | str, total: Column | str) -> Column:
 
 
 def _unicode_words(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(K.UNICODE_NOT_BLANK + "+"))
+    return F.regexp_extract_all(text, F.lit(K.UNICODE_NOT_BLANK + "+"), F.lit(0))
 
 
 def unicode_trim(text: Column | str) -> Column:
@@ -73,14 +88,14 @@ def unicode_trim(text: Column | str) -> Column:
 
 def num_words(text: Column | str) -> Column:
     """Words between Unicode blanks; 0 for null and empty text."""
-    return F.coalesce(_unicode_words(_col(text)), F.lit(0))
+    return F.coalesce(F.array_size(_unicode_words(_col(text))), F.lit(0))
 
 
 def approx_tokens(text: Column | str) -> Column:
     """0 for null or empty text, else the number of words but at least 1."""
     text = _col(text)
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(
-        F.greatest(F.lit(1), _unicode_words(text))
+        F.greatest(F.lit(1), F.array_size(_unicode_words(text)))
     )
 
 
@@ -91,10 +106,9 @@ def sentence_pieces(text: Column | str) -> Column:
 
 def mean_word_length(text: Column | str) -> Column:
     """Mean length of the words themselves; 0 when there is none."""
-    text = _col(text)
-    letters = F.length(F.regexp_replace(text, K.UNICODE_BLANK + "+", ""))
-    words = _unicode_words(text)
-    return F.when(words > 0, letters / words).otherwise(F.lit(0.0))
+    words = _unicode_words(_col(text))
+    letters = F.length(F.array_join(words, ""))
+    return F.coalesce(F.try_divide(letters, F.array_size(words)), F.lit(0.0))
 
 
 def shorten(text: Column | str, stopwords: Sequence[str] = K.BASIC_STOPWORDS,
@@ -107,17 +121,18 @@ def shorten(text: Column | str, stopwords: Sequence[str] = K.BASIC_STOPWORDS,
     empty text are returned unchanged.
     """
     text = _col(text)
-    no_filler = reduce(
-        lambda t, filler: F.replace(t, F.lit(filler), F.lit("")), fillers, F.lower(text)
-    )
-    plain = F.regexp_replace(
-        F.regexp_replace(no_filler, K.UNICODE_BLANK + "+", " "), K.UNICODE_NOT_WORD, ""
-    )
+    lowered = F.lower(text)
+    no_filler = F.when(
+        _contains_any(lowered, fillers),
+        reduce(lambda t, filler: F.replace(t, F.lit(filler), F.lit("")), fillers, lowered),
+    ).otherwise(lowered)
+    plain = F.regexp_replace(no_filler, K.UNICODE_NOT_WORD_OR_BLANK, "")
     kept = set(keep_words)
     dropped = [""] + [w for w in stopwords if w not in kept]
-    words = F.array_except(F.split(plain, " +"), F.array(*[F.lit(w) for w in dropped]))
-    short = F.array_join(words, " ")
-    return F.when(short == "", text).otherwise(short)
+    words = F.array_except(
+        F.split(plain, K.UNICODE_BLANK + "+"), F.array(*[F.lit(w) for w in dropped])
+    )
+    return F.coalesce(F.nullif(F.array_join(words, " "), F.lit("")), text)
 
 
 def shorten_prompt(text: Column | str, stopwords: Sequence[str] = K.ENGLISH_STOPWORDS) -> Column:
@@ -126,7 +141,7 @@ def shorten_prompt(text: Column | str, stopwords: Sequence[str] = K.ENGLISH_STOP
 
 
 def question_flag(text: Column | str) -> Column:
-    return F.lower(_col(text)).rlike("|".join(K.QUESTION_WORDS)).cast("int")
+    return _contains_any(F.lower(_col(text)), K.QUESTION_WORDS).cast("int")
 
 
 def estimate_tokens(text: Column | str) -> Column:
@@ -137,7 +152,8 @@ def estimate_tokens(text: Column | str) -> Column:
 def percent_less(before: Column | str, after: Column | str) -> Column:
     """How much smaller `after` is, in percent with two digits; 0 if nothing was there."""
     before, after = _col(before), _col(after)
-    return F.when(before > 0, F.round((before - after) / before * 100.0, 2)).otherwise(F.lit(0.0))
+    share = F.try_divide(before - after, before)
+    return F.coalesce(F.round(share * 100.0, 2), F.lit(0.0))
 
 
 def segment(text: Column | str) -> Column:
@@ -166,9 +182,8 @@ def code_keywords(text: Column | str) -> Column:
 def bracket_density(text: Column | str) -> Column:
     """Share of characters that are brackets; 0 for empty text."""
     text = _col(text)
-    chars = F.length(text)
     brackets = F.length(F.regexp_replace(text, K.NOT_BRACKET, ""))
-    return F.when(chars > 0, brackets / chars).otherwise(F.lit(0.0))
+    return F.coalesce(F.try_divide(brackets, F.length(text)), F.lit(0.0))
 
 
 # ---- term search -----------------------------------------------------------------

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnledger import constants as K
 from turnledger.functions.money import cost_usd, price_of, rate_for
-from turnledger.schemas import PRICE
 
 
 def price_list(spark: SparkSession, prices: dict[str, tuple[float, float]] | None = None) -> DataFrame:
-    """model, input, output: one row per model."""
-    rows = [(m, float(i), float(o)) for m, (i, o) in (prices or K.PRICES).items()]
-    return spark.createDataFrame(rows, PRICE)
+    """model, input, output: one row per model. An unfolded literal, whose size the
+    planner knows."""
+    return spark.range(1).select(F.inline(_price_array(prices or K.PRICES)))
 
 
 def _price_array(prices: dict[str, tuple[float, float]]) -> Column:
@@ -185,19 +184,19 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
             F.avg("x").alias("mean"),
         ).alias("b")
     ).scalar()
-    width = (F.col("b.high") - F.col("b.low")) / bins
-    position = F.floor((F.col("x") - F.col("b.low")) / width)
+    width = (F.col("high") - F.col("low")) / bins
+    position = F.floor((F.col("x") - F.col("low")) / width)
     return (
         values.withColumn("b", bounds)
-        .select(F.least(position, F.lit(bins - 1)).cast("int").alias("bin"), "b")
-        .groupBy("bin")
-        .agg(F.count("*").alias("n"), F.first("b").alias("b"))
+        .select("x", "b.low", "b.high", "b.mean")
+        .groupBy(F.least(position, F.lit(bins - 1)).cast("int").alias("bin"))
+        .agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("low", "high", "mean")])
         .select(
             "bin",
-            (F.col("b.low") + F.col("bin") * width).alias("bin_from"),
-            (F.col("b.low") + (F.col("bin") + 1) * width).alias("bin_to"),
+            (F.col("low") + F.col("bin") * width).alias("bin_from"),
+            (F.col("low") + (F.col("bin") + 1) * width).alias("bin_to"),
             "n",
-            F.col("b.mean").alias("mean"),
+            "mean",
         )
     )
 

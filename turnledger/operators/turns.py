@@ -61,7 +61,7 @@ def add_features(turns: DataFrame, value: str = "value") -> DataFrame:
         .withColumn("sentence_count", tx.sentence_count("raw_text"))
         .withColumn("avg_word_length", tx.avg_word_length("char_count", words))
         .withColumn("has_code_block", tx.has_code_block("raw_text"))
-        .withColumn("optimized_token_count", tx.word_count("optimized_text"))
+        .withColumn("optimized_token_count", tx.single_spaced_word_count("optimized_text"))
         .withColumn("token_savings", words - F.col("optimized_token_count"))
         .withColumn("savings_pct", tx.savings_pct("token_savings", words))
         .withColumn("is_human", F.coalesce(F.col("role") == "human", F.lit(False)))

@@ -18,14 +18,6 @@ SEGMENTED_CONVERSATION = T.StructType(
     [CONVERSATION["id"], T.StructField("first_turn", T.LongType()), CONVERSATION["conversations"]]
 )
 
-PRICE = T.StructType(
-    [
-        T.StructField("model", T.StringType()),
-        T.StructField("input", T.DoubleType()),
-        T.StructField("output", T.DoubleType()),
-    ]
-)
-
 # One JSON line of the live event feed. `timestamp` stays text: it is optional and
 # parsed by the stream (ISO 8601).
 EVENT_LINE = T.StructType(
