@@ -13,6 +13,7 @@ from turnledger import constants as K
 from turnledger.operators.normalize import human_or_gpt, nest_turns
 from turnledger.operators.scoring import LinearModel
 from turnledger.operators.turns import flat_turn_features
+from turnledger.sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -177,7 +178,7 @@ linear AS (
 
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, prompt."""
-    return prompts_of(table(spark, sf_dir, "documents"))
+    return prompts_of(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def prompts_of(documents: DataFrame) -> DataFrame:

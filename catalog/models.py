@@ -14,9 +14,9 @@ from catalog.registry import query
 from turnledger import constants as K
 from turnledger.functions import text as tx
 from turnledger.operators import ml, scoring
-from turnledger.operators.sampling import split_rows
+from turnledger.operators.sampling import in_first_part
 from turnledger.operators.turns import training_rows
-from turnledger.plans.train import train_and_test
+from turnledger.plans.train import model_rows, train_and_test
 
 
 def _vector(df: DataFrame, column: str, names: list[str]) -> DataFrame:
@@ -74,9 +74,8 @@ def ml_segment_metrics(spark, sf):
 
 def _fitted(spark, sf, job) -> DataFrame:
     """Metrics of the models that `job(train, test)` fits; wall times left out."""
-    train, test = train_and_test(I.features(spark, sf))
-    with ml.kept(train, test):
-        fitted = job(train, test)
+    with ml.kept(model_rows(I.features(spark, sf))) as rows:
+        fitted = job(*train_and_test(rows))
     return I.rounded(ml.metrics_frame(spark, fitted).drop("training_time_seconds"))
 
 
@@ -112,20 +111,23 @@ def ml_select_model(spark, sf):
 def _prompt_rows(spark, sf) -> DataFrame:
     """Request features of the prompts with token labels. The labels come from other
     measures of the text, because the tables hold no token counts of a service."""
-    featured = scoring.add_request_features(I.prompts(spark, sf))
+    # Nulls are dropped by the text: a test of the features would compute them twice.
+    prompts = I.prompts(spark, sf).filter(F.col("prompt").isNotNull())
+    featured = scoring.add_request_features(prompts)
     return featured.select(
         "doc_id",
         tx.segment("prompt").alias("segment"),
         *K.REQUEST_FEATURE_COLUMNS,
         tx.estimate_tokens("prompt").cast("double").alias("input_tokens"),
         (tx.sentence_pieces("prompt") * 20 + tx.code_keywords("prompt")).cast("double").alias("output_tokens"),
-    ).dropna()
+        in_first_part(["doc_id"]).alias("in_train"),
+    )
 
 
 @query("ml_segment_models")
 def ml_segment_models(spark, sf):
-    train, test = split_rows(_prompt_rows(spark, sf), ["doc_id"])
-    with ml.kept(train, test):
+    with ml.kept(_prompt_rows(spark, sf)) as rows:
+        train, test = train_and_test(rows)
         models = ml.fit_segments(train, "output_tokens", K.REQUEST_FEATURE_COLUMNS, max_iter=5)
         scored = ml.score_segments(test, models)
         metrics = ml.regression_metrics(scored, "output_tokens", keys=["segment"]).collect()
@@ -136,7 +138,6 @@ def ml_segment_models(spark, sf):
 
 @query("ml_forest_importance")
 def ml_forest_importance(spark, sf):
-    rows = _prompt_rows(spark, sf)
-    with ml.kept(rows):
+    with ml.kept(_prompt_rows(spark, sf)) as rows:
         fitted = ml.pipeline(ml.forest(), "output_tokens", K.REQUEST_FEATURE_COLUMNS).fit(rows)
     return I.rounded(ml.feature_importances(spark, fitted, K.REQUEST_FEATURE_COLUMNS))

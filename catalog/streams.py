@@ -65,7 +65,9 @@ SELECT doc_id, input_tokens, output_tokens, {SQL_REQUEST_COST} AS estimated_cost
 def stream_score_prompts(spark, sf):
     out = staging_path(spark, "answers")
     prompts = I.prompts_of(_table_stream(spark, sf, "documents"))
-    answers = prompt_stream.scored(prompts, I.MODEL)
+    answers = prompt_stream.scored(
+        prompts, I.MODEL, partitions=spark.sparkContext.defaultParallelism
+    )
     _finish(prompt_stream.start_scoring(answers, f"{out}/table", f"{out}/checkpoint", availableNow=True))
     return spark.read.parquet(f"{out}/table").select(
         "doc_id", "input_tokens", "output_tokens", "estimated_cost", "question_flag"

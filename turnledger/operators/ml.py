@@ -76,15 +76,13 @@ def regression_metrics(predictions: DataFrame, label: str | Column,
 
 
 @contextmanager
-def kept(*frames: DataFrame):
-    """Keep the frames in memory or on disk while models are fitted on them."""
-    for frame in frames:
-        frame.persist(StorageLevel.MEMORY_AND_DISK)
+def kept(rows: DataFrame):
+    """Keep narrow rows in memory or on disk while models are fitted on them."""
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        yield frames
+        yield rows
     finally:
-        for frame in frames:
-            frame.unpersist()
+        rows.unpersist()
 
 
 @dataclass

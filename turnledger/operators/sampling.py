@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from turnledger import constants as K
 from turnledger.functions.keys import hash_fraction
@@ -31,8 +31,13 @@ def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = K.SPLIT_
     )
 
 
-def split_rows(df: DataFrame, keys: Sequence[str], train_share: float = 0.8,
+def in_first_part(keys: Sequence[str], share: float = 0.8, seed: int = K.SPLIT_SEED) -> Column:
+    """True for the given share of the rows, chosen by key hash."""
+    return hash_fraction(keys, seed) < share
+
+
+def split_rows(df: DataFrame, keys: Sequence[str], share: float = 0.8,
                seed: int = K.SPLIT_SEED) -> tuple[DataFrame, DataFrame]:
-    """(train, test) by key hash: map-only, and stable when a task is run again."""
-    in_train = hash_fraction(keys, seed) < train_share
-    return df.filter(in_train), df.filter(~in_train)
+    """(train, test): map-only, and the same again when a task is repeated."""
+    first = in_first_part(keys, share, seed)
+    return df.filter(first), df.filter(~first)

@@ -8,16 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from turnledger import constants as K
 from turnledger.operators import ml
-from turnledger.operators.sampling import split_rows
+from turnledger.operators.sampling import in_first_part
 from turnledger.operators.turns import training_rows
 
 KEYS = ["record_id", "turn_index"]
 
 
-def train_and_test(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """80/20 split by turn, reduced to keys, features and labels."""
+def model_rows(turns: DataFrame) -> DataFrame:
+    """Keys, features, labels and `in_train`, which is true for 80 % of the turns."""
     columns = list(dict.fromkeys(KEYS + K.FEATURE_COLUMNS + [K.LABEL_COLUMN, K.OPT_LABEL_COLUMN]))
-    return split_rows(training_rows(turns).select(*columns), KEYS)
+    rows = training_rows(turns).select(*columns)
+    return rows.withColumn("in_train", in_first_part(KEYS))
+
+
+def train_and_test(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.filter("in_train"), rows.filter("NOT in_train")
 
 
 def train(spark: SparkSession, processed: str, models_dir: str | None = None,
@@ -28,8 +33,9 @@ def train(spark: SparkSession, processed: str, models_dir: str | None = None,
     Returns the name of the best model and one metrics row per model; saves every
     model below `models_dir` if given.
     """
-    train_rows, test_rows = train_and_test(spark.read.parquet(processed))
-    with ml.kept(train_rows, test_rows):
+    rows = model_rows(spark.read.parquet(processed))
+    with ml.kept(rows):
+        train_rows, test_rows = train_and_test(rows)
         best, fitted = ml.select_model(train_rows, test_rows, features, threshold)
         fitted.append(
             ml.fit("ridge_opt_token_count", ml.ridge(), train_rows, test_rows,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from turnledger.schemas import CONVERSATION
+from turnledger.sources.json_array import array_elements
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType = CONVERSATION) -> DataFrame:
@@ -36,22 +37,6 @@ def read_conversations(spark: SparkSession, json_path: str) -> DataFrame:
     return read_json_array(spark, json_path)
 
 
-def array_elements(spark: SparkSession, path: str) -> DataFrame:
-    """The elements of JSON array files as JSON text, one row each (column `value`).
-
-    No schema is needed: elements pass through as variants, so unknown fields and
-    explicit nulls stay. Parallel over files, not inside one. Malformed input is skipped.
-    """
-    whole = (
-        spark.read.option("multiLine", True)
-        .option("singleVariantColumn", "content")
-        .option("mode", "DROPMALFORMED")
-        .json(path)
-    )
-    elements = spark.tvf.variant_explode(F.col("content").outer())
-    return whole.lateralJoin(elements).select(F.to_json("value").alias("value"))
-
-
 def write_jsonl(df: DataFrame, path: str) -> None:
     """One JSON object per row and line; null fields are written as nulls."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
@@ -61,13 +46,17 @@ def json_array_to_jsonl(spark: SparkSession, source: str, target: str,
                         limit: int | None = None) -> int:
     """Rewrite JSON array files as JSON lines; returns the number of records.
 
-    `limit` is for trial runs. The count is observed while writing.
+    Whatever fields the records have are kept. Large files are split between tasks.
+    `limit` takes the first records only, for trial runs.
     """
-    from pyspark.sql import Observation
-
     records = array_elements(spark, source)
     if limit is not None:
-        records = records.limit(limit)
+        records = records.orderBy("file", "element").limit(limit)
     written = Observation()
-    records.observe(written, F.count(F.lit(1)).alias("records")).write.mode("overwrite").text(target)
+    (
+        records.select("value")
+        .observe(written, F.count(F.lit(1)).alias("records"))
+        .write.mode("overwrite")
+        .text(target)
+    )
     return int(written.get["records"])

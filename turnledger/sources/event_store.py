@@ -7,7 +7,7 @@ range of days lists only the matching folders.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType, TimestampType
 
 DAY_FORMAT = "yyyy.MM.dd"
@@ -70,8 +70,6 @@ def bulk_append(lines: DataFrame, schema: StructType, root: str, index_prefix: s
                 ts: str = "timestamp") -> dict[str, int]:
     """Append JSON lines in one job; rows that do not fit the schema go to the side
     index `corrupt` with their raw text. Returns the numbers of good and bad rows."""
-    from pyspark.sql import Observation
-
     parsed = parse_lines(lines, schema)
     bad = F.col("_corrupt_record").isNotNull()
     prefix = F.when(bad, F.lit(CORRUPT_PREFIX)).otherwise(F.lit(index_prefix))

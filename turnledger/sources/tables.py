@@ -14,6 +14,17 @@ def write_parquet(df: DataFrame, path: str, max_rows_per_file: int = MAX_ROWS_PE
     df.write.mode("overwrite").option("maxRecordsPerFile", max_rows_per_file).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan with fewer splits than the session has cores, on all of them.
+
+    Worth its shuffle before expensive text expressions over a few files. Inputs with
+    enough splits, which is every large one, are returned as they are. Only for plain
+    scans: the number of splits is read off the plan.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Small result tables such as statistics; null fields are kept as nulls."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)

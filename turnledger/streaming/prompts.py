@@ -8,8 +8,14 @@ from pyspark.sql.streaming import StreamingQuery
 from turnledger.operators.scoring import LinearModel, score_prompts
 
 
-def scored(prompts: DataFrame, model: LinearModel, text: str = "prompt") -> DataFrame:
-    """The batch answer of `scoring.score_prompts`; it keeps no state."""
+def scored(prompts: DataFrame, model: LinearModel, text: str = "prompt",
+           partitions: int | None = None) -> DataFrame:
+    """The batch answer of `scoring.score_prompts`; it keeps no state.
+
+    `partitions` spreads the rows of a trigger that has few but large files.
+    """
+    if partitions is not None:
+        prompts = prompts.repartition(partitions)
     return score_prompts(prompts, model, text)
 
 
