@@ -8,7 +8,7 @@ range of days lists only the matching folders.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
-from pyspark.sql.types import StructType, TimestampType
+from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 DAY_FORMAT = "yyyy.MM.dd"
 CORRUPT_PREFIX = "corrupt"
@@ -58,7 +58,7 @@ def append(docs: DataFrame, root: str) -> None:
 
 def parse_lines(lines: DataFrame, schema: StructType, column: str = "value") -> DataFrame:
     """JSON lines -> schema columns and `_corrupt_record`, which is null for good rows."""
-    full = StructType(schema.fields).add("_corrupt_record", "string")
+    full = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
     return lines.select(
         F.from_json(
             column, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
