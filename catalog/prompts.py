@@ -9,7 +9,9 @@ from catalog.registry import query
 from turnledger import constants as K
 from turnledger.functions import text as tx
 from turnledger.functions.money import request_cost
-from turnledger.operators import cost, scoring
+from turnledger.operators import cost, events as ev, scoring
+from turnledger.sources import event_store as store
+from turnledger.storage import staging_path
 
 
 def _measure(name: str, sql: str, measure, alias: str) -> None:
@@ -185,6 +187,32 @@ def score_batch_summary(spark, sf):
     return I.rounded(scoring.batch_summary(scored))
 
 
+@query("event_prediction_documents", f"""WITH {I.SCORED}, {I.sql_shorten('trimmed', 'doc_id', 'prompt', K.ENGLISH_STOPWORDS)},
+documented AS (
+  SELECT strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 HOUR * doc_id, '%Y.%m.%d') AS index_date, input_tokens, output_tokens,
+    length(prompt) AS prompt_chars, {I.sql_words('prompt')} AS prompt_words,
+    length(coalesce(short, prompt, '')) AS optimized_prompt_chars
+  FROM scored LEFT JOIN shortened USING (doc_id))
+SELECT index_date, count(*) AS docs, CAST(sum(prompt_chars) AS BIGINT) AS prompt_chars, CAST(sum(prompt_words) AS BIGINT) AS prompt_words,
+  CAST(sum(optimized_prompt_chars) AS BIGINT) AS optimized_prompt_chars, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens
+FROM documented GROUP BY 1""")
+def event_prediction_documents(spark, sf):
+    """Every scored prompt as a document of the event table, one hour after the other."""
+    at = F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, doc_id)")
+    scored = scoring.score_prompts(I.prompts(spark, sf), I.MODEL).withColumn("ts", at)
+    docs = ev.prediction_documents(scored, "prompt", "ridge_token_count")
+    root = staging_path(spark, "predictions")
+    store.append(store.documents(docs, "metrics"), root)
+    return (
+        store.read_index(spark, root, "metrics")
+        .groupBy("index_date")
+        .agg(
+            F.count("*").alias("docs"),
+            *[F.sum(c).alias(c) for c in ("prompt_chars", "prompt_words", "optimized_prompt_chars", "total_tokens")],
+        )
+    )
+
+
 @query("cost_projection", f"""WITH {I.SCORED}, priced AS (SELECT doc_id, {SQL_REQUEST_COST} AS estimated_cost FROM scored)
 SELECT doc_id, CAST(t.turns AS INTEGER) AS turns, {I.rnd('estimated_cost * t.turns')} AS projected_cost
 FROM priced, (SELECT unnest(range(1, 11)) AS turns) t""")

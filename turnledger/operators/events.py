@@ -10,7 +10,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from turnledger.functions.text import has_term
+from turnledger.functions.text import has_term, num_words, unicode_trim
 
 
 # ---- filters -----------------------------------------------------------------------
@@ -129,6 +129,57 @@ def averages_over_time(events: DataFrame, metrics: list[str], ts: str = "ts",
     return wide.unpivot(["bucket_start"], metrics, "metric", "average")
 
 
+# ---- documents of our own jobs -----------------------------------------------------------
+
+
+def training_documents(metrics: DataFrame, dataset_size: int, at: datetime) -> DataFrame:
+    """Model metrics (`ml.metrics_frame`) as event documents with a `metrics` struct."""
+    return metrics.select(
+        F.lit(at).alias("ts"),
+        F.lit("model_training").alias("event_type"),
+        "model_name",
+        F.struct(
+            "mae", "rmse", "r2", "training_time_seconds", F.lit(dataset_size).alias("dataset_size")
+        ).alias("metrics"),
+    )
+
+
+def processing_document(rows: DataFrame, operation: str, seconds: float, at: datetime) -> DataFrame:
+    """One document about a finished job over `rows`, with its throughput."""
+    counted = rows.agg(F.count("*").alias("rows_processed"))
+    return counted.select(
+        F.lit(at).alias("ts"),
+        F.lit("data_processing").alias("event_type"),
+        F.lit(operation).alias("operation"),
+        "rows_processed",
+        F.lit(seconds).alias("processing_time_seconds"),
+        throughput("rows_processed", F.lit(seconds)).alias("throughput_rows_per_sec"),
+    )
+
+
+def prediction_documents(answers: DataFrame, prompt: str, model_name: str,
+                         ts: str = "ts") -> DataFrame:
+    """Answers of `scoring.score_prompts` as one document per request."""
+    trimmed = unicode_trim(prompt)
+    return answers.select(
+        ts,
+        F.lit("prediction").alias("event_type"),
+        F.lit(model_name).alias("model_name"),
+        F.lit("/predict").alias("endpoint"),
+        F.lit("POST").alias("method"),
+        F.length(trimmed).alias("prompt_chars"),
+        num_words(prompt).alias("prompt_words"),
+        F.length("optimized_prompt").alias("optimized_prompt_chars"),
+        "input_tokens",
+        "output_tokens",
+        "total_tokens",
+        "estimated_cost",
+        "token_savings_percent",
+        "compression_percent",
+        "question_flag",
+    )
+
+
 # ---- summaries ----------------------------------------------------------------------------
 
 

@@ -178,8 +178,11 @@ def fit_segments(train: DataFrame, label: str, features: Sequence[str],
 
 def score_segments(df: DataFrame, models: dict[str, PipelineModel],
                    segment: str = "segment") -> DataFrame:
-    """Every row scored by the model of its segment. Each branch filters before it
-    scores, so a row is scored once."""
+    """Every row scored by the model of its segment.
+
+    The input is filtered once per segment and each row is scored once. Give it narrow
+    feature rows (kept or from a table), so that no text is read three times.
+    """
     scored = [
         model.transform(df.filter(F.col(segment) == name)).drop("raw_features", "features")
         for name, model in models.items()

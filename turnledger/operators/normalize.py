@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Turns kept in one nested row. Longer conversations continue in further rows, so
 # that no conversation, however long, has to fit into one task's memory.
-SEGMENT_TURNS = 4096
+SEGMENT_TURNS = 1024
 
 # Rows numbered by one window task in `dense_positions`.
 POSITION_SPAN = 1_000_000

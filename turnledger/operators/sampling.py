@@ -15,20 +15,24 @@ def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = K.SPLIT_
     """The `n` rows with the smallest key hashes (all rows if there are fewer).
 
     `keys` identify a row. A plain `limit(n)` before a write makes every task ship n
-    rows to one task; here a row count first gives a hash bound that lets through
-    little more than n rows in total, and only those reach the final sort. The slack
-    is twenty standard deviations, so the bound does not cut into the sample.
+    rows to one task. Here the n-th smallest hash is looked up first, from key columns
+    only, and the rows are then picked where they are. For the lookup a row count gives
+    a bound that lets through little more than n hashes in total; its slack is twenty
+    standard deviations, so it does not cut into the sample.
     """
     bound = (n + 20.0 * math.sqrt(n) + 1000.0) / df.agg(
         F.greatest(F.count("*"), F.lit(1)).alias("rows")
     ).scalar()
-    return (
-        df.withColumn("_position", hash_fraction(keys, seed))
-        .filter(F.col("_position") < bound)
-        .orderBy("_position", *keys)
+    position = F.struct(hash_fraction(keys, seed).alias("hash"), *keys)
+    last = (
+        df.select(position.alias("position"))
+        .filter(F.col("position.hash") < bound)
+        .orderBy("position")
         .limit(n)
-        .drop("_position")
+        .agg(F.max("position").alias("last"))
+        .scalar()
     )
+    return df.filter(position <= last)
 
 
 def in_first_part(keys: Sequence[str], share: float = 0.8, seed: int = K.SPLIT_SEED) -> Column:

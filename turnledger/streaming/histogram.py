@@ -10,8 +10,9 @@ from turnledger.operators.events import over_time
 
 def windowed(events: DataFrame, *aggregates: Column, ts: str = "ts", bucket: str = "1 day",
              watermark: str = "1 hour", keys: list[str] | None = None) -> DataFrame:
-    """The batch series of `events.over_time` on a stream. The watermark bounds the
-    state: windows older than it are closed and later events for them are left out."""
+    """The batch series of `events.over_time` on a stream. With `start_append` the
+    watermark bounds the state: windows older than it are written and forgotten, and
+    later events for them are left out."""
     return over_time(
         events.withWatermark(ts, watermark), *aggregates, ts=ts, bucket=bucket, keys=keys
     )
@@ -31,7 +32,8 @@ def start_append(series: DataFrame, path: str, checkpoint: str, **trigger) -> St
 
 def start_snapshot(series: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
     """Keep the whole series, open windows included, as a table that every trigger
-    replaces. Its size is windows times keys."""
+    replaces. Table and state hold windows times keys rows and nothing is forgotten:
+    meant for coarse buckets."""
     def replace(batch: DataFrame, _batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(path)
 
