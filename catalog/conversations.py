@@ -139,7 +139,7 @@ PARTLY_NAMED = I.TURNS + """,
 kept AS (SELECT DISTINCT conv_id FROM turns WHERE conv_id % 7 <> 3),
 named AS (
   SELECT conv_id, CASE conv_id % 3 WHEN 0 THEN 'c' || conv_id WHEN 1 THEN CAST(conv_id AS VARCHAR)
-    ELSE 'eabf_' || (row_number() OVER (ORDER BY conv_id) - 1 + 5) END AS id
+    ELSE 'chats_' || (row_number() OVER (ORDER BY conv_id) - 1 + 5) END AS id
   FROM kept)"""
 
 
@@ -147,7 +147,7 @@ named AS (
 SELECT n.id, t.turn_index, t.role, t.value FROM named n JOIN turns t USING (conv_id)""")
 def norm_sharegpt(spark, sf):
     return _exploded(
-        normalize.from_nested(_partly_named(spark, sf), "eabf", "position", start=5)
+        normalize.from_nested(_partly_named(spark, sf), "chats", "position", start=5)
     )
 
 
@@ -208,7 +208,7 @@ SELECT id, count(*) AS turns FROM (
   SELECT id FROM linear WHERE turns >= 2) GROUP BY id""")
 def norm_union_sources(spark, sf):
     union = normalize.union_sources(
-        normalize.from_nested(_partly_named(spark, sf), "eabf", "position", start=5),
+        normalize.from_nested(_partly_named(spark, sf), "chats", "position", start=5),
         normalize.split_pairs(_pairs(spark, sf)),
         trees.linear_conversations(I.replies(spark, sf), "position"),
     )

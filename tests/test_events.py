@@ -80,11 +80,14 @@ def test_documents_of_jobs(spark, tmp_path):
     from turnledger.operators import ml
     from turnledger.sources import event_store as store
 
-    metrics = spark.createDataFrame([("m", "t", "y", 2.0, 1.0, 0.5, 10, 3.5, None)], ml.METRICS_SCHEMA)
-    docs = ev.training_documents(metrics, 1000, T0)
+    metrics = spark.createDataFrame([("m", "t", "y", 2.0, 1.0, 0.5, 10, 3.5, None)], ml.METRICS_SCHEMA).withColumn(
+        "dataset_size", F.lit(1000)
+    )
+    docs = ev.training_documents(metrics, T0)
     store.append(store.documents(docs, "metrics"), f"{tmp_path}/e")
     back = store.read_index(spark, f"{tmp_path}/e", "metrics").select("*", "metrics.*")
     assert ev.training_summary(back, "m", 7).first().average_rmse == 2.0
     assert back.first().metrics.dataset_size == 1000 and back.first().index_date == "2024.03.01"
-    job = ev.processing_document(spark.range(50), "preprocess", 4.0, T0).first()
-    assert (job.rows_processed, job.throughput_rows_per_sec) == (50, 12.5)
+    stats = spark.createDataFrame([(50, 0.5)], "total_turns int, avg_savings_pct double")
+    job = ev.processing_document(stats, "total_turns", "preprocess", 4.0, T0).first()
+    assert (job.rows_processed, job.throughput_rows_per_sec, job.avg_savings_pct) == (50, 12.5, 0.5)

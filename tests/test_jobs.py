@@ -1,0 +1,32 @@
+import json
+
+import pytest
+
+from turnledger.__main__ import main
+from turnledger.operators import events as ev
+from turnledger.sources import event_store as store
+
+
+def test_all_jobs_in_a_row(spark, conversations, tmp_path):
+    rows = [json.loads(r[0]) for r in conversations.selectExpr("to_json(struct(*))").collect()]
+    (tmp_path / "raw.json").write_text(json.dumps(rows, indent=2))
+    raw, out, events = f"{tmp_path}/raw.json", f"{tmp_path}/out", f"{tmp_path}/events"
+    main(["convert", raw, f"{tmp_path}/raw.jsonl"], spark)
+    main(["preprocess", raw, out, "--events", events], spark)
+    main(["train", out, "--folds", "2", "--events", events], spark)
+    main(["cost", out, "--model", "claude-3-haiku", "--events", events], spark)
+    assert spark.read.parquet(f"{out}/processed").count() == 800
+    evaluation = spark.read.json(f"{out}/evaluation")
+    assert evaluation.filter("best").count() == 1 and evaluation.first().dataset_size == 800
+    trainings = store.read_index(spark, events, "metrics")
+    assert trainings.count() == 3
+    jobs = {r.operation: r for r in store.read_index(spark, events, "events").collect()}
+    assert jobs["preprocess"].rows_processed == 800
+    assert jobs["cost_analysis"].rows_processed == 200 and jobs["cost_analysis"].model == "claude-3-haiku"
+    summary = ev.training_summary(trainings.select("*", "metrics.*"), "ridge_token_count", 7).first()
+    assert summary.total_trainings == 1 and summary.average_r2 > 0.9
+
+
+def test_unknown_price_model(spark):
+    with pytest.raises(SystemExit):
+        main(["cost", "out", "--model", "unknown"], spark)

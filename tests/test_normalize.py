@@ -19,11 +19,14 @@ def test_generated_ids_count_kept_rows(spark):
     assert ids == {"a", "7", "src_102", "src_103"}
 
 
-@pytest.mark.parametrize("span", [1, 7, 1000])
-def test_dense_positions(spark, span):
-    numbers = random.Random(1).sample(range(-500, 5000), 300)
+@pytest.mark.parametrize("parts", [None, 1, 7, 1000])
+def test_dense_positions(spark, parts):
+    # Most values in a small cluster, the others far apart.
+    rng = random.Random(1)
+    numbers = list({rng.randrange(400) for _ in range(900)} | {rng.randrange(-(10**15), 10**15) for _ in range(50)})
+    rng.shuffle(numbers)
     df = spark.createDataFrame([(n,) for n in numbers], "n long")
-    got = {r.n: r.dense_position for r in N.dense_positions(df, "n", span).collect()}
+    got = {r.n: r.dense_position for r in N.dense_positions(df, "n", parts).collect()}
     assert got == {n: i for i, n in enumerate(sorted(numbers))}
 
 

@@ -96,7 +96,10 @@ def test_event_table_prunes_folders(spark, tmp_path):
     docs = store.read_index(spark, root, "metrics", "2024.01.02", "2024.01.03")
     assert docs.count() == 20
     plan = docs._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(index_prefix" in plan and "index_date" in plan
+    assert "PartitionFilters: [isnotnull(index_date" in plan
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("absent", T.StringType())])
+    given = store.read_index(spark, root, "logs", schema=schema)
+    assert given.columns == ["event_id", "absent", "index_prefix", "index_date"] and given.count() == 3
     per_index = store.docs_per_index(spark.read.parquet(root)).collect()
     assert [r.index_name for r in per_index][:1] == ["logs-2024.01.01"] and per_index[-1].docs == 10
     recent = ev.last_days_of_index(docs, 1, datetime(2024, 1, 3, 23, 30))

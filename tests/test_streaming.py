@@ -31,7 +31,12 @@ def test_ingest_resumes_and_fills_missing_times(spark, tmp_path):
     (feed / "2.json").write_text("\n".join(json.dumps(x) for x in lines[2:]))
     run(start())
     run(start())
-    got = {r.event_type: r for r in store.read_index(spark, out, "logs").collect()}
+    # A file of a batch that never committed is not part of the table.
+    stray = next((tmp_path / "table" / "index_prefix=logs" / "index_date=2024.01.05").glob("*.parquet"))
+    (stray.parent / "part-stray.parquet").write_bytes(stray.read_bytes())
+    got = store.read_index(spark, out, "logs").collect()
+    assert len(got) == 4 and {r.index_prefix for r in got} == {"logs"}
+    got = {r.event_type: r for r in got}
     assert len(got) == 4 and {r.pipeline for r in got.values()} == {"t"}
     assert got["a"].index_date == "2024.01.05" and got["b"].index_date == "2024.01.06"
     today = datetime.now() - timedelta(days=1)

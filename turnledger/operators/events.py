@@ -11,6 +11,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnledger.functions.text import has_term, num_words, unicode_trim
+from turnledger.sources.event_store import DAY_FORMAT, UNKNOWN_DAY
 
 
 # ---- filters -----------------------------------------------------------------------
@@ -47,13 +48,20 @@ def matching(events: DataFrame, column: str, terms: str | list[str]) -> DataFram
     return events.filter(has_term(column, terms))
 
 
-def retained(docs: DataFrame, days: int, as_of: date | Column | None = None,
-             ts: str = "ts") -> DataFrame:
-    """Documents of the last `days` daily indices; decided on `index_date` alone, so
-    expired folders are skipped without opening a file."""
-    day = F.to_date(_reference_time(docs, ts, as_of))
-    oldest = F.date_format(F.date_sub(day, days), "yyyy.MM.dd")
-    return docs.filter(F.col("index_date") >= oldest)
+def retained(docs: DataFrame, days: int, as_of: date | None = None) -> DataFrame:
+    """Documents of the event table from the last `days` days before `as_of` (the latest
+    daily index if not given).
+
+    Decided on `index_date` alone: neither finding the latest day nor the filter opens
+    files of other days. Documents without a day are kept.
+    """
+    if as_of is None:
+        days_only = docs.filter(F.col("index_date") != UNKNOWN_DAY)
+        latest = days_only.agg(F.max("index_date").alias("latest")).scalar()
+        last = F.to_date(latest, DAY_FORMAT)
+    else:
+        last = F.lit(as_of)
+    return docs.filter(F.col("index_date") >= F.date_format(F.date_sub(last, days), DAY_FORMAT))
 
 
 # ---- terms and numbers ----------------------------------------------------------------
@@ -132,28 +140,28 @@ def averages_over_time(events: DataFrame, metrics: list[str], ts: str = "ts",
 # ---- documents of our own jobs -----------------------------------------------------------
 
 
-def training_documents(metrics: DataFrame, dataset_size: int, at: datetime) -> DataFrame:
-    """Model metrics (`ml.metrics_frame`) as event documents with a `metrics` struct."""
+def training_documents(metrics: DataFrame, at: datetime) -> DataFrame:
+    """Model metrics of `plans.train` as event documents with a `metrics` struct."""
     return metrics.select(
         F.lit(at).alias("ts"),
         F.lit("model_training").alias("event_type"),
         "model_name",
-        F.struct(
-            "mae", "rmse", "r2", "training_time_seconds", F.lit(dataset_size).alias("dataset_size")
-        ).alias("metrics"),
+        F.struct("mae", "rmse", "r2", "training_time_seconds", "dataset_size").alias("metrics"),
     )
 
 
-def processing_document(rows: DataFrame, operation: str, seconds: float, at: datetime) -> DataFrame:
-    """One document about a finished job over `rows`, with its throughput."""
-    counted = rows.agg(F.count("*").alias("rows_processed"))
-    return counted.select(
+def processing_document(result: DataFrame, rows: str, operation: str, seconds: float,
+                        at: datetime) -> DataFrame:
+    """A one-row result (statistics, totals) as the document of the job that made it;
+    `rows` is the column with the number of rows it went over."""
+    return result.select(
         F.lit(at).alias("ts"),
         F.lit("data_processing").alias("event_type"),
         F.lit(operation).alias("operation"),
-        "rows_processed",
-        F.lit(seconds).alias("processing_time_seconds"),
-        throughput("rows_processed", F.lit(seconds)).alias("throughput_rows_per_sec"),
+        F.col(rows).cast("long").alias("rows_processed"),
+        F.lit(float(seconds)).alias("processing_time_seconds"),
+        throughput(rows, F.lit(float(seconds))).alias("throughput_rows_per_sec"),
+        *[c for c in result.columns if c != rows],
     )
 
 

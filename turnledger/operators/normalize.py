@@ -9,13 +9,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from turnledger.storage import shared_dir
+
 # Turns kept in one nested row. Longer conversations continue in further rows, so
 # that no conversation, however long, has to fit into one task's memory.
 SEGMENT_TURNS = 1024
 
-# Rows numbered by one window task in `dense_positions`.
-POSITION_SPAN = 1_000_000
-
 
 def human_or_gpt(role: Column, human: str) -> Column:
     """`human` -> human; every other role, missing ones included, -> gpt."""
@@ -33,25 +32,33 @@ def map_roles(messages: Column) -> Column:
     )
 
 
-def dense_positions(df: DataFrame, order: str, span: int = POSITION_SPAN) -> DataFrame:
-    """(order, dense_position): 0, 1, 2, ... in the order of a unique integer column.
+def dense_positions(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
+    """(order, dense_position): 0, 1, 2, ... in the order of a column with unique values.
 
     A window over everything would sort all rows in one task. Here rows are numbered
-    inside ranges of `span` order values and shifted by the number of rows in the
-    ranges before; only the range totals meet in one place.
+    inside the parts of a range partitioning, which are even whatever the values are,
+    and shifted by the number of rows in the parts before. The parts are checkpointed,
+    because they come from a sample and must stay the same; only the order column is
+    written.
     """
-    ranges = df.select(F.col(order).alias("_order")).withColumn(
-        "_range", F.floor(F.col("_order") / span)
+    shared_dir(df.sparkSession)
+    values = df.select(F.col(order).alias("_order"))
+    ranged = (
+        values.repartitionByRange("_order")
+        if parts is None
+        else values.repartitionByRange(parts, "_order")
     )
-    totals = ranges.groupBy("_range").agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+    placed = ranged.withColumn("_part", F.spark_partition_id()).checkpoint()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (
+        placed.groupBy("_part")
+        .agg(F.count("*").alias("_rows"))
+        .select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_order")) - 1
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_order")) - 1
     return (
-        ranges.withColumn("_inside", inside)
-        .join(offsets, "_range")
+        placed.withColumn("_inside", inside)
+        .join(offsets, "_part")
         .select(
             F.col("_order").alias(order),
             (F.col("_inside") + F.col("_offset")).cast("long").alias("dense_position"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from turnledger import constants as K
 from turnledger.operators import ml
@@ -35,6 +35,7 @@ def train(spark: SparkSession, processed: str, models_dir: str | None = None,
     """
     rows = model_rows(spark.read.parquet(processed))
     with ml.kept(rows):
+        dataset_size = rows.count()
         train_rows, test_rows = train_and_test(rows)
         best, fitted = ml.select_model(train_rows, test_rows, features, threshold)
         fitted.append(
@@ -45,4 +46,5 @@ def train(spark: SparkSession, processed: str, models_dir: str | None = None,
     if models_dir is not None:
         for f in fitted:
             ml.save(f.model, f"{models_dir.rstrip('/')}/{f.name}")
-    return best.name, ml.metrics_frame(spark, fitted)
+    metrics = ml.metrics_frame(spark, fitted).withColumn("dataset_size", F.lit(dataset_size))
+    return best.name, metrics

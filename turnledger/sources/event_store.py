@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 DAY_FORMAT = "yyyy.MM.dd"
 CORRUPT_PREFIX = "corrupt"
+UNKNOWN_DAY = "unknown"
 
 
 def utc(df: DataFrame, ts: str) -> Column:
@@ -74,7 +75,7 @@ def bulk_append(lines: DataFrame, schema: StructType, root: str, index_prefix: s
     bad = F.col("_corrupt_record").isNotNull()
     prefix = F.when(bad, F.lit(CORRUPT_PREFIX)).otherwise(F.lit(index_prefix))
     docs = documents(parsed.withColumn(ts, F.try_to_timestamp(ts)), prefix, ts)
-    docs = docs.withColumn("index_date", F.coalesce("index_date", F.lit("unknown")))
+    docs = docs.withColumn("index_date", F.coalesce("index_date", F.lit(UNKNOWN_DAY)))
     counted = Observation()
     append(
         docs.observe(
@@ -87,10 +88,17 @@ def bulk_append(lines: DataFrame, schema: StructType, root: str, index_prefix: s
     return {k: int(v) for k, v in counted.get.items()}
 
 
-def read_index(spark: SparkSession, root: str, prefix: str,
-               first_day: str | None = None, last_day: str | None = None) -> DataFrame:
-    """All daily indices of a prefix, or those of a range of days (`yyyy.MM.dd`)."""
-    docs = spark.read.parquet(root).filter(F.col("index_prefix") == prefix)
+def read_index(spark: SparkSession, root: str, prefix: str, first_day: str | None = None,
+               last_day: str | None = None, schema: StructType | None = None) -> DataFrame:
+    """All daily indices of a prefix, or those of a range of days (`yyyy.MM.dd`).
+
+    Only folders of the prefix are listed. Documents of different kinds have different
+    fields: without a schema the fields of all files are merged, which reads every
+    footer once; with one, missing fields are null and nothing has to be merged.
+    """
+    reader = spark.read.option("basePath", root)
+    reader = reader.option("mergeSchema", True) if schema is None else reader.schema(schema)
+    docs = reader.parquet(f"{root.rstrip('/')}/index_prefix={prefix}")
     if first_day is not None:
         docs = docs.filter(F.col("index_date") >= first_day)
     if last_day is not None:

@@ -19,33 +19,30 @@ def read_event_lines(spark: SparkSession, path: str, schema: StructType = EVENT_
     return reader.json(path)
 
 
-def to_documents(lines: DataFrame, index_prefix: str = "logs",
-                 tag: str = "turnledger") -> DataFrame:
+def to_documents(lines: DataFrame, tag: str = "turnledger") -> DataFrame:
     """`@timestamp` from the ISO 8601 field `timestamp`, or the time of arrival where
-    it is missing or unreadable; the tag and the index columns are added."""
+    it is missing or unreadable; the tag and the day of the index are added."""
     stamped = lines.withColumn(
         "@timestamp", F.coalesce(F.try_to_timestamp("timestamp"), F.current_timestamp())
     )
     return stamped.withColumns(
-        {
-            "pipeline": F.lit(tag),
-            "index_prefix": F.lit(index_prefix),
-            "index_date": index_day(stamped, "@timestamp"),
-        }
+        {"pipeline": F.lit(tag), "index_date": index_day(stamped, "@timestamp")}
     )
 
 
-def start_ingest(docs: DataFrame, root: str, checkpoint: str,
+def start_ingest(docs: DataFrame, root: str, checkpoint: str, index_prefix: str = "logs",
                  **trigger) -> StreamingQuery:
-    """Append the documents to the event table; exactly once with this checkpoint.
+    """Append the documents to the daily indices of a prefix of the event table.
 
-    `trigger` goes to `DataStreamWriter.trigger`, e.g. `availableNow=True` or
-    `processingTime="1 minute"`.
+    Exactly once with this checkpoint: the folder of the prefix keeps the log of the
+    committed files, which `event_store.read_index` follows. It belongs to the stream,
+    so batch jobs append to other prefixes. `trigger` goes to
+    `DataStreamWriter.trigger`, e.g. `availableNow=True`.
     """
     return (
         docs.writeStream.format("parquet")
-        .partitionBy("index_prefix", "index_date")
-        .option("path", root)
+        .partitionBy("index_date")
+        .option("path", f"{root.rstrip('/')}/index_prefix={index_prefix}")
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(**(trigger or {"processingTime": "1 minute"}))
