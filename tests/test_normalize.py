@@ -12,7 +12,7 @@ ONE = [("human", "x")]
 def test_generated_ids_count_kept_rows(spark):
     rows = [
         ("a", None, 10, ONE), (None, 7, 20, ONE), ("", None, 30, ONE), (None, None, 35, []),
-        (None, None, 36, None), (None, None, 40, ONE),
+        (None, None, 36, None), (None, 0, 40, ONE),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
     ids = {r.id for r in N.from_nested(df, "src", "n", start=100).collect()}

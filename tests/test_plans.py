@@ -1,10 +1,11 @@
 """What the plans must and must not contain."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from catalog import inputs as I
-from turnledger.operators import cost, events as ev, stats
+from turnledger.operators import cost, events as ev, stats, turns as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,6 +35,20 @@ def test_turn_count_join_vanishes_when_unused(spark):
     assert "Join" not in optimized(cost.conversation_costs(cost.turn_costs(features)))
 
 
+def test_hot_conversation_is_split_in_the_count_join(spark):
+    turns = I.turns(spark, SF)
+    rows = turns.withColumn("record_id", F.lit("hot")).withColumn(
+        "turn_index", (F.xxhash64("record_id", "value") % 1_000_000).cast("int")
+    )
+    hot = rows.filter("turn_index >= 0").dropDuplicates(["turn_index"])
+    featured = T.flat_turn_features(hot)
+    assert featured.select("conversation_turn_count").distinct().collect() == [(hot.count(),)]
+    node = featured._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().head()
+    assert "_block" in node.condition().get().toString()
+
+
 def test_text_is_not_shuffled_with_numeric_features(spark):
     wanted = ["record_id", "turn_index", "token_count", "conversation_turn_count"]
     node = I.features(spark, SF).select(*wanted)._jdf.queryExecution().optimizedPlan()
@@ -41,7 +56,7 @@ def test_text_is_not_shuffled_with_numeric_features(spark):
         node = node.children().head()
     left = node.children().head().output()
     names = {left.apply(i).name() for i in range(left.size())}
-    assert names == {"record_id", "turn_index", "token_count"}
+    assert names == {"record_id", "turn_index", "token_count", "_block"}
 
 
 def test_one_shuffle_per_grouping(spark):

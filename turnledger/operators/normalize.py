@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import NumericType
 
 from turnledger.storage import shared_dir
 
@@ -69,13 +70,14 @@ def dense_positions(df: DataFrame, order: str, parts: int | None = None) -> Data
 def from_nested(df: DataFrame, source: str, order: str, start: int = 0) -> DataFrame:
     """Rows that already have the target shape: keep non-empty conversations.
 
-    The id is the first non-empty of `id`, `question_id`, `<source>_<position>`,
-    where position counts the kept rows, beginning at `start`. Only rows without an
-    own id take part in the numbering join.
+    The id is the first of `id`, `question_id` and `<source>_<position>` that is neither
+    empty nor zero; position counts the kept rows, beginning at `start`. Only rows
+    without an own id take part in the numbering join.
     """
     kept = df.filter(F.size("conversations") > 0)
+    none = lambda c: F.lit(0) if isinstance(df.schema[c].dataType, NumericType) else F.lit("")
     own_id = F.coalesce(
-        *[F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("id", "question_id")
+        *[F.nullif(F.col(c), none(c)).cast("string") for c in ("id", "question_id")
           if c in df.columns]
     )
     named = kept.withColumn("_own", own_id)

@@ -18,6 +18,40 @@ from turnledger.functions import text as tx
 from turnledger.schemas import TURN_COLUMNS
 
 
+# Turns of one conversation that may meet in one join task.
+BLOCK_TURNS = 65_536
+
+
+def _block(position: str) -> Column:
+    return F.floor(F.coalesce(F.col(position), F.lit(0)) / BLOCK_TURNS)
+
+
+def _join_turn_counts(rows: DataFrame, counted: DataFrame, turns: Column, position: str) -> DataFrame:
+    """Add the sum of `turns` over the rows of `counted` with the same record_id.
+
+    A conversation may hold a large share of all turns. The join therefore goes by
+    conversation and block of positions: the totals, one row per conversation, are
+    repeated for each of its blocks, of which nearly all conversations have one. Grouping
+    the repeated totals brings them to the tasks of the join and tells the planner that
+    their keys are unique.
+    """
+    totals = counted.groupBy("record_id").agg(
+        F.sum(turns).cast("int").alias("total"),
+        F.min(_block(position)).alias("first"),
+        F.max(_block(position)).alias("last"),
+    )
+    per_block = (
+        totals.select("record_id", "total", F.explode(F.sequence("first", "last")).alias("_block"))
+        .groupBy("record_id", "_block")
+        .agg(F.max("total").alias("conversation_turn_count"))
+    )
+    return (
+        rows.withColumn("_block", _block(position))
+        .join(per_block, ["record_id", "_block"], "left")
+        .drop("_block")
+    )
+
+
 def explode_turns(conversations: DataFrame) -> DataFrame:
     """One row per turn: record_id, turn_index, conversation_turn_count, role, value.
 
@@ -25,23 +59,21 @@ def explode_turns(conversations: DataFrame) -> DataFrame:
     `normalize.nest_turns`) carry `first_turn`; their turn index continues over the
     segments and the count is the sum over all segments.
     """
-    turns = conversations.select(
-        F.col("id").alias("record_id"),
-        *([F.col("first_turn")] if "first_turn" in conversations.columns else []),
-        F.size("conversations").alias("conversation_turn_count"),
-        F.posexplode("conversations").alias("turn_index", "turn"),
-    )
+    rows = conversations.withColumnRenamed("id", "record_id")
     if "first_turn" in conversations.columns:
-        sizes = conversations.groupBy(F.col("id").alias("record_id")).agg(
-            F.sum(F.size("conversations")).cast("int").alias("conversation_turn_count")
-        )
-        turns = turns.withColumn(
-            "turn_index", (F.col("first_turn") + F.col("turn_index")).cast("int")
-        )
-        turns = turns.drop("conversation_turn_count").join(sizes, "record_id", "left")
-    return turns.select(
+        rows = _join_turn_counts(rows, rows, F.size("conversations"), "first_turn")
+        first_turn = F.col("first_turn")
+    else:
+        rows = rows.withColumn("conversation_turn_count", F.size("conversations"))
+        first_turn = F.lit(0)
+    return rows.select(
         "record_id",
-        "turn_index",
+        "conversation_turn_count",
+        first_turn.alias("first_turn"),
+        F.posexplode("conversations").alias("position", "turn"),
+    ).select(
+        "record_id",
+        (F.col("first_turn") + F.col("position")).cast("int").alias("turn_index"),
         "conversation_turn_count",
         F.col("turn.from").alias("role"),
         F.col("turn.value").alias("value"),
@@ -81,20 +113,14 @@ def turn_features(conversations: DataFrame) -> DataFrame:
     )
 
 
-def turn_counts(turns: DataFrame, key: str = "record_id") -> DataFrame:
-    """Turns per conversation, blank ones included (counted before the shuffle)."""
-    return turns.groupBy(key).agg(F.count("*").cast("int").alias("conversation_turn_count"))
-
-
 def flat_turn_features(turns: DataFrame) -> DataFrame:
     """The processed turn table of flat rows (record_id, turn_index, role, value).
 
-    Features come before the join, so the text itself is shuffled only if the caller
-    reads it. A conversation that holds a large share of all turns makes one heavy
-    join partition, which adaptive execution splits; its other side is one row.
+    turn_index is the integer position of the turn. Features come before the join, so
+    the text itself is shuffled only if the caller reads it.
     """
     featured = add_features(turns).filter(not_blank())
-    return featured.join(turn_counts(turns), "record_id", "left").select(*TURN_COLUMNS)
+    return _join_turn_counts(featured, turns, F.lit(1), "turn_index").select(*TURN_COLUMNS)
 
 
 def training_rows(turns: DataFrame) -> DataFrame:

@@ -104,13 +104,15 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame:
     """file, element (0, 1, ...), value: the objects of JSON array files, each as JSON
     text on one line, unknown fields and explicit nulls included.
 
-    The pieces are staged in the shared folder, so the files are parsed once. Raises
-    ValueError if a file is cut off or not an array.
+    Pieces and block starts are staged in the shared folder, so the files are parsed
+    once and the planner knows how small the block starts are. Raises ValueError if a
+    file is cut off or not an array.
     """
-    staged = staging_path(spark, "pieces")
-    _pieces(spark, path).write.parquet(staged)
-    pieces = spark.read.parquet(staged)
-    starts = _block_starts(pieces)
+    staged = staging_path(spark, "json-array")
+    _pieces(spark, path).write.parquet(f"{staged}/pieces")
+    pieces = spark.read.parquet(f"{staged}/pieces")
+    _block_starts(pieces).write.parquet(f"{staged}/starts")
+    starts = spark.read.parquet(f"{staged}/starts")
     _require_complete(starts)
 
     placed = pieces.join(starts.drop("change"), BLOCK)
