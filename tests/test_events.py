@@ -1,4 +1,4 @@
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -28,6 +28,23 @@ def test_last_days_with_given_and_latest_time(spark):
     assert "interval" not in plan.lower()
 
 
+def test_given_time_is_utc_in_any_session(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    df = series(spark)
+    instants = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    fixed = spark.createDataFrame(instants.collect(), instants.schema)
+    latest = T0 + timedelta(hours=6 * 39)
+    aware = latest.replace(tzinfo=timezone.utc).astimezone(timezone(timedelta(hours=5)))
+    try:
+        for name in ("UTC", "Asia/Tokyo", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            for as_of in (latest, aware):
+                assert ev.last_days(df, 2, as_of=as_of).count() == 9
+                assert ev.last_days(fixed, 2, as_of=as_of).count() == 9
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_training_summary(spark):
     s = ev.training_summary(series(spark), "m1", 3).first()
     wanted = [i for i in range(27, 40) if i % 2 and i % 3 == 1]

@@ -101,7 +101,9 @@ def test_long_chain_hot_parent_cycle_and_orphan(spark):
     cycle = [(20_000, 20_001, 3, "prompter", 0), (20_001, 20_000, 3, "assistant", 1)]
     orphan = [(30_000, 39_999, 4, "prompter", 0), (30_001, 30_000, 4, "assistant", 1)]
     single = [(40_000, None, 5, "prompter", 0)]
-    df = messages(spark, chain + hot + cycle + orphan + single)
+    copies = [(1, 0, 1, "assistant", -5), (0, None, 1, "assistant", -5)]
+    df = messages(spark, chain + hot + cycle + orphan + single + copies)
+    df = df.withColumn("text", F.when(F.col("position") == -5, "old copy").otherwise(F.col("text")))
     got = {r.id: r.conversations for r in trees.linear_conversations(df, "position").collect()}
     assert sorted(got) == ["oasst1_1", "oasst1_2"]
     assert [t["value"] for t in got["oasst1_1"]] == [f"text {i}" for i in range(300)]

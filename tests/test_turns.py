@@ -86,6 +86,16 @@ def test_sample_is_exact_and_stable(spark):
     assert sampling.sample_rows(df.limit(0), ["id"], 5).count() == 0
 
 
+def test_sample_of_copies_is_exact(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 50).alias("k"))
+    for n in (1, 500, 1100, 2999, 3000):
+        assert sampling.sample_rows(df, ["k"], n).count() == n
+    # A third of the rows share one key; the others are distinct.
+    hot = spark.range(200_000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
+    for seed in range(4):
+        assert sampling.sample_rows(hot, ["k"], 3000, seed).count() == 3000
+
+
 def test_split_shares(spark):
     train, test = sampling.split_rows(spark.range(20_000), ["id"])
     assert train.count() + test.count() == 20_000

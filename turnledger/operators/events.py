@@ -6,9 +6,10 @@ model or day costs one row per task in the shuffle.
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import TimestampType
 
 from turnledger.functions.text import has_term, num_words, unicode_trim
 from turnledger.sources.event_store import DAY_FORMAT, UNKNOWN_DAY
@@ -21,12 +22,23 @@ def of_type(events: DataFrame, event_type: str, column: str = "event_type") -> D
     return events.filter(F.col(column) == event_type)
 
 
-def _reference_time(events: DataFrame, ts: str, as_of: datetime | date | Column | None) -> Column:
+def utc_literal(at: datetime, zoned: bool = False) -> Column:
+    """A literal for a time on the UTC clock (other zones are converted), whatever the
+    time zones of session and machine: without zone, or as an instant if `zoned`."""
+    if at.tzinfo is not None:
+        at = at.astimezone(timezone.utc).replace(tzinfo=None)
+    text = at.isoformat(sep=" ")
+    return F.to_timestamp_ltz(F.lit(text + "Z")) if zoned else F.to_timestamp_ntz(F.lit(text))
+
+
+def _reference_time(events: DataFrame, ts: str, as_of: datetime | Column | None) -> Column:
     """`as_of`, or the latest event when it is not given (a scalar subquery that reads
     the time column only; its value is pushed to the scan like a literal)."""
     if as_of is None:
         return events.agg(F.max(ts).alias("latest")).scalar()
-    return as_of if isinstance(as_of, Column) else F.lit(as_of)
+    if isinstance(as_of, Column):
+        return as_of
+    return utc_literal(as_of, zoned=isinstance(events.schema[ts].dataType, TimestampType))
 
 
 def last_days(events: DataFrame, days: int, ts: str = "ts",
@@ -143,7 +155,7 @@ def averages_over_time(events: DataFrame, metrics: list[str], ts: str = "ts",
 def training_documents(metrics: DataFrame, at: datetime) -> DataFrame:
     """Model metrics of `plans.train` as event documents with a `metrics` struct."""
     return metrics.select(
-        F.lit(at).alias("ts"),
+        utc_literal(at).alias("ts"),
         F.lit("model_training").alias("event_type"),
         "model_name",
         F.struct("mae", "rmse", "r2", "training_time_seconds", "dataset_size").alias("metrics"),
@@ -155,7 +167,7 @@ def processing_document(result: DataFrame, rows: str, operation: str, seconds: f
     """A one-row result (statistics, totals) as the document of the job that made it;
     `rows` is the column with the number of rows it went over."""
     return result.select(
-        F.lit(at).alias("ts"),
+        utc_literal(at).alias("ts"),
         F.lit("data_processing").alias("event_type"),
         F.lit(operation).alias("operation"),
         F.col(rows).cast("long").alias("rows_processed"),

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnledger import constants as K
 from turnledger.functions.keys import hash_fraction
@@ -14,25 +13,48 @@ from turnledger.functions.keys import hash_fraction
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = K.SPLIT_SEED) -> DataFrame:
     """The `n` rows with the smallest key hashes (all rows if there are fewer).
 
-    `keys` identify a row. A plain `limit(n)` before a write makes every task ship n
-    rows to one task. Here the n-th smallest hash is looked up first, from key columns
-    only, and the rows are then picked where they are. For the lookup a row count gives
-    a bound that lets through little more than n hashes in total; its slack is twenty
-    standard deviations, so it does not cut into the sample.
+    A plain `limit(n)` before a write makes every task ship n rows to one task. Here the
+    n-th smallest hash is looked up first, from key columns only, and the rows are then
+    picked where they are. For the lookup the rows below 1, 1/2, 1/4, ... are counted in
+    one pass, and only hashes below the smallest of these bounds with n rows or more are
+    sorted. Rows that share the last key are taken up to n.
     """
-    bound = (n + 20.0 * math.sqrt(n) + 1000.0) / df.agg(
-        F.greatest(F.count("*"), F.lit(1)).alias("rows")
-    ).scalar()
-    position = F.struct(hash_fraction(keys, seed).alias("hash"), *keys)
+    hash_ = hash_fraction(keys, seed)
+    below = {f"below_{i}": 2.0**-i for i in reversed(range(41))}
+    bound = (
+        df.select(hash_.alias("hash"))
+        .agg(*[F.count_if(F.col("hash") < b).alias(name) for name, b in below.items()])
+        .select(
+            F.coalesce(
+                *[F.when(F.col(name) >= n, F.lit(b)) for name, b in below.items()], F.lit(1.0)
+            ).alias("bound")
+        )
+        .scalar()
+    )
+    position = F.struct(hash_.alias("hash"), *keys)
     last = (
         df.select(position.alias("position"))
         .filter(F.col("position.hash") < bound)
         .orderBy("position")
         .limit(n)
-        .agg(F.max("position").alias("last"))
+        .groupBy("position")
+        .agg(F.count("*").alias("copies"))
+        .orderBy(F.desc("position"))
+        .limit(1)
+        .select(F.struct("position", "copies").alias("last"))
         .scalar()
     )
-    return df.filter(position <= last)
+    copy = F.row_number().over(Window.partitionBy("_position").orderBy("_position"))
+    return (
+        df.withColumn("_position", position)
+        .withColumn("_last", last)
+        .filter(F.col("_position") <= F.col("_last.position"))
+        .withColumn("_copy", copy)
+        .filter(
+            (F.col("_position") < F.col("_last.position")) | (F.col("_copy") <= F.col("_last.copies"))
+        )
+        .drop("_position", "_last", "_copy")
+    )
 
 
 def in_first_part(keys: Sequence[str], share: float = 0.8, seed: int = K.SPLIT_SEED) -> Column:

@@ -1,7 +1,7 @@
 """Reply trees -> linear conversations along the first reply.
 
-Messages: message_id (unique), parent_id, message_tree_id, role, text and an order
-column that tells which reply came first.
+Messages: message_id, parent_id, message_tree_id, role, text and an order column that
+tells which reply came first. Of several copies of a message the last one counts.
 
 The first replies form chains: every message has at most one first reply and at most
 one parent. Finding the place of each message in its chain is therefore done by
@@ -46,7 +46,7 @@ def chain_positions(messages: DataFrame, order: str) -> DataFrame:
     round, which keeps the plan short and lets lost executors restart from files.
     """
     shared_dir(messages.sparkSession)
-    roots = tree_roots(messages).select(F.col("message_id").alias("root_id"))
+    roots = tree_roots(messages).select(F.col("message_id").alias("root_id")).distinct()
     links = first_replies(messages, order)
     state = (
         links.join(roots, links["parent_id"] == roots["root_id"], "left")
@@ -100,7 +100,11 @@ def linear_conversations(messages: DataFrame, order: str, prefix: str = "oasst1_
         "message_id", "parent_id", "message_tree_id", "role", "text", order
     )
     positions = chain_positions(messages, order)
-    texts = messages.select("message_id", "message_tree_id", "role", "text")
+    texts = (
+        messages.groupBy("message_id")
+        .agg(F.max_by(F.struct("message_tree_id", "role", "text"), order).alias("m"))
+        .select("message_id", "m.*")
+    )
     turns = positions.join(texts, "message_id").select(
         F.struct("message_tree_id", "root_id").alias("record_id"),
         F.col("depth").alias("turn_index"),
