@@ -31,20 +31,24 @@ def utc_literal(at: datetime, zoned: bool = False) -> Column:
     return F.to_timestamp_ltz(F.lit(text + "Z")) if zoned else F.to_timestamp_ntz(F.lit(text))
 
 
-def _reference_time(events: DataFrame, ts: str, as_of: datetime | Column | None) -> Column:
-    """`as_of`, or the latest event when it is not given (a scalar subquery that reads
-    the time column only; its value is pushed to the scan like a literal)."""
-    if as_of is None:
-        return events.agg(F.max(ts).alias("latest")).scalar()
-    if isinstance(as_of, Column):
-        return as_of
-    return utc_literal(as_of, zoned=isinstance(events.schema[ts].dataType, TimestampType))
-
-
 def last_days(events: DataFrame, days: int, ts: str = "ts",
               as_of: datetime | Column | None = None) -> DataFrame:
-    """Events not older than `days` days before `as_of`."""
-    start = _reference_time(events, ts, as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
+    """Events not older than `days` times 24 hours before `as_of`.
+
+    Without `as_of` the latest event counts: a scalar subquery that reads the time
+    column only and whose value is pushed to the scan like a literal.
+    """
+    zoned = isinstance(events.schema[ts].dataType, TimestampType)
+    if isinstance(as_of, datetime):
+        start = utc_literal(as_of - timedelta(days=days), zoned)
+    else:
+        latest = events.agg(F.max(ts).alias("latest")).scalar() if as_of is None else as_of
+        # Days of the session's calendar may have 23 or 25 hours.
+        start = (
+            F.timestamp_micros(F.unix_micros(latest) - F.lit(days * 86_400_000_000))
+            if zoned
+            else latest - F.expr(f"INTERVAL {int(days)} DAYS")
+        )
     return events.filter(F.col(ts) >= start)
 
 
