@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnledger.llm import lattice_lm
-from turnledger.llm.lattice_lm import BEGIN, STOP, Lattice
+from turnledger.llm.lattice_lm import BEGIN, Lattice
 
 
 def small():
@@ -36,7 +36,7 @@ def with_stops(lattice, text, first=True):
         weight = lattice.logs.get(text[:j])
         if weight is not None and first == text.startswith(BEGIN):
             after = text[j:]
-            total += math.exp(weight) * (STOP if not after else (1 - STOP) * with_stops(lattice, after, False))
+            total += math.exp(weight) * (lattice.stop if not after else (1 - lattice.stop) * with_stops(lattice, after, False))
     return total
 
 
@@ -48,6 +48,34 @@ def test_forward_sums_over_all_cuts():
         assert math.exp(lattice.log_probability(word)) == pytest.approx(with_stops(lattice, BEGIN + word))
 
 
+def test_expected_pieces_are_shares_of_cuts():
+    lattice, rng = small(), random.Random(3)
+    more = math.log(1 - lattice.stop)
+
+    def cuts(text, first=True):
+        if not text:
+            yield 0.0, []
+        for j in range(1, len(text) + 1):
+            weight = lattice.logs.get(text[:j])
+            if weight is not None and first == text.startswith(BEGIN):
+                for rest, names in cuts(text[j:], False):
+                    yield weight + rest + (0 if first else more), [text[:j], *names]
+
+    for _ in range(40):
+        word = "".join(rng.choice("ab") for _ in range(rng.randint(1, 8)))
+        every = [(math.exp(w), names) for w, names in cuts(BEGIN + word)]
+        total, expected = sum(w for w, _ in every), Counter()
+        for w, names in every:
+            for name in names:
+                expected[name] += w / total
+        got = Counter()
+        for piece, share in lattice.expected(word):
+            got[piece] += share
+        assert dict(got) == pytest.approx(dict(expected))
+    better = lattice.revised({"▁ab": 90.0, "ba": 10.0}, 90)
+    assert better.logs["▁ab"] > lattice.logs["▁ab"] and sum(math.exp(w) for p, w in better.logs.items() if p[0] == BEGIN) == pytest.approx(1)
+
+
 def test_words_share_at_most_probability_one():
     lattice = small()
     words = [""]
@@ -82,11 +110,16 @@ def test_matches_plain_counts(spark, head):
             counts.update(split(t))
             ends += 1
     n, types = sum(counts.values()) + ends, len(counts) + 1
+    pieces = Counter()
+    for w in counts:
+        for piece, share in lattice.expected(w):
+            pieces[piece] += share
+    revised = lattice.revised(pieces, len(counts))
     expected = []
     for d, t in rows:
         known, base, score = 1, math.log10((ends + 1) / (n + types + 1)), math.log10(ends / n)
         for w in split(t):
-            c, log = counts[w], lattice.log_probability(w)
+            c, log = counts[w], revised.log_probability(w)
             known += c > 0
             base += math.log10((c + 1) / (n + types + 1))
             share = 0.75 * len(counts) / n
@@ -103,5 +136,5 @@ def test_no_training_rows_and_empty_table(spark):
     d = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = lattice_lm.score_texts(spark.createDataFrame([(d, "ab")], "doc_id long, text string"), small()).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 2, 0, 0, 0.0)
-    assert r.score == pytest.approx(small().log_probability("ab") / math.log(10))
+    assert r.score == pytest.approx(small().revised({}, 0).log_probability("ab") / math.log(10))
     assert lattice_lm.score_texts(spark.createDataFrame([], "doc_id long, text string"), small()).collect() == []

@@ -115,6 +115,9 @@ class Router:
     w2: np.ndarray
     b2: np.ndarray
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.w1, self.b1, self.w2, self.b2
+
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
         z = np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
@@ -197,19 +200,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, parts: int
     x = np.array([r.v for r in drawn.collect()])  # at most `sample` vectors
     if not len(x):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    router = spark.sparkContext.broadcast(fit_router(x, parts))
+    # Broadcasts hold plain arrays: their values are not pickled with the code.
+    sent = spark.sparkContext.broadcast(fit_router(x, parts).arrays())
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = np.stack(batch.column("v").to_numpy(zero_copy_only=False))
-                part = router.value.probabilities(x).argmax(axis=1).astype(np.int32)
+                part = Router(*sent.value).probabilities(x).argmax(axis=1).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("vec_id"), batch.column("v"), pa.array(part)], names=["vec_id", "v", "part"]
                 )
 
     indexed = keep(rows.mapInArrow(assign, "vec_id long, v array<double>, part int"))
-    count = len(router.value.b2)
+    count = len(sent.value[-1])
     ids = indexed.groupBy("part").agg(
         F.count("*").alias("rows"), F.approx_count_distinct("vec_id").alias("ids")
     ).collect()  # a row per part
@@ -223,7 +227,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS, parts: int
             if not batch.num_rows:
                 continue
             x = np.stack(batch.column("v").to_numpy(zero_copy_only=False))
-            p = router.value.probabilities(x)
+            p = Router(*sent.value).probabilities(x)
             order = np.argsort(-p, axis=1, kind="stable")
             sure = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1)
             # Twice what is needed, as distinct ids are only estimated.

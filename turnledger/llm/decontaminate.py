@@ -173,10 +173,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
     source = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     spark, result = docs.sparkSession, None
     for items in item_parts(benchmark, rate, limit):
-        sent = spark.sparkContext.broadcast(items)
+        # Plain values: broadcasts are not pickled with the code.
+        sent = spark.sparkContext.broadcast([(i.item_id, i.text, i.errors) for i in items])
 
         def run(batches, sent=sent):
-            finder = Finder(sent.value)
+            finder = Finder([Item(*i) for i in sent.value])
             for batch in batches:
                 rows = [
                     (d, finder.items[n].item_id, distance, start, end)
@@ -203,11 +204,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
     bounded_batches(docs.sparkSession)
     names = [F.col(f"`{c}`") for c in docs.columns]
     for items in item_parts(benchmark, rate, limit):
-        sent = docs.sparkSession.sparkContext.broadcast(items)
+        plain = [(i.item_id, i.text, i.errors) for i in items]
+        sent = docs.sparkSession.sparkContext.broadcast(plain)
 
         @F.pandas_udf("boolean")
         def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            finder = Finder(sent.value)
+            finder = Finder([Item(*i) for i in sent.value])
             for texts in batches:
                 yield pd.Series([next(finder.matches(t), None) is None for t in texts], dtype=bool)
 

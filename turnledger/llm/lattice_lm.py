@@ -2,7 +2,8 @@
 
 A word's letters can be cut into pieces of an existing vocabulary in many ways; the
 scores of the pieces weigh all of them, and a forward recursion in log space sums over
-all cuts. Pieces never cross white space, so the lattice of a text is the chain of the
+all cuts. Before, the scores are revised once by how often the pieces are expected in
+the words of the training documents. Pieces never cross white space, so the lattice of a text is the chain of the
 lattices of its words and its marginal probability the product of theirs.
 
 The lattice is the open-vocabulary base of a word model learnt from the training
@@ -32,8 +33,10 @@ from turnledger.llm.common import crc_fold, keep, map_batches, text_or_empty
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
 DISCOUNT = 0.75
-# Probability that a word ends after a piece.
+# Probability that a word ends after a piece, before the corpus is seen.
 STOP = 0.5
+# Pieces that the existing scores count for against those expected in the corpus.
+STRENGTH = 1000.0
 # Frequent words whose scores are sent to all tasks.
 HEAD = 100_000
 # Distinct words that a task holds while counting.
@@ -43,67 +46,110 @@ BEGIN = "▁"
 
 @dataclass
 class Lattice:
-    """Log probabilities of pieces: the first of a word begins with a mark."""
+    """Log probabilities of pieces, the first of a word beginning with a mark, of the
+    bytes that spell other characters, and the probability that a piece is the last."""
 
     logs: dict[str, float]
     bytes: list[float]
+    stop: float = STOP
     prefixes: set[str] = field(default_factory=set)
 
     def __post_init__(self) -> None:
         self.prefixes = {p[:i] for p in self.logs for i in range(1, len(p) + 1)}
 
+    @classmethod
+    def from_weights(cls, weights: dict[str, float], bytes_: list[float], stop: float = STOP) -> Lattice:
+        """First pieces are normalised among each other, and later ones with the bytes, as
+        one of them must come. A mark alone can begin any word."""
+        weights = {BEGIN: min(weights.values(), default=1.0), **weights}
+        first = sum(w for p, w in weights.items() if p.startswith(BEGIN))
+        later = sum(w for p, w in weights.items() if not p.startswith(BEGIN)) + sum(bytes_)
+        logs = {p: math.log(w / (first if p.startswith(BEGIN) else later)) for p, w in weights.items()}
+        return cls(logs, [math.log(w / later) for w in bytes_], stop)
+
     @classmethod
     def from_scores(cls, pieces: list[tuple[str, float]], bytes_: list[float]) -> Lattice:
         """From (piece, score) and the scores of the 256 bytes.
 
         Scores that are whole numbers are ranks of merges, which stand for frequencies by
-        Zipf's law; others are log probabilities. First pieces and later pieces (bytes
-        among these) are normalised each, as one or the other must come.
+        Zipf's law; others are log probabilities.
         """
         ranks = all(s == int(s) for _, s in pieces)
         weigh = (lambda s: 1 / (2.7 - s)) if ranks else math.exp
         last = min((s for _, s in pieces), default=0.0)
-        weights = {p: weigh(s) for p, s in pieces if p}
-        fallback = [weigh(last + min(s, 0)) for s in bytes_]
-        first = sum(w for p, w in weights.items() if p.startswith(BEGIN)) or 1.0
-        later = sum(w for p, w in weights.items() if not p.startswith(BEGIN)) + sum(fallback) or 1.0
-        logs = {p: math.log(w / (first if p.startswith(BEGIN) else later)) for p, w in weights.items()}
-        # A mark alone must be able to begin any word.
-        logs.setdefault(BEGIN, math.log(1 / (first + 1)))
-        return cls(logs, [math.log(w / later) for w in fallback])
+        return cls.from_weights(
+            {p: weigh(s) for p, s in pieces if p}, [weigh(last + min(s, 0)) for s in bytes_]
+        )
 
-    def log_probability(self, word: str) -> float:
-        """Natural log of the sum over all cuts of a word."""
-        text, logs, prefixes = BEGIN + word, self.logs, self.prefixes
-        more, stop = math.log(1 - STOP), math.log(STOP)
-        size = len(text)
-        terms: list[list[float]] = [[] for _ in range(size + 1)]
-        terms[0].append(-more)
-        exp, log = math.exp, math.log
-        for i in range(size):
-            own = terms[i]
-            if not own:
+    def _spelt(self, c: str) -> float:
+        """Log probability of a character by its bytes."""
+        data = c.encode("utf-8", "surrogatepass")
+        return sum(self.bytes[b] for b in data) + (len(data) - 1) * math.log(1 - self.stop)
+
+    def _forward(self, text: str) -> Iterator[tuple[int, float, list[tuple[int, str, float]]]]:
+        """(position, log sum of all cuts up to it, arcs from it: end, piece, log weight),
+        from left to right; the last has no arcs. Arcs hold the chance to go on, too."""
+        logs, prefixes, exp, log = self.logs, self.prefixes, math.exp, math.log
+        more, size = math.log(1 - self.stop), len(text)
+        open_: dict[int, list[float]] = {0: [0.0]}
+        for i in range(size + 1):
+            own = open_.pop(i, None)
+            if own is None:
                 continue
             if len(own) == 1:
                 here = own[0]
             else:
                 top = max(own)
                 here = top + log(sum([exp(t - top) for t in own]))
-            here += more
-            terms[i] = []
+            arcs = []
             for j in range(i + 1, size + 1):
                 piece = text[i:j]
                 if piece not in prefixes:
                     break
                 weight = logs.get(piece)
                 if weight is not None and (i == 0) == (piece[0] == BEGIN):
-                    terms[j].append(here + weight)
-            if i and text[i] not in logs or i and text[i] == BEGIN:
-                spelt = text[i].encode("utf-8", "surrogatepass")
-                terms[i + 1].append(here + sum(self.bytes[b] for b in spelt) + (len(spelt) - 1) * more)
-        own = terms[size]
-        top = max(own)
-        return top + log(sum([exp(t - top) for t in own])) + stop
+                    arcs.append((j, piece, weight + more if i else weight))
+            if i and i < size and (text[i] not in logs or text[i] == BEGIN):
+                arcs.append((i + 1, "", self._spelt(text[i]) + more))
+            for j, _, weight in arcs:
+                open_.setdefault(j, []).append(here + weight)
+            yield i, here, arcs
+
+    def log_probability(self, word: str) -> float:
+        """Natural log of the sum over all cuts of a word."""
+        for _, here, _ in self._forward(BEGIN + word):
+            total = here
+        return total + math.log(self.stop)
+
+    def expected(self, word: str) -> Iterator[tuple[str, float]]:
+        """(piece, how often it is expected in a word); the bytes of a character count as
+        one piece each, named by their number."""
+        text = BEGIN + word
+        steps = list(self._forward(text))
+        total = steps[-1][1]
+        after = {len(text): 0.0}
+        for i, here, arcs in reversed(steps[:-1]):
+            ways = [(weight + after[j], j, piece) for j, piece, weight in arcs if j in after]
+            if not ways:
+                continue
+            top = max(ways)[0]
+            after[i] = top + math.log(sum([math.exp(w - top) for w, _, _ in ways]))
+            for w, j, piece in ways:
+                share = math.exp(min(here + w - total, 0.0))
+                if piece:
+                    yield piece, share
+                else:
+                    for byte in text[i].encode("utf-8", "surrogatepass"):
+                        yield f"<{byte}>", share
+
+    def revised(self, counts: dict[str, float], words: float, strength: float = STRENGTH) -> Lattice:
+        """With the expected counts of pieces over some words added to what the own
+        weights amount to at `strength` first and later pieces."""
+        weights = {p: strength * math.exp(w) + counts.get(p, 0.0) for p, w in self.logs.items()}
+        bytes_ = [strength * math.exp(w) + counts.get(f"<{b}>", 0.0) for b, w in enumerate(self.bytes)]
+        pieces = sum(counts.values())
+        stop = (strength * self.stop + words) / (strength + pieces)
+        return Lattice.from_weights(weights, bytes_, min(max(stop, 0.01), 0.99))
 
 
 def load_lattice(path: str = VOCABULARY) -> Lattice:
@@ -162,6 +208,32 @@ def count_words(source: DataFrame, most: int = HELD) -> DataFrame:
     )
 
 
+def adapt(words: DataFrame, lattice: Lattice) -> Lattice:
+    """The lattice revised by the pieces expected in all distinct training words. Each
+    word counts once, as the lattice stands for words not seen before. What comes to the
+    driver is a row per piece of the vocabulary."""
+    plain = (lattice.logs, lattice.bytes, lattice.stop)
+    sent = words.sparkSession.sparkContext.broadcast(plain)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, total, count = Lattice(*sent.value), {}, 0
+        for batch in batches:
+            for word in batch.column("word").to_pylist():
+                count += 1
+                for piece, share in own.expected(word):
+                    total[piece] = total.get(piece, 0.0) + share
+        total[""] = float(count)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.float64())],
+            names=["piece", "n"],
+        )
+
+    seen = words.filter("c > 0").select("word").mapInArrow(run, "piece string, n double")
+    sums = seen.groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+    counts = dict(zip(sums.column("piece").to_pylist(), sums.column("n").to_pylist()))
+    return lattice.revised(counts, counts.pop("", 0.0))
+
+
 def score_texts(docs: DataFrame, lattice: Lattice, folds: int = FOLDS, remainder: int = HELD_OUT,
                 discount: float = DISCOUNT, head: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row.
@@ -179,18 +251,20 @@ def score_texts(docs: DataFrame, lattice: Lattice, folds: int = FOLDS, remainder
         held_out(folds, remainder).alias("held_out"),
         text_or_empty().alias("text"),
     )
-    sent = spark.sparkContext.broadcast(lattice)
+    counted = keep(count_words(source))
+    lattice = adapt(counted, lattice)
+    # Plain values: broadcasts are not pickled with the code.
+    sent = spark.sparkContext.broadcast((lattice.logs, lattice.bytes, lattice.stop))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Lattice(*sent.value)
         for batch in batches:
-            logs = [sent.value.log_probability(w) for w in batch.column("word").to_pylist()]
+            logs = [own.log_probability(w) for w in batch.column("word").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(logs, pa.float64())], names=[*batch.schema.names, "lattice"]
             )
 
-    words = keep(
-        count_words(source).mapInArrow(weigh, "word string, c long, every long, lattice double")
-    )
+    words = keep(counted.mapInArrow(weigh, "word string, c long, every long, lattice double"))
     total = words.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("distinct")
     ).first()

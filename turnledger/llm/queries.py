@@ -12,6 +12,7 @@ from turnledger.llm import (
     decontaminate,
     lattice_lm,
     packing,
+    pii_crf,
     quality,
     rollups,
     secret_scan,
@@ -40,6 +41,12 @@ def op2_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_partitions.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii_crf.find(docs, pii_crf.fit(docs))
+
+
 @query
 def op4_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_texts(table(spark, sf_dir, "documents"), lattice_lm.load_lattice())
