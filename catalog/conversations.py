@@ -62,10 +62,11 @@ def src_array_to_jsonl(spark, sf):
 
 
 @query("src_csv", f"""SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users,
-  max(event_id) AS last_event, {I.rnd('sum(value)')} AS total FROM events GROUP BY event_type""")
+  max(event_id) AS last_event, {I.rnd('sum(value)')} AS total, max(props) AS last_props,
+  CAST(sum(length(props)) AS BIGINT) AS props_chars FROM events GROUP BY event_type""")
 def src_csv(spark, sf):
     path = staging_path(spark, "csv")
-    I.table(spark, sf, "events").drop("props").write.option("header", True).csv(path)
+    I.table(spark, sf, "events").write.option("header", True).csv(path)
     return (
         tables.read_csv(spark, path)
         .groupBy("event_type")
@@ -74,6 +75,8 @@ def src_csv(spark, sf):
             F.count_distinct("user_id").cast("long").alias("users"),
             F.max("event_id").cast("long").alias("last_event"),
             F.round(F.sum("value"), 6).alias("total"),
+            F.max("props").alias("last_props"),
+            F.sum(F.length("props")).alias("props_chars"),
         )
     )
 
@@ -105,7 +108,7 @@ STATS_SQL = f"""SELECT count(*) AS total_turns, count(DISTINCT record_id) AS tot
 def sink_stats_json(spark, sf):
     """The whole preprocessing job: JSON lines in, turns, sample and statistics out."""
     raw, out = staging_path(spark, "raw"), staging_path(spark, "preprocess")
-    files.write_jsonl(I.nested(spark, sf).select("id", "conversations"), f"{raw}.jsonl")
+    files.write_jsonl(I.nested(spark, sf), f"{raw}.jsonl")
     return I.rounded(
         preprocess(spark, f"{raw}.json", f"{out}/processed", f"{out}/sample", f"{out}/stats")
     )
@@ -129,6 +132,7 @@ def _partly_named(spark, sf) -> DataFrame:
         conv.alias("position"),
         F.when(conv % 3 == 0, F.concat(F.lit("c"), "id")).when(conv % 3 == 1, F.lit("")).alias("id"),
         F.when(conv % 3 == 1, conv).alias("question_id"),
+        "first_turn",
         F.when(conv % 7 == 3, F.slice("conversations", 1, 0))
         .otherwise(F.col("conversations"))
         .alias("conversations"),

@@ -144,12 +144,14 @@ def cost_model_comparison_long(spark, sf):
 
 @query("cost_savings_histogram", f"""WITH {CONVERSATIONS},
 b AS (SELECT min(conv_savings_pct) AS low, max(conv_savings_pct) AS high, avg(conv_savings_pct) AS mean FROM per_conversation),
-w AS (SELECT low, mean, (high - low) / 50 AS width FROM b)
-SELECT CAST(least(floor((conv_savings_pct - low) / width), 49) AS INTEGER) AS bin, count(*) AS n,
-  {I.rnd('any_value(mean)')} AS mean FROM per_conversation, w GROUP BY 1""")
+w AS (SELECT low, mean, (high - low) / 50 AS width FROM b),
+found AS (SELECT CAST(least(floor((conv_savings_pct - low) / width), 49) AS INTEGER) AS bin, count(*) AS n
+  FROM per_conversation, w GROUP BY 1)
+SELECT CAST(range AS INTEGER) AS bin, {I.rnd('low + range * width')} AS bin_from,
+  {I.rnd('low + (range + 1) * width')} AS bin_to, coalesce(n, 0) AS n, {I.rnd('mean')} AS mean
+FROM range(50) CROSS JOIN w LEFT JOIN found ON found.bin = range""")
 def cost_savings_histogram(spark, sf):
-    bins = cost.histogram(_conversations(spark, sf), "conv_savings_pct")
-    return I.rounded(bins.select("bin", "n", "mean"))
+    return I.rounded(cost.histogram(_conversations(spark, sf), "conv_savings_pct"))
 
 
 @query("cost_share", f"""WITH {TOTALS},

@@ -138,8 +138,12 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Message trees: turn t answers turn floor((t - 1) / 2); the messages of every
     tenth conversation are single roots."""
     c = table(spark, sf_dir, "conversations")
-    mid = F.col("conv_id") * 1000 + F.col("turn")
-    parent = F.col("conv_id") * 1000 + F.floor((F.col("turn") - 1) / 2)
+    # Texts that order like (conv_id, turn), for conversations of any length.
+    name = lambda turn: F.concat(
+        F.lpad(F.col("conv_id").cast("string"), 18, "0"), F.lit("-"), F.lpad(turn.cast("string"), 18, "0")
+    )
+    mid = name(F.col("turn"))
+    parent = name(F.floor((F.col("turn") - 1) / 2))
     is_reply = (F.col("turn") > 0) & (F.col("conv_id") % 10 != 9)
     return c.select(
         mid.alias("message_id"),
@@ -152,9 +156,9 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPLIES = """replies AS (
-  SELECT conv_id * 1000 + turn AS message_id,
+  SELECT format('{:018d}-{:018d}', conv_id, turn) AS message_id,
     CASE WHEN turn > 0 AND conv_id % 10 <> 9
-         THEN conv_id * 1000 + CAST(floor((turn - 1) / 2) AS BIGINT) END AS parent_id,
+         THEN format('{:018d}-{:018d}', conv_id, CAST(floor((turn - 1) / 2) AS BIGINT)) END AS parent_id,
     conv_id AS message_tree_id, role, text
   FROM conversations)"""
 

@@ -104,7 +104,7 @@ def ml_select_model(spark, sf):
     """A threshold no model can reach, so that boosted trees are tried as well."""
     return _fitted(
         spark, sf,
-        lambda tr, te: ml.select_model(tr, te, K.NO_LEAK_COLUMNS, threshold=1.1, gbt_iterations=10)[1],
+        lambda tr, te: ml.select_model(tr, te, K.NO_LEAK_COLUMNS, threshold=1.1)[1],
     )
 
 
@@ -128,7 +128,7 @@ def _prompt_rows(spark, sf) -> DataFrame:
 def ml_segment_models(spark, sf):
     with ml.kept(_prompt_rows(spark, sf)) as rows:
         train, test = train_and_test(rows)
-        models = ml.fit_segments(train, "output_tokens", K.REQUEST_FEATURE_COLUMNS, max_iter=5)
+        models = ml.fit_segments(train, "output_tokens", K.REQUEST_FEATURE_COLUMNS)
         scored = ml.score_segments(test, models)
         metrics = ml.regression_metrics(scored, "output_tokens", keys=["segment"]).collect()
     return I.rounded(spark.createDataFrame(

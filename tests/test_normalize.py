@@ -108,3 +108,50 @@ def test_long_chain_hot_parent_cycle_and_orphan(spark):
     assert sorted(got) == ["oasst1_1", "oasst1_2"]
     assert [t["value"] for t in got["oasst1_1"]] == [f"text {i}" for i in range(300)]
     assert [t["value"] for t in got["oasst1_2"]] == ["text 10000", "text 10500"]
+
+
+def test_a_long_conversation_stays_one(spark):
+    """2,500 turns in three rows, with and without an id, through every path."""
+    from turnledger.operators.turns import explode_turns, flat_turn_features
+
+    turns = spark.range(2500).select(
+        F.lit("c").alias("record_id"), F.col("id").alias("turn_index"),
+        F.lit("human").alias("role"), F.concat(F.lit("word "), "id").alias("value"),
+    )
+    nested = N.nest_turns(turns)
+    assert nested.count() == 3
+    flat = flat_turn_features(turns)
+    assert flat.select("conversation_turn_count").distinct().first()[0] == 2500
+    for named in (True, False):
+        rows = nested.withColumn("position", F.lit(7))
+        rows = rows if named else rows.withColumn("id", F.lit(None).cast("string"))
+        out = explode_turns(N.from_nested(rows, "chats", "position"))
+        got = out.agg(
+            F.count("*"), F.count_distinct("turn_index"), F.max("turn_index"),
+            F.min("conversation_turn_count"), F.max("conversation_turn_count"), F.count_distinct("record_id"),
+        ).first()
+        assert tuple(got) == (2500, 2500, 2499, 2500, 2500, 1)
+        assert out.first().record_id == ("c" if named else "chats_0")
+
+
+def test_turn_counts_without_ids(spark):
+    from turnledger.operators.turns import explode_turns
+
+    nested = spark.createDataFrame(
+        [(None, None, [("human", "a"), ("gpt", "b")]), (None, 0, [("human", "c")])],
+        "id string, first_turn long, conversations array<struct<from:string,value:string>>",
+    )
+    for rows in (nested, nested.drop("first_turn")):
+        got = sorted((r.value, r.turn_index, r.conversation_turn_count) for r in explode_turns(rows).collect())
+        assert got == [("a", 0, 2), ("b", 1, 2), ("c", 0, 1)]
+
+
+def test_pairs_without_question_id(spark):
+    message = "array<struct<role:string,content:string>>"
+    df = spark.createDataFrame(
+        [(1, "q", [("user", "x")], [("user", "y")]), (2, None, [("user", "x")], []), (3, None, [("user", "z")], [("user", "w")])],
+        f"place long, question_id string, conversation_a {message}, conversation_b {message}",
+    )
+    ids = sorted(r.id for r in N.split_pairs(df, "place", "arena").collect())
+    assert ids == ["arena_1_a", "arena_2_a", "arena_2_b", "q_a", "q_b"]
+    assert sorted(str(r.id) for r in N.split_pairs(df).collect()) == ["None", "None", "None", "q_a", "q_b"]

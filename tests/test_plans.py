@@ -56,7 +56,7 @@ def test_text_is_not_shuffled_with_numeric_features(spark):
         node = node.children().head()
     left = node.children().head().output()
     names = {left.apply(i).name() for i in range(left.size())}
-    assert names == {"record_id", "turn_index", "token_count", "_block"}
+    assert names == {"record_id", "turn_index", "token_count", "_block", "_id", "_unnamed"}
 
 
 def test_one_shuffle_per_grouping(spark):

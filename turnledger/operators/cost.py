@@ -170,9 +170,9 @@ def cost_shares(totals: DataFrame) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     """Equal-width bins from minimum to maximum: bin, bin_from, bin_to, n, mean.
 
-    Only non-empty bins are returned. The last bin includes the maximum; when all
-    values are equal the range is that value plus and minus one half. Null values
-    are left out. `mean` is the overall mean.
+    All bins are returned, empty ones with n = 0; without any value there is no row. The
+    last bin includes the maximum; when all values are equal the range is that value plus
+    and minus one half. Null values are left out. `mean` is the overall mean.
     """
     values = df.select(F.col(column).cast("double").alias("x")).filter(F.col("x").isNotNull())
     low, high = F.min("x"), F.max("x")
@@ -183,20 +183,25 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
             F.when(flat, high + 0.5).otherwise(high).alias("high"),
             F.avg("x").alias("mean"),
         ).alias("b")
-    ).scalar()
-    width = (F.col("high") - F.col("low")) / bins
-    position = F.floor((F.col("x") - F.col("low")) / width)
-    return (
-        values.withColumn("b", bounds)
-        .select("x", "b.low", "b.high", "b.mean")
+    )
+    width = (F.col("b.high") - F.col("b.low")) / bins
+    position = F.floor((F.col("x") - F.col("b.low")) / width)
+    counts = (
+        values.withColumn("b", bounds.scalar())
         .groupBy(F.least(position, F.lit(bins - 1)).cast("int").alias("bin"))
-        .agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("low", "high", "mean")])
+        .agg(F.count("*").alias("found"))
+    )
+    every = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    return (
+        bounds.filter("b.low IS NOT NULL")
+        .select("b", every)
+        .join(counts, "bin", "left")
         .select(
             "bin",
-            (F.col("low") + F.col("bin") * width).alias("bin_from"),
-            (F.col("low") + (F.col("bin") + 1) * width).alias("bin_to"),
-            "n",
-            "mean",
+            (F.col("b.low") + F.col("bin") * width).alias("bin_from"),
+            (F.col("b.low") + (F.col("bin") + 1) * width).alias("bin_to"),
+            F.coalesce("found", F.lit(0)).alias("n"),
+            F.col("b.mean").alias("mean"),
         )
     )
 

@@ -71,8 +71,9 @@ def from_nested(df: DataFrame, source: str, order: str, start: int = 0) -> DataF
     """Rows that already have the target shape: keep non-empty conversations.
 
     The id is the first of `id`, `question_id` and `<source>_<position>` that is neither
-    empty nor zero; position counts the kept rows, beginning at `start`. Only rows
-    without an own id take part in the numbering join.
+    empty nor zero; position counts the kept conversations, beginning at `start`. `order`
+    has one value for each conversation, which its segments share. Only rows without an
+    own id take part in the numbering join.
     """
     kept = df.filter(F.size("conversations") > 0)
     none = lambda c: F.lit(0) if isinstance(df.schema[c].dataType, NumericType) else F.lit("")
@@ -86,15 +87,32 @@ def from_nested(df: DataFrame, source: str, order: str, start: int = 0) -> DataF
     generated = F.concat(F.lit(f"{source}_"), (F.col("dense_position") + start).cast("string"))
     without_id = (
         named.filter(F.col("_own").isNull())
-        .join(dense_positions(kept, order), order)
+        .join(dense_positions(kept.select(order).distinct(), order), order)
         .select(generated.alias("id"), *rest)
     )
     return with_id.unionByName(without_id)
 
 
-def split_pairs(df: DataFrame) -> DataFrame:
+def split_pairs(df: DataFrame, order: str | None = None, source: str = "pair",
+                start: int = 0) -> DataFrame:
     """Paired rows (question_id, conversation_a, conversation_b) -> up to two
-    conversations `<question_id>_a` and `<question_id>_b`; empty sides are skipped."""
+    conversations `<question_id>_a` and `<question_id>_b`; empty sides are skipped.
+
+    A row without question_id gets `<source>_<position>` in its place, where position
+    counts all rows by the unique column `order`, beginning at `start`. Without an order
+    the ids of such rows are null.
+    """
+    name = F.col("question_id").cast("string")
+    if order is not None:
+        placed = dense_positions(df.select(order).distinct(), order)
+        number = F.col("dense_position") + start
+        own = df.filter("question_id IS NOT NULL").withColumn("_name", name)
+        rest = df.filter("question_id IS NULL").join(placed, order).withColumn(
+            "_name", F.concat(F.lit(f"{source}_"), number.cast("string"))
+        )
+        df = own.unionByName(rest.drop("dense_position"))
+    else:
+        df = df.withColumn("_name", name)
     sides = F.array(
         *[
             F.struct(F.lit(side).alias("side"), F.col(f"conversation_{side}").alias("messages"))
@@ -103,10 +121,10 @@ def split_pairs(df: DataFrame) -> DataFrame:
     )
     segment = [c for c in ("first_turn",) if c in df.columns]
     return (
-        df.select("question_id", *segment, F.inline(sides))
+        df.select("_name", *segment, F.inline(sides))
         .filter(F.size("messages") > 0)
         .select(
-            F.concat_ws("_", F.col("question_id").cast("string"), "side").alias("id"),
+            F.concat("_name", F.lit("_"), "side").alias("id"),
             *segment,
             map_roles(F.col("messages")).alias("conversations"),
         )

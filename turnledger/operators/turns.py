@@ -27,7 +27,8 @@ def _block(position: str) -> Column:
 
 
 def _join_turn_counts(rows: DataFrame, counted: DataFrame, turns: Column, position: str) -> DataFrame:
-    """Add the sum of `turns` over the rows of `counted` with the same record_id.
+    """Add the sum of `turns` over the rows of `counted` with the same record_id; rows
+    without one belong together as well.
 
     A conversation may hold a large share of all turns. The join therefore goes by
     conversation and block of positions: the totals, one row per conversation, are
@@ -35,20 +36,24 @@ def _join_turn_counts(rows: DataFrame, counted: DataFrame, turns: Column, positi
     the repeated totals brings them to the tasks of the join and tells the planner that
     their keys are unique.
     """
-    totals = counted.groupBy("record_id").agg(
+    keys = {
+        "_id": F.coalesce(F.col("record_id").cast("string"), F.lit("")),
+        "_unnamed": F.col("record_id").isNull(),
+    }
+    totals = counted.withColumns(keys).groupBy(*keys).agg(
         F.sum(turns).cast("int").alias("total"),
         F.min(_block(position)).alias("first"),
         F.max(_block(position)).alias("last"),
     )
     per_block = (
-        totals.select("record_id", "total", F.explode(F.sequence("first", "last")).alias("_block"))
-        .groupBy("record_id", "_block")
+        totals.select(*keys, "total", F.explode(F.sequence("first", "last")).alias("_block"))
+        .groupBy(*keys, "_block")
         .agg(F.max("total").alias("conversation_turn_count"))
     )
     return (
-        rows.withColumn("_block", _block(position))
-        .join(per_block, ["record_id", "_block"], "left")
-        .drop("_block")
+        rows.withColumns(keys | {"_block": _block(position)})
+        .join(per_block, [*keys, "_block"], "left")
+        .drop(*keys, "_block")
     )
 
 
@@ -56,13 +61,19 @@ def explode_turns(conversations: DataFrame) -> DataFrame:
     """One row per turn: record_id, turn_index, conversation_turn_count, role, value.
 
     Null and empty conversations give no row. Segmented conversations (see
-    `normalize.nest_turns`) carry `first_turn`; their turn index continues over the
-    segments and the count is the sum over all segments.
+    `normalize.nest_turns`) carry `first_turn`, null for 0; their turn index continues
+    over the segments and the count is the sum over all segments. A row without id is a
+    conversation of its own.
     """
     rows = conversations.withColumnRenamed("id", "record_id")
     if "first_turn" in conversations.columns:
-        rows = _join_turn_counts(rows, rows, F.size("conversations"), "first_turn")
-        first_turn = F.col("first_turn")
+        rows = _join_turn_counts(rows, rows, F.size("conversations"), "first_turn").withColumn(
+            "conversation_turn_count",
+            F.when(F.col("record_id").isNull(), F.size("conversations")).otherwise(
+                F.col("conversation_turn_count")
+            ),
+        )
+        first_turn = F.coalesce("first_turn", F.lit(0))
     else:
         rows = rows.withColumn("conversation_turn_count", F.size("conversations"))
         first_turn = F.lit(0)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from turnledger.operators.sampling import sample_rows
 from turnledger.operators.stats import corpus_stats
 from turnledger.operators.turns import turn_features
+from turnledger.schemas import CONVERSATION, SEGMENTED_CONVERSATION
 from turnledger.sources.conversations import read_conversations
 from turnledger.sources.tables import write_json, write_parquet
 
@@ -14,14 +15,18 @@ SAMPLE_ROWS = 10_000
 
 
 def preprocess(spark: SparkSession, source: str, processed: str, sample: str | None = None,
-               stats: str | None = None, sample_conversations: int | None = None) -> DataFrame:
+               stats: str | None = None, sample_conversations: int | None = None,
+               segmented: bool = True) -> DataFrame:
     """Write the processed turns and, if asked for, a row sample and the statistics.
 
     The text is parsed once: sample and statistics read the written Parquet, of which
     the statistics need only the numeric columns. `sample_conversations` limits the
-    input for trial runs. Returns the one-row statistics.
+    input for trial runs. `segmented` is for input of which no conversation continues in
+    further rows: False then saves the join that counts turns over rows. Returns the
+    one-row statistics.
     """
-    conversations = read_conversations(spark, source)
+    schema = SEGMENTED_CONVERSATION if segmented else CONVERSATION
+    conversations = read_conversations(spark, source, schema)
     if sample_conversations is not None:
         conversations = sample_rows(conversations, ["id"], sample_conversations)
     write_parquet(turn_features(conversations), processed)

@@ -29,12 +29,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
-def read_conversations(spark: SparkSession, json_path: str) -> DataFrame:
+def read_conversations(spark: SparkSession, json_path: str,
+                       schema: StructType = CONVERSATION) -> DataFrame:
     """The `.jsonl` sibling of a JSON array file if there is one, else the array."""
     sibling = json_path.removesuffix(".json") + ".jsonl"
     if _exists(spark, sibling):
-        return read_jsonl(spark, sibling)
-    return read_json_array(spark, json_path)
+        return read_jsonl(spark, sibling, schema)
+    return read_json_array(spark, json_path, schema)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
