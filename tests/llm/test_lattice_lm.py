@@ -76,6 +76,19 @@ def test_expected_pieces_are_shares_of_cuts():
     assert better.logs["▁ab"] > lattice.logs["▁ab"] and sum(math.exp(w) for p, w in better.logs.items() if p[0] == BEGIN) == pytest.approx(1)
 
 
+def test_long_words_are_scaled(monkeypatch):
+    lattice, rng = small(), random.Random(5)
+    for word in ["".join(rng.choice("abé") for _ in range(n)) for n in (1, 7, 20, 39)]:
+        plain = sorted(lattice.expected(word))
+        monkeypatch.setattr(lattice_lm, "SHORT", 0)
+        scaled = sorted(lattice.expected(word))
+        monkeypatch.undo()
+        assert [p for p, _ in plain] == [p for p, _ in scaled]
+        assert [x for _, x in plain] == pytest.approx([x for _, x in scaled])
+    total = sum(x for p, x in lattice.expected("ab" * 3000) for _ in p.removeprefix(BEGIN))
+    assert total == pytest.approx(6000)
+
+
 def test_words_share_at_most_probability_one():
     lattice = small()
     words = [""]

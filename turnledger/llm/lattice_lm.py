@@ -37,6 +37,8 @@ DISCOUNT = 0.75
 STOP = 0.5
 # Pieces that the existing scores count for against those expected in the corpus.
 STRENGTH = 1000.0
+# Characters up to which the probability of a word needs no scaling.
+SHORT = 40
 # Frequent words whose scores are sent to all tasks.
 HEAD = 100_000
 # Distinct words that a task holds while counting.
@@ -52,10 +54,21 @@ class Lattice:
     logs: dict[str, float]
     bytes: list[float]
     stop: float = STOP
-    prefixes: set[str] = field(default_factory=set)
+    # By first and later pieces: their prefixes with the log probability of those that
+    # are pieces, and None for the others; and the probabilities in the same way.
+    steps: tuple[dict, dict] = field(default=None, repr=False)
+    chances: tuple[dict, dict] = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
-        self.prefixes = {p[:i] for p in self.logs for i in range(1, len(p) + 1)}
+        self.steps = ({}, {})
+        for piece, log in self.logs.items():
+            table = self.steps[not piece.startswith(BEGIN)]
+            for i in range(1, len(piece)):
+                table.setdefault(piece[:i], None)
+            table[piece] = log
+        self.chances = tuple(
+            {p: None if w is None else math.exp(w) for p, w in t.items()} for t in self.steps
+        )
 
     @classmethod
     def from_weights(cls, weights: dict[str, float], bytes_: list[float], stop: float = STOP) -> Lattice:
@@ -86,60 +99,103 @@ class Lattice:
         data = c.encode("utf-8", "surrogatepass")
         return sum(self.bytes[b] for b in data) + (len(data) - 1) * math.log(1 - self.stop)
 
-    def _forward(self, text: str) -> Iterator[tuple[int, float, list[tuple[int, str, float]]]]:
-        """(position, log sum of all cuts up to it, arcs from it: end, piece, log weight),
-        from left to right; the last has no arcs. Arcs hold the chance to go on, too."""
-        logs, prefixes, exp, log = self.logs, self.prefixes, math.exp, math.log
-        more, size = math.log(1 - self.stop), len(text)
-        open_: dict[int, list[float]] = {0: [0.0]}
+    def log_probability(self, word: str) -> float:
+        """Natural log of the sum over all cuts of a word."""
+        text, table = BEGIN + word, self.steps[0]
+        later, exp, log, more = self.steps[1], math.exp, math.log, math.log(1 - self.stop)
+        size = len(text)
+        open_: list[list[float] | None] = [None] * (size + 1)
+        open_[0] = [0.0]
         for i in range(size + 1):
-            own = open_.pop(i, None)
+            own = open_[i]
             if own is None:
                 continue
-            if len(own) == 1:
-                here = own[0]
-            else:
+            open_[i] = None
+            here = own[0]
+            if len(own) > 1:
                 top = max(own)
                 here = top + log(sum([exp(t - top) for t in own]))
-            arcs = []
+            if i == size:
+                return here + log(self.stop)
+            if i:
+                here += more
+                table = later
+                if table.get(text[i]) is None:
+                    open_[i + 1] = [*(open_[i + 1] or ()), here + self._spelt(text[i])]
             for j in range(i + 1, size + 1):
-                piece = text[i:j]
-                if piece not in prefixes:
+                weight = table.get(text[i:j], False)
+                if weight is None:
+                    continue
+                if weight is False:
                     break
-                weight = logs.get(piece)
-                if weight is not None and (i == 0) == (piece[0] == BEGIN):
-                    arcs.append((j, piece, weight + more if i else weight))
-            if i and i < size and (text[i] not in logs or text[i] == BEGIN):
-                arcs.append((i + 1, "", self._spelt(text[i]) + more))
-            for j, _, weight in arcs:
-                open_.setdefault(j, []).append(here + weight)
-            yield i, here, arcs
-
-    def log_probability(self, word: str) -> float:
-        """Natural log of the sum over all cuts of a word."""
-        for _, here, _ in self._forward(BEGIN + word):
-            total = here
-        return total + math.log(self.stop)
+                if open_[j] is None:
+                    open_[j] = [here + weight]
+                else:
+                    open_[j].append(here + weight)
+        raise AssertionError("every word can be spelt")
 
     def expected(self, word: str) -> Iterator[tuple[str, float]]:
         """(piece, how often it is expected in a word); the bytes of a character count as
-        one piece each, named by their number."""
-        text = BEGIN + word
-        steps = list(self._forward(text))
-        total = steps[-1][1]
-        after = {len(text): 0.0}
-        for i, here, arcs in reversed(steps[:-1]):
-            ways = [(weight + after[j], j, piece) for j, piece, weight in arcs if j in after]
-            if not ways:
+        one piece each, named by their number. The sums forward and backward are scaled
+        at each position, so long words stay within doubles."""
+        text, go_on = BEGIN + word, 1 - self.stop
+        size = len(text)
+        # Arcs by their start; sums are held relative to the scale of their position.
+        arcs: list[list[tuple[int, float]] | None] = [None] * size
+        forward, scale = [0.0] * (size + 1), [0.0] * (size + 1)
+        reached = [False] * (size + 1)
+        forward[0], reached[0] = 1.0, True
+        log, exp = math.log, math.exp
+        short = size <= SHORT
+        for i in range(size):
+            if not reached[i]:
                 continue
-            top = max(ways)[0]
-            after[i] = top + math.log(sum([math.exp(w - top) for w, _, _ in ways]))
-            for w, j, piece in ways:
-                share = math.exp(min(here + w - total, 0.0))
-                if piece:
+            here, base = forward[i], scale[i]
+            table, own = self.chances[i > 0], []
+            for j in range(i + 1, size + 1):
+                chance = table.get(text[i:j], False)
+                if chance is None:
+                    continue
+                if chance is False:
+                    break
+                own.append((j, chance * go_on if i else chance))
+            if i and table.get(text[i]) is None:
+                own.append((i + 1, exp(self._spelt(text[i])) * go_on))
+            arcs[i] = own
+            for j, chance in own:
+                value = here * chance
+                if not short:
+                    if not reached[j]:
+                        scale[j] = base + log(value)
+                        value = 1.0
+                    else:
+                        value *= exp(min(base - scale[j], 600.0))
+                forward[j] += value
+                reached[j] = True
+        after, low = [0.0] * (size + 1), [0.0] * (size + 1)
+        after[size] = 1.0
+        whole = forward[size]
+        for i in range(size - 1, -1, -1):
+            for j, chance in arcs[i] or ():
+                value = chance * after[j]
+                if not value:
+                    continue
+                if short:
+                    share = forward[i] * value / whole
+                else:
+                    # exp(low) times after is the sum backward, as exp(scale) times forward.
+                    share = forward[i] * value / whole * exp(min(scale[i] + low[j] - scale[size], 600.0))
+                    if not after[i]:
+                        low[i] = low[j] + log(value)
+                        value = 1.0
+                    else:
+                        value *= exp(min(low[j] - low[i], 600.0))
+                after[i] += value
+                piece = text[i:j]
+                if self.chances[i > 0].get(piece) is not None:
                     yield piece, share
                 else:
-                    for byte in text[i].encode("utf-8", "surrogatepass"):
+                    for byte in piece.encode("utf-8", "surrogatepass"):
                         yield f"<{byte}>", share
 
     def revised(self, counts: dict[str, float], words: float, strength: float = STRENGTH) -> Lattice:
