@@ -132,6 +132,64 @@ def test_one_row_of_each_group_stays(spark):
     assert kept.count(None) == 1
 
 
+def shingles(text, n=5):
+    words = text.lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
+
+
+def similarity(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_similar_texts_become_one(spark):
+    """Copies of at least 0.88 go with their base, texts of at most 0.6 stay; between
+    them the estimate decides."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    rows, near, apart = [], 0, 0
+    for group in range(40):
+        base = [word() for _ in range(rng.randint(100, 500))]
+        rows.append((group * 100, group, " ".join(base)))
+        for i in range(1, 5):
+            text = list(base)
+            for at in rng.sample(range(len(text)), max(1, len(text) * rng.choice([1, 8, 15]) // 100)):
+                text[at] = word()
+            text = " ".join(text)
+            like = similarity(" ".join(base), text)
+            if like >= 0.88 or like <= 0.6:
+                near, apart = near + (like >= 0.88), apart + (like <= 0.6)
+                rows.append((group * 100 + i, group if like >= 0.88 else None, text))
+    assert near > 20 and apart > 40
+    rows += [(9000, None, "a b"), (9001, None, "a c"), (9002, 9002, ""), (9003, 9002, None), (9004, 9002, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, w0 long, text string")
+    kept = {r.doc_id for r in simhash.keep_first(docs.repartition(5), similarity=0.8).collect()}
+    lost = {(d, g) for d, g, _ in rows if d not in kept}
+    assert all(g is not None for _, g in lost)
+    copies = {d for d, g, _ in rows if g is not None and d not in (9002,) and d % 100}
+    assert len(copies & kept) <= 1 and {d for d, _, _ in rows} - copies <= kept
+
+
+def test_sketch_against_plain_sums():
+    text = "One two THREE two one three four five six one two three two one"
+    words = text.lower().split()
+    digest = lambda t: xxhash.xxh64_intdigest(t.encode(), 42)
+    plain = lambda hs: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    key, *wide = simhash.sketch(text)
+    assert key == plain([digest(w) for w in set(words)])
+    cut = {digest(" ".join(words[i : i + 5])) for i in range(len(words) - 4)}
+
+    def mixed(h, k):
+        z = (h + k * 0x9E3779B97F4A7C15) % 2**64
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+        z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+        return z ^ z >> 31
+
+    assert wide == [plain([mixed(h, k) for h in cut]) for k in (1, 2, 3, 4)]
+    assert simhash.sketch(" \t") == (0, 0, 0, 0, 0)
+    assert simhash.wide_distance(1.0) == 0 and simhash.wide_distance(0.8) == 39
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == []
