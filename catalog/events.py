@@ -80,6 +80,27 @@ def event_retention(spark, sf):
     return ev.count_by(ev.retained(docs, 10), "index_date")
 
 
+@query("event_index_last_days", f"""WITH {I.DOCS}, metrics AS (SELECT * FROM docs WHERE {PREFIX} = 'metrics')
+SELECT event_id, event_type, model_name FROM metrics WHERE ts >= (SELECT max(ts) FROM metrics) - INTERVAL 7 DAYS""")
+def event_index_last_days(spark, sf):
+    """The latest time from the latest day's folder, then the folders of the days asked for."""
+    root = _stored(spark, sf)
+    latest = store.index_days(spark, root, "metrics")[-1:]
+    docs = store.read_index(spark, root, "metrics")
+    as_of = docs.filter(F.col("index_date").isin(latest)).agg(F.max("ts")).first()[0]
+    recent = docs.limit(0) if as_of is None else ev.last_days_of_index(docs, 7, as_of)
+    return recent.select("event_id", "event_type", "model_name")
+
+
+@query("event_drop_expired", f"""WITH {I.DOCS}, d AS (SELECT {PREFIX} AS index_prefix, CAST(ts AS DATE) AS day FROM docs)
+SELECT index_prefix || '-' || strftime(day, '%Y.%m.%d') AS index_name, count(*) AS docs FROM d
+WHERE index_prefix <> 'metrics' OR day >= (SELECT max(day) FROM d WHERE index_prefix = 'metrics') - 10 GROUP BY 1""")
+def event_drop_expired(spark, sf):
+    root = _stored(spark, sf)
+    store.drop_expired(spark, root, "metrics", 10)
+    return store.docs_per_index(spark.read.parquet(root))
+
+
 # ---- filters ---------------------------------------------------------------------------------
 
 

@@ -43,6 +43,62 @@ def stream_event_ingest(spark, sf):
     ).agg(F.count("*").alias("docs"), F.unix_micros(F.max("@timestamp")).alias("last_us"))
 
 
+@query("stream_event_lines", """WITH d AS (
+  SELECT CASE WHEN event_id % 40 = 0 THEN 'corrupt' ELSE 'logs' END AS index_prefix, * FROM events)
+SELECT index_prefix, count(*) AS docs, CAST(sum(CASE WHEN index_prefix = 'logs' THEN length(props) ELSE 12 END) AS BIGINT) AS chars,
+  CASE WHEN index_prefix = 'logs' THEN CAST(max(epoch_us(ts)) AS BIGINT) END AS last_us,
+  CASE WHEN index_prefix = 'logs' THEN count(DISTINCT CAST(ts AS DATE)) END AS days FROM d GROUP BY 1""")
+def stream_event_lines(spark, sf):
+    """Lines with a field that no schema names, a third with their time in `@timestamp`, a
+    third without zone, and every fortieth cut off."""
+    feed, out = staging_path(spark, "feed"), staging_path(spark, "ingested")
+    local = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    zoned, third = F.concat(local, F.lit("Z")), F.col("event_id") % 3
+    line = F.to_json(
+        F.struct(
+            F.when(third == 0, zoned).when(third == 1, local).alias("timestamp"),
+            F.when(third == 2, zoned).alias("@timestamp"),
+            "event_id", "event_type", "props",
+        )
+    )
+    cut = F.when(F.col("event_id") % 40 == 0, F.substring(line, 1, 12)).otherwise(line)
+    I.table(spark, sf, "events").select(cut.alias("value")).write.text(feed)
+    docs = ingest.to_documents(ingest.read_event_lines(spark, feed))
+    for prefix, part in (("logs", ingest.well_formed(docs)), (store.CORRUPT_PREFIX, ingest.malformed(docs))):
+        _finish(ingest.start_ingest(part, f"{out}/table", f"{out}/{prefix}", prefix, availableNow=True))
+    good = store.read_index(spark, f"{out}/table", "logs").groupBy("index_prefix").agg(
+        F.count("*").alias("docs"),
+        F.sum(F.length(F.col("fields")["props"])).alias("chars"),
+        F.unix_micros(F.max("@timestamp")).alias("last_us"),
+        F.count_distinct("index_date").alias("days"),
+    )
+    bad = store.read_index(spark, f"{out}/table", store.CORRUPT_PREFIX).groupBy("index_prefix").agg(
+        F.count("*").alias("docs"),
+        F.sum(F.length("_corrupt_record")).alias("chars"),
+        F.lit(None).cast("long").alias("last_us"),
+        F.lit(None).cast("long").alias("days"),
+    )
+    return good.unionByName(bad)
+
+
+@query("stream_event_closed_windows", f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS docs,
+  {I.rnd('avg(value)')} AS avg_value FROM events
+WHERE date_trunc('day', ts) + INTERVAL 25 HOURS <= (SELECT max(ts) FROM events) GROUP BY 1, 2""")
+def stream_event_closed_windows(spark, sf):
+    """Each day once, an hour of event time after its end."""
+    out = staging_path(spark, "series")
+    events = _table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    series = histogram.windowed(
+        events, F.count("*").alias("docs"), F.avg("value").alias("avg_value"), keys=["event_type"]
+    )
+    _finish(histogram.start_append(series, f"{out}/table", f"{out}/checkpoint", availableNow=True))
+    return I.rounded(
+        spark.read.parquet(f"{out}/table").select(
+            F.date_format("bucket_start", "yyyy-MM-dd").alias("day"), "event_type", "docs", "avg_value"
+        )
+    )
+
+
 @query("stream_event_histogram", f"""SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS docs,
   {I.rnd('avg(value)')} AS avg_value FROM events GROUP BY 1, 2""")
 def stream_event_histogram(spark, sf):

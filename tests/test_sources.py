@@ -132,3 +132,48 @@ def test_bulk_append_counts_and_keeps_bad_rows(spark, tmp_path):
     assert sorted(r._corrupt_record for r in bad.collect()) == sorted(lines[1:3])
     good = store.read_index(spark, f"{tmp_path}/b", "events")
     assert {(r.n, r.index_date) for r in good.collect()} == {(1, "2024.01.05"), (4, "unknown")}
+
+
+def test_invalid_element_is_refused(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('[{"id": "a", "n": 1}, {"id": "b" "n": 2}, {"id": "c"}]')
+    with pytest.raises(Exception, match="not valid JSON: element 1"):
+        files.json_array_to_jsonl(spark, f"{tmp_path}/bad.json", f"{tmp_path}/out")
+
+
+def test_array_reader_splits_files(spark, tmp_path):
+    key = "spark.sql.files.maxPartitionBytes"
+    size = spark.conf.get(key)
+    rows = [{"id": str(i), "conversations": [{"from": "human", "value": 'a "}]{ ' * 9}]} for i in range(300)]
+    (tmp_path / "a.json").write_text(json.dumps([*rows, {"id": "none", "conversations": None}], indent=1))
+    (tmp_path / "empty.json").write_text("[]")
+    try:
+        spark.conf.set(key, "4k")
+        got = files.read_json_array(spark, f"{tmp_path}/*.json").collect()
+    finally:
+        spark.conf.set(key, size)
+    assert {r.id for r in got} == {*map(str, range(300)), "none"} and len(got) == 301
+    assert {r.conversations[0].value for r in got if r.conversations} == {'a "}]{ ' * 9}
+
+
+def test_times_without_zone_are_utc_in_any_session(spark):
+    texts = ["2024-01-05T23:30:00", "2024-01-05 23:30:00Z", "2024-01-05T18:30:00-05:00", "2024-01-06T01:30:00.000+0200",
+             "2024-01-05", "soon", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "America/New_York", "Asia/Tokyo"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            got = [r[0] for r in df.orderBy("i").select(F.unix_seconds(store.event_time("t"))).collect()]
+            assert got == [1704497400] * 4 + [1704412800] + [None] * 3
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_expired_days_are_removed(spark, tmp_path):
+    root = f"{tmp_path}/events"
+    assert store.drop_expired(spark, root, "metrics", 1) == []
+    store.append(store.documents(event_rows(spark), "metrics"), root)
+    store.append(store.documents(event_rows(spark), "logs"), root)
+    assert store.drop_expired(spark, root, "metrics", 1) == ["2024.01.01", "2024.01.02", "2024.01.03"]
+    assert store.index_days(spark, root, "metrics") == ["2024.01.04", "2024.01.05"]
+    assert len(store.index_days(spark, root, "logs")) == 5 and spark.read.parquet(root).count() == 70

@@ -86,3 +86,25 @@ def test_scoring_equals_batch(spark, tmp_path):
     got = spark.read.parquet(f"{tmp_path}/a")
     want = scoring.score_prompts(df, MODEL)
     assert sorted(got.collect(), key=lambda r: r.i) == sorted(want.select(got.columns).collect(), key=lambda r: r.i)
+
+
+def test_ingest_keeps_fields_times_and_bad_lines(spark, tmp_path):
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    lines = [
+        json.dumps({"@timestamp": "2024-01-05T23:30:00", "event_type": "log", "logger": "x.y", "metrics": {"a": 1.5}}),
+        json.dumps({"timestamp": "2024-01-07T10:00:00Z", "@timestamp": "2020-01-01T00:00:00Z", "value": 2.5}),
+        '{"event_type": "cu',
+        '{"event_id": "no number", "line": 3}',
+        "  ",
+    ]
+    (feed / "1.json").write_text("\n".join(lines))
+    docs = ingest.to_documents(ingest.read_event_lines(spark, str(feed)))
+    out = f"{tmp_path}/table"
+    run(ingest.start_ingest(ingest.well_formed(docs), out, f"{tmp_path}/a", availableNow=True))
+    run(ingest.start_ingest(ingest.malformed(docs), out, f"{tmp_path}/b", store.CORRUPT_PREFIX, availableNow=True))
+    good = {r.index_date: r for r in store.read_index(spark, out, "logs").collect()}
+    assert set(good) == {"2024.01.05", "2024.01.07"}
+    assert good["2024.01.05"].fields == {"logger": "x.y", "metrics": '{"a":1.5}'} and good["2024.01.07"].value == 2.5
+    bad = store.read_index(spark, out, store.CORRUPT_PREFIX).collect()
+    assert sorted(r._corrupt_record for r in bad) == sorted(lines[2:4])

@@ -113,3 +113,14 @@ def test_preprocess_job(spark, conversations, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/sample").count() == 800
     few = preprocess(spark, f"{raw}.json", f"{tmp_path}/few", sample_conversations=10).first()
     assert few.total_conversations == 10
+
+
+def test_sample_of_repeated_keys_needs_no_single_task(spark):
+    df = spark.range(4000).selectExpr("CAST(NULL AS STRING) AS id", "id % 700 AS n", "map('a', id % 700) AS m")
+    for n in (1, 650, 3999, 5000):
+        got = sampling.sample_rows(df, ["id"], n).collect()
+        assert len(got) == min(n, 4000) and all(r.m == {"a": r.n} for r in got)
+    a, b = (sorted(r.n for r in sampling.sample_rows(d, ["id"], 650).collect()) for d in (df, df.repartition(7)))
+    assert a == b
+    same = spark.range(3000).selectExpr("CAST(NULL AS STRING) AS id", "1 AS n")
+    assert sampling.sample_rows(same, ["id"], 1200).count() == 1200

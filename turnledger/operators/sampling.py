@@ -17,7 +17,8 @@ def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = K.SPLIT_
     n-th smallest hash is looked up first, from key columns only, and the rows are then
     picked where they are. For the lookup the rows below 1, 1/2, 1/4, ... are counted in
     one pass, and only hashes below the smallest of these bounds with n rows or more are
-    sorted. Rows that share the last key are taken up to n.
+    sorted. Of rows that share the last key those with the smallest hashes of the whole
+    row are taken, up to n.
     """
     hash_ = hash_fraction(keys, seed)
     below = {f"below_{i}": 2.0**-i for i in reversed(range(41))}
@@ -44,17 +45,45 @@ def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = K.SPLIT_
         .select(F.struct("position", "copies").alias("last"))
         .scalar()
     )
-    copy = F.row_number().over(Window.partitionBy("_position").orderBy("_position"))
-    return (
-        df.withColumn("_position", position)
-        .withColumn("_last", last)
-        .filter(F.col("_position") <= F.col("_last.position"))
-        .withColumn("_copy", copy)
-        .filter(
-            (F.col("_position") < F.col("_last.position")) | (F.col("_copy") <= F.col("_last.copies"))
+    placed = df.withColumn("_position", position).withColumn("_last", last)
+    first = placed.filter(F.col("_position") < F.col("_last.position")).select(*df.columns)
+    tied = placed.filter(F.col("_position") == F.col("_last.position")).drop("_position")
+    return first.unionByName(_first_rows(tied, df.columns, n))
+
+
+def _first_rows(tied: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
+    """Of rows that share a key, the `_last.copies` (at most n) with the smallest hashes
+    of the whole row. Rows that are equal throughout are only counted before they are
+    repeated, so no task holds all rows of a key."""
+    hashed = F.xxhash64(*[c for c, t in tied.select(*columns).dtypes if "map<" not in t and t != "variant"])
+    marked = tied.withColumn("_hash", hashed)
+    # At most n numbers reach the one task that finds the last hash.
+    smallest = marked.select("_hash", F.col("_last.copies").alias("copies")).orderBy("_hash").limit(n)
+    place = F.row_number().over(Window.orderBy("_hash"))
+    cut = (
+        smallest.withColumn("place", place)
+        .filter("place <= copies")
+        .groupBy("_hash")
+        .agg(F.count("*").alias("copies"))
+        .orderBy(F.desc("_hash"))
+        .limit(1)
+        .select(F.struct("_hash", "copies").alias("cut"))
+        .scalar()
+    )
+    against = marked.withColumn("_cut", cut)
+    whole = against.filter(F.col("_hash") < F.col("_cut._hash")).select(*columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    repeated = (
+        against.filter(F.col("_hash") == F.col("_cut._hash"))
+        .groupBy("_hash")
+        .agg(
+            F.first(row).alias("row"),
+            F.least(F.count("*"), F.first("_cut.copies")).cast("int").alias("copies"),
         )
-        .drop("_position", "_last", "_copy")
+        .select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
+        .select("row.*")
     )
+    return whole.unionByName(repeated)
 
 
 def in_first_part(keys: Sequence[str], share: float = 0.8, seed: int = K.SPLIT_SEED) -> Column:

@@ -17,10 +17,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: StructType = CONVERSATION
 
 def read_json_array(spark: SparkSession, path: str,
                     schema: StructType = CONVERSATION) -> DataFrame:
-    """Files that each hold one JSON array. A file is one task: convert large ones
-    with `json_array_to_jsonl` first."""
-    files = spark.read.schema(schema).option("multiLine", True).json(path)
-    return files.select(*schema.names)
+    """Files that each hold one JSON array, split between tasks by `array_elements`."""
+    elements = array_elements(spark, path)
+    return elements.select(F.from_json("value", schema).alias("d")).select("d.*")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

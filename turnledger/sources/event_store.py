@@ -7,6 +7,8 @@ range of days lists only the matching folders.
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
@@ -22,6 +24,19 @@ def utc(df: DataFrame, ts: str) -> Column:
     return F.col(ts)
 
 
+def event_time(text: Column | str) -> Column:
+    """The instant that an ISO 8601 text names, null if it is unreadable. Texts without a
+    zone are UTC, as writers without zone mean it, whatever zone the session has."""
+    text = F.trim(F.col(text) if isinstance(text, str) else text)
+    zoned = F.regexp_like(text, F.lit(r"\d:\d\d.*([A-Za-z]|[+-]\d{1,2}(:?\d{2})?)$"))
+    day_only = F.regexp_like(text, F.lit(r"^\d{4}-\d{1,2}-\d{1,2}$"))
+    return F.try_to_timestamp(
+        F.when(zoned, text)
+        .when(day_only, F.concat(text, F.lit("T00:00:00Z")))
+        .otherwise(F.concat(text, F.lit("Z")))
+    )
+
+
 def index_day(df: DataFrame, ts: str) -> Column:
     """UTC day of the event as `yyyy.MM.dd`. Taken from the event, not from the clock
     of the writer, so late documents land in the right index."""
@@ -57,14 +72,18 @@ def append(docs: DataFrame, root: str) -> None:
     )
 
 
-def parse_lines(lines: DataFrame, schema: StructType, column: str = "value") -> DataFrame:
-    """JSON lines -> schema columns and `_corrupt_record`, which is null for good rows."""
+def parse_lines(lines: DataFrame, schema: StructType, column: str = "value",
+                others: dict[str, Column] | None = None) -> DataFrame:
+    """JSON lines -> schema columns and `_corrupt_record`, which is null for good rows;
+    `others` are more columns, computed from the line."""
+    more = others or {}
     full = StructType([*schema.fields, StructField("_corrupt_record", StringType())])
     return lines.select(
         F.from_json(
             column, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-        ).alias("d")
-    ).select("d.*")
+        ).alias("d"),
+        *[c.alias(name) for name, c in more.items()],
+    ).select("d.*", *more)
 
 
 def bulk_append(lines: DataFrame, schema: StructType, root: str, index_prefix: str,
@@ -74,7 +93,7 @@ def bulk_append(lines: DataFrame, schema: StructType, root: str, index_prefix: s
     parsed = parse_lines(lines, schema)
     bad = F.col("_corrupt_record").isNotNull()
     prefix = F.when(bad, F.lit(CORRUPT_PREFIX)).otherwise(F.lit(index_prefix))
-    docs = documents(parsed.withColumn(ts, F.try_to_timestamp(ts)), prefix, ts)
+    docs = documents(parsed.withColumn(ts, event_time(ts)), prefix, ts)
     docs = docs.withColumn("index_date", F.coalesce("index_date", F.lit(UNKNOWN_DAY)))
     counted = Observation()
     append(
@@ -106,6 +125,40 @@ def read_index(spark: SparkSession, root: str, prefix: str, first_day: str | Non
     return docs
 
 
+def index_days(spark: SparkSession, root: str, prefix: str) -> list[str]:
+    """Days of the daily indices of a prefix, in order, from the folder listing alone."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/index_prefix={prefix}")
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in fs.listStatus(folder)]
+    days = [n.removeprefix("index_date=") for n in names if n.startswith("index_date=")]
+    return sorted(d for d in days if d != UNKNOWN_DAY)
+
+
+def drop_expired(spark: SparkSession, root: str, prefix: str, days: int,
+                 as_of: date | None = None) -> list[str]:
+    """Remove the daily indices of a prefix older than `days` days before `as_of` (its
+    latest day if not given) and return their days. Documents without a day stay.
+
+    Only for prefixes that batch jobs fill: the commit log of a stream would still name
+    the files.
+    """
+    present = index_days(spark, root, prefix)
+    if not present:
+        return []
+    last = as_of or datetime.strptime(present[-1], "%Y.%m.%d").date()
+    first_kept = (last - timedelta(days=days)).strftime("%Y.%m.%d")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/index_prefix={prefix}")
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_spark_metadata")):
+        raise ValueError(f"a stream writes the indices of {prefix}")
+    expired = [d for d in present if d < first_kept]
+    for day in expired:
+        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"index_date={day}"), True)
+    return expired
+
+
 def docs_per_index(docs: DataFrame) -> DataFrame:
     """Documents per daily index, sorted by index name."""
     return (

@@ -106,7 +106,8 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame:
 
     Pieces and block starts are staged in the shared folder, so the files are parsed
     once and the planner knows how small the block starts are. Raises ValueError if a
-    file is cut off or not an array.
+    file is cut off or not an array; a job that meets an element that is not valid JSON
+    fails with the element's number.
     """
     staged = staging_path(spark, "json-array")
     _pieces(spark, path).write.parquet(f"{staged}/pieces")
@@ -145,4 +146,10 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame:
     )
     text = F.concat(F.array_join(F.col("parts")["value"], "}"), F.lit("}"))
     one_line = F.regexp_replace(F.regexp_replace(text, r"^[\s,\[]+", ""), r"[\r\n]\s*", "")
-    return elements.select("file", "element", one_line.alias("value"))
+    # Brackets and quotes that match do not make an object yet. The text behind the last
+    # element is no element: a filter may be evaluated after the check.
+    broken = F.concat(F.lit("not valid JSON: element "), "element", F.lit(" of "), "file")
+    bad = (F.col("complete") == 1) & F.get_json_object("value", "$").isNull()
+    return elements.withColumn("value", one_line).select(
+        "file", "element", F.when(bad, F.raise_error(broken)).otherwise(F.col("value")).alias("value")
+    )

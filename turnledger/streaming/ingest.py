@@ -4,29 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from turnledger.schemas import EVENT_LINE
-from turnledger.sources.event_store import index_day
+from turnledger.sources.event_store import event_time, index_day, parse_lines
+
+AT = "@timestamp"
 
 
 def read_event_lines(spark: SparkSession, path: str, schema: StructType = EVENT_LINE,
                      max_files_per_trigger: int | None = None) -> DataFrame:
-    """A stream of the JSON-lines files that arrive in a folder."""
-    reader = spark.readStream.schema(schema)
+    """A stream of the JSON-lines files that arrive in a folder.
+
+    Beside the columns of the schema: `@timestamp` as text, `fields` with all other fields
+    of the line (nested ones as JSON text), and `_corrupt_record`, the text of a line that
+    does not fit, else null. Blank lines are skipped.
+    """
+    reader = spark.readStream
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.json(path)
+    lines = reader.text(path).filter(F.trim("value") != "")
+    full = schema if AT in schema.names else StructType([*schema.fields, StructField(AT, StringType())])
+    known = F.array(*[F.lit(n) for n in full.names])
+    every = F.from_json("value", "map<string,string>")
+    others = F.map_filter(every, lambda name, _: ~F.array_contains(known, name))
+    return parse_lines(lines, full, others={"fields": others})
 
 
 def to_documents(lines: DataFrame, tag: str = "turnledger") -> DataFrame:
-    """`@timestamp` from the ISO 8601 field `timestamp`, or the time of arrival where
-    it is missing or unreadable; the tag and the day of the index are added."""
-    stamped = lines.withColumn(
-        "@timestamp", F.coalesce(F.try_to_timestamp("timestamp"), F.current_timestamp())
-    )
-    return stamped.withColumns(
-        {"pipeline": F.lit(tag), "index_date": index_day(stamped, "@timestamp")}
+    """`@timestamp` from the ISO 8601 field `timestamp`, else from the line's own
+    `@timestamp`, or the time of arrival where both are missing or unreadable; the tag
+    and the day of the index are added."""
+    given = [event_time(c) for c in ("timestamp", AT) if c in lines.columns]
+    stamped = lines.withColumn(AT, F.coalesce(*given, F.current_timestamp()))
+    return stamped.withColumns({"pipeline": F.lit(tag), "index_date": index_day(stamped, AT)})
+
+
+def well_formed(docs: DataFrame) -> DataFrame:
+    return docs.filter("_corrupt_record IS NULL").drop("_corrupt_record")
+
+
+def malformed(docs: DataFrame) -> DataFrame:
+    """Lines that do not fit, with their text: for an ingest of their own, under the
+    prefix `event_store.CORRUPT_PREFIX`."""
+    return docs.filter("_corrupt_record IS NOT NULL").select(
+        "_corrupt_record", AT, "pipeline", "index_date"
     )
 
 
