@@ -76,8 +76,8 @@ def savings_pct(saved: Column | str, total: Column | str) -> Column:
 # ---- prompt library --------------------------------------------------------------
 
 
-def _unicode_words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(K.UNICODE_NOT_BLANK + "+"), F.lit(0))
+def _count_words(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(K.UNICODE_NOT_BLANK + "+"))
 
 
 def unicode_trim(text: Column | str) -> Column:
@@ -88,14 +88,14 @@ def unicode_trim(text: Column | str) -> Column:
 
 def num_words(text: Column | str) -> Column:
     """Words between Unicode blanks; 0 for null and empty text."""
-    return F.coalesce(F.array_size(_unicode_words(_col(text))), F.lit(0))
+    return F.coalesce(_count_words(_col(text)), F.lit(0))
 
 
 def approx_tokens(text: Column | str) -> Column:
     """0 for null or empty text, else the number of words but at least 1."""
     text = _col(text)
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(
-        F.greatest(F.lit(1), F.array_size(_unicode_words(text)))
+        F.greatest(F.lit(1), _count_words(text))
     )
 
 
@@ -106,9 +106,9 @@ def sentence_pieces(text: Column | str) -> Column:
 
 def mean_word_length(text: Column | str) -> Column:
     """Mean length of the words themselves; 0 when there is none."""
-    words = _unicode_words(_col(text))
-    letters = F.length(F.array_join(words, ""))
-    return F.coalesce(F.try_divide(letters, F.array_size(words)), F.lit(0.0))
+    text = _col(text)
+    letters = F.length(F.regexp_replace(text, K.UNICODE_BLANK + "+", ""))
+    return F.coalesce(F.try_divide(letters, _count_words(text)), F.lit(0.0))
 
 
 def shorten(text: Column | str, stopwords: Sequence[str] = K.BASIC_STOPWORDS,
