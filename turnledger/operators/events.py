@@ -68,8 +68,9 @@ def retained(docs: DataFrame, days: int, as_of: date | None = None) -> DataFrame
     """Documents of the event table from the last `days` days before `as_of` (the latest
     daily index if not given).
 
-    Decided on `index_date` alone: neither finding the latest day nor the filter opens
-    files of other days. Documents without a day are kept.
+    Decided on `index_date` alone, so the filter skips folders of other days. Finding the
+    latest day opens every file, if only its footer: `event_store.index_days` takes it from
+    the folder listing, to be given as `as_of`. Documents without a day are kept.
     """
     if as_of is None:
         days_only = docs.filter(F.col("index_date") != UNKNOWN_DAY)
