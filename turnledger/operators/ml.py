@@ -21,8 +21,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnledger import constants as K
 
-FEATURE_SETS = {"reference": K.FEATURE_COLUMNS, "no_leak": K.NO_LEAK_COLUMNS}
-
 
 def assembler(features: Sequence[str] = K.FEATURE_COLUMNS) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="raw_features", handleInvalid="skip")
