@@ -7,6 +7,7 @@ from pyspark.sql.types import DoubleType, LongType, StringType, StructField, Str
 
 from catalog import inputs as I
 from catalog.registry import query
+from turnledger.functions.money import request_cost
 from turnledger.operators import events as ev
 from turnledger.sources import event_store as store
 from turnledger.storage import staging_path
@@ -202,6 +203,10 @@ _series("event_volume_over_time", None, "count(*)", lambda: F.count("*"), "docs"
 _series("event_latency_over_time", "prediction", I.rnd("avg(value)"), lambda: F.avg("value"), "avg_ms")
 _series("event_throughput_over_time", "data_processing", I.rnd(f"avg({SQL_THROUGHPUT})"),
         lambda: F.avg(ev.throughput("rows_processed", "processing_time_seconds")), "avg_throughput")
+# Requests with k tokens in and twice as many out.
+SQL_ESTIMATED_COST = I.rnd_shown("k / 1000.0::DOUBLE * 0.0015::DOUBLE + 2 * k / 1000.0::DOUBLE * 0.002::DOUBLE", 6)
+_series("event_estimated_cost_over_time", "prediction", I.rnd(f"avg({SQL_ESTIMATED_COST})"),
+        lambda: F.avg(request_cost("k", 2 * F.col("k"))), "avg_estimated_cost")
 
 
 @query("event_multi_avg_over_time", f"""WITH {I.DOCS}, wide AS (

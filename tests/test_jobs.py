@@ -30,3 +30,45 @@ def test_all_jobs_in_a_row(spark, conversations, tmp_path):
 def test_unknown_price_model(spark):
     with pytest.raises(SystemExit):
         main(["cost", "out", "--model", "unknown"], spark)
+
+
+def test_run_records_its_stages(spark, conversations, tmp_path):
+    raw, out, events = f"{tmp_path}/raw.jsonl", f"{tmp_path}/out", f"{tmp_path}/events"
+    conversations.write.json(raw)
+    main(["run", raw, out, "--folds", "2", "--model", "gpt-4o", "--events", events], spark)
+    docs = store.read_index(spark, events, "events")
+    kinds = {k: list(docs.filter(docs.event_type == k).collect()) for k in (
+        "pipeline_run_started", "pipeline_stage", "pipeline_run_completed", "training_summary",
+        "cost_analysis", "data_processing")}
+    assert {k: len(v) for k, v in kinds.items()} == {
+        "pipeline_run_started": 1, "pipeline_stage": 3, "pipeline_run_completed": 1,
+        "training_summary": 1, "cost_analysis": 1, "data_processing": 2}
+    done, trained, cost = (kinds[k][0] for k in ("pipeline_run_completed", "training_summary", "cost_analysis"))
+    assert (done.status, done.failed_stages, done.stage_count) == ("ok", [], 3) and done.duration_seconds > 0
+    assert trained.model_count == 3 and trained.dataset_size == 800 and trained.best_r2 > 0.9
+    evaluation = spark.read.json(f"{out}/evaluation")
+    assert trained.best_model == evaluation.filter("best").first().model_name
+    assert trained.total_training_time_seconds > 0
+    totals = spark.read.json(f"{out}/report/totals").first()
+    assert cost.model == "gpt-4o" and cost.total_conversations == 200
+    assert abs(cost.total_cost_raw_usd - totals.total_cost_raw_usd) < 1e-6
+
+
+def test_run_goes_on_after_a_failed_stage(spark, conversations, tmp_path):
+    raw, out, events = f"{tmp_path}/raw.jsonl", f"{tmp_path}/out", f"{tmp_path}/events"
+    conversations.write.json(raw)
+    main(["run", raw, out, "--skip", "train", "--skip", "cost", "--events", events], spark)
+    with pytest.raises(SystemExit) as stopped:
+        main(["run", f"{tmp_path}/absent", out, "--skip", "train", "--events", events], spark)
+    assert stopped.value.code == 1
+    docs = store.read_index(spark, events, "events")
+    done = {r.status: r for r in docs.filter("event_type = 'pipeline_run_completed'").collect()}
+    assert (done["ok"].stage_count, done["failed"].stage_count) == (1, 2)
+    assert done["failed"].failed_stages == ["preprocess"]
+    stages = docs.filter("event_type = 'pipeline_stage'").withColumnRenamed("ts", "at")
+    summary = {r.run_id: r for r in ev.run_summary(stages).collect()}
+    for r in done.values():
+        assert summary[r.run_id].failed_stages == r.failed_stages
+        assert summary[r.run_id].status == r.status and summary[r.run_id].stage_count == r.stage_count
+    errors = stages.filter("run_id = '%s' AND stage = 'preprocess'" % done["failed"].run_id).first()
+    assert errors.status == "error" and "absent" in errors.error

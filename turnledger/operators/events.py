@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampType
 
 from turnledger.functions.text import has_term, num_words, unicode_trim
@@ -182,6 +182,71 @@ def processing_document(result: DataFrame, rows: str, operation: str, seconds: f
     )
 
 
+def cost_document(totals: DataFrame, model: str, at: datetime) -> DataFrame:
+    """The totals of a cost report as the document of that analysis."""
+    return totals.select(
+        utc_literal(at).alias("ts"),
+        F.lit("cost_analysis").alias("event_type"),
+        F.lit("cost").alias("stage"),
+        F.lit("ok").alias("status"),
+        F.lit(model).alias("model"),
+        *totals.columns,
+    )
+
+
+def training_summary_document(metrics: DataFrame, best: str, at: datetime) -> DataFrame:
+    """One document about a training: the best model, and what all models took."""
+    return metrics.agg(
+        F.round(F.max(F.when(F.col("model_name") == best, F.col("r2"))), 6).alias("best_r2"),
+        F.max("dataset_size").alias("dataset_size"),
+        F.round(F.sum("training_time_seconds"), 3).alias("total_training_time_seconds"),
+        F.count("*").alias("model_count"),
+    ).select(
+        utc_literal(at).alias("ts"),
+        F.lit("training_summary").alias("event_type"),
+        F.lit("train").alias("stage"),
+        F.lit("ok").alias("status"),
+        F.lit(best).alias("best_model"),
+        "*",
+    )
+
+
+def run_started_document(spark: SparkSession, run_id: str, at: datetime) -> DataFrame:
+    return _run_document(spark, "pipeline_run_started", run_id, "running", at)
+
+
+def stage_document(spark: SparkSession, run_id: str, stage: str, error: str | None,
+                   at: datetime) -> DataFrame:
+    """The result of one stage; `run_summary` reads these with `ts` as their order."""
+    status = "ok" if error is None else "error"
+    return _run_document(spark, "pipeline_stage", run_id, status, at).select(
+        "*", F.lit(stage).alias("stage"), F.lit(error).cast("string").alias("error")
+    )
+
+
+def run_completed_document(spark: SparkSession, run_id: str, errors: dict[str, str | None],
+                           seconds: float, at: datetime) -> DataFrame:
+    """The end of a run; `errors` has an entry for each stage, None where it went well."""
+    failed = [stage for stage, error in errors.items() if error is not None]
+    status = "failed" if failed else "ok"
+    return _run_document(spark, "pipeline_run_completed", run_id, status, at).select(
+        "*",
+        F.array(*[F.lit(s) for s in failed]).cast("array<string>").alias("failed_stages"),
+        F.lit(len(errors)).cast("long").alias("stage_count"),
+        F.lit(round(seconds, 2)).alias("duration_seconds"),
+    )
+
+
+def _run_document(spark: SparkSession, event_type: str, run_id: str, status: str,
+                  at: datetime) -> DataFrame:
+    return spark.range(1).select(
+        utc_literal(at).alias("ts"),
+        F.lit(event_type).alias("event_type"),
+        F.lit(run_id).alias("run_id"),
+        F.lit(status).alias("status"),
+    )
+
+
 def prediction_documents(answers: DataFrame, prompt: str, model_name: str,
                          ts: str = "ts") -> DataFrame:
     """Answers of `scoring.score_prompts` as one document per request."""

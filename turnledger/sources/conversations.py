@@ -30,7 +30,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def read_conversations(spark: SparkSession, json_path: str,
                        schema: StructType = CONVERSATION) -> DataFrame:
-    """The `.jsonl` sibling of a JSON array file if there is one, else the array."""
+    """The `.jsonl` sibling of a JSON array file if there is one, else the array. A path
+    that ends with `.jsonl` is read as lines."""
+    if json_path.rstrip("/").endswith(".jsonl"):
+        return read_jsonl(spark, json_path, schema)
     sibling = json_path.removesuffix(".json") + ".jsonl"
     if _exists(spark, sibling):
         return read_jsonl(spark, sibling, schema)
