@@ -177,3 +177,11 @@ def test_expired_days_are_removed(spark, tmp_path):
     assert store.drop_expired(spark, root, "metrics", 1) == ["2024.01.01", "2024.01.02", "2024.01.03"]
     assert store.index_days(spark, root, "metrics") == ["2024.01.04", "2024.01.05"]
     assert len(store.index_days(spark, root, "logs")) == 5 and spark.read.parquet(root).count() == 70
+
+
+def test_lines_are_not_an_array(spark, tmp_path):
+    (tmp_path / "lines.txt").write_text('{"id": "1", "conversations": []}\n{"id": "2", "conversations": []}\n')
+    with pytest.raises(ValueError, match="lines.txt"):
+        files.read_json_array(spark, f"{tmp_path}/lines.txt").collect()
+    (tmp_path / "spaced.json").write_text(' \n[ {"id": "1", "conversations": []}]\n')
+    assert [r.id for r in files.read_json_array(spark, f"{tmp_path}/spaced.json").collect()] == ["1"]

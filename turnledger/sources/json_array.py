@@ -73,12 +73,13 @@ def _before(column: str) -> Column:
 
 
 def _block_starts(pieces: DataFrame) -> DataFrame:
-    """file, block, in_string, depth: the state in which each block begins, and the
-    change of depth over it."""
+    """file, block, in_string, depth: the state in which each block begins, the change of
+    depth over it, and whether its text begins with an array."""
     sums = pieces.groupBy(*BLOCK).agg(
         F.sum("quotes").alias("quotes"),
         F.max_by("depth_0", "row").alias("change_0"),
         F.max_by("depth_1", "row").alias("change_1"),
+        F.min_by(F.regexp_like("value", F.lit(r"^\x{FEFF}?\s*\[")), "row").alias("opens"),
     )
     return (
         sums.withColumn("in_string", _before("quotes") % 2 == 1)
@@ -87,15 +88,17 @@ def _block_starts(pieces: DataFrame) -> DataFrame:
             F.when(F.col("in_string"), F.col("change_1")).otherwise(F.col("change_0")),
         )
         .withColumn("depth", _before("change"))
-        .select(*BLOCK, "in_string", "depth", "change")
+        .select(*BLOCK, "in_string", "depth", "change", "opens")
     )
 
 
 def _require_complete(starts: DataFrame) -> None:
     """The text after the last `}` of a file counts as a piece that ends with one more:
-    a complete array leaves depth -1."""
-    ends = starts.groupBy("file").agg(F.sum("change").alias("depth"))
-    broken = [r.file for r in ends.filter("depth <> -1").limit(5).collect()]
+    a complete array leaves depth -1. JSON lines do as well, but do not begin with `[`."""
+    ends = starts.groupBy("file").agg(
+        F.sum("change").alias("depth"), F.min_by("opens", "block").alias("opens")
+    )
+    broken = [r.file for r in ends.filter("depth <> -1 OR NOT opens").limit(5).collect()]
     if broken:
         raise ValueError(f"not complete JSON arrays: {broken}")
 
@@ -116,7 +119,7 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame:
     starts = spark.read.parquet(f"{staged}/starts")
     _require_complete(starts)
 
-    placed = pieces.join(starts.drop("change"), BLOCK)
+    placed = pieces.join(starts.drop("change", "opens"), BLOCK)
     relative = F.when(F.col("in_string"), F.col("depth_1")).otherwise(F.col("depth_0"))
     quotes = F.col("quotes_before") + F.col("quotes") + F.col("in_string").cast("int")
     placed = placed.withColumn(
