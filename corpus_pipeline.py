@@ -19,9 +19,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+# Share of common five-word shingles from which two documents are near duplicates.
+SIMILARITY = 0.8
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
-    return simhash.keep_first(docs)
+    return simhash.keep_first(docs, similarity=SIMILARITY)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

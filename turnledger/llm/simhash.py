@@ -14,10 +14,8 @@ pairs; every link still holds its two ends together. Crowded buckets are cut int
 of indexed fingerprints.
 
 Three of 64 bits is a tight bound: of texts that share 80 to 85 % of their five-word
-shingles it links one in twelve. With a `similarity`, `keep_first` searches twice. The
-second search finds candidates by a fingerprint of the distinct words, which a changed
-word moves by few bits, and takes those whose 256-bit fingerprints of five-word shingles
-tell that similarity or more.
+shingles it links one in twelve. With a `similarity`, `keep_first` also links all texts
+whose sets of five-word shingles have it, exactly (see `shingle_join`).
 """
 
 from __future__ import annotations
@@ -31,19 +29,16 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from turnledger.llm.common import keep, map_batches, text_or_empty
 from turnledger.llm.components import components
+from turnledger.llm.shingle_join import joined, text_id
 
 BITS = 64
 # Links at this many differing bits or fewer.
 DISTANCE = 3
 SHINGLE_WORDS = 3
 SEED = 42
-# The second search: sets of shingles of so many words, estimated on four longs; bits in
-# which the fingerprints of the distinct words differ at most (at a similarity of 0.8 or
-# more 99.7 % of the pairs of a check table do, measured outside Spark); parts.
+# The second search: sets of shingles of so many words; estimates of them on four longs.
 SIMILAR_WORDS = 5
 WIDE = ["w0", "w1", "w2", "w3"]
-WORD_DISTANCE = 9
-WORD_PARTS = 5
 # Parts of the 64 bits. The tables below have 2^(64 / parts) entries a part: 2 MB in all
 # at four parts, whatever the input.
 PARTS = 4
@@ -117,40 +112,24 @@ def wide_distance(similarity: float) -> int:
     return round(BITS * len(WIDE) * np.arccos(cosine) / np.pi)
 
 
-def sketches(docs: DataFrame, words: int = SHINGLE_WORDS, similar_words: int = SIMILAR_WORDS,
-             seed: int = SEED) -> DataFrame:
-    """`fingerprints` with the columns of `sketch` behind: key and `WIDE`."""
-    names = ["doc_id", "fp", "key", *WIDE]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                (fingerprint(t, words, seed), *sketch(t, similar_words, seed))
-                for t in batch.column("text").to_pylist()
-            ]
-            found = np.array(rows, np.uint64).reshape(-1, len(names) - 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *[pa.array(c) for c in found.T.copy()]], names=names
-            )
-
-    source = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return map_batches(source, run, ", ".join(f"{n} long" for n in names))
-
-
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED,
+                 with_text: bool = False) -> DataFrame:
     """(doc_id, fp): a row for each row of documents; fp is the fingerprint as a long.
-    Null and empty texts have fingerprint 0."""
+    Null and empty texts have fingerprint 0. `with_text` adds text_id."""
+    own = ["doc_id", *(["text_id"] if with_text else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(t, words, seed) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))],
-                names=["doc_id", "fp"],
+                [*map(batch.column, own), pa.array(np.array(fps, np.uint64).view(np.int64))],
+                names=[*own, "fp"],
             )
 
-    source = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
-    return map_batches(source, run, "doc_id long, fp long")
+    source = docs.select(
+        F.col("doc_id").cast("long"), text_id().alias("text_id"), text_or_empty().alias("text")
+    ).select(*own, "text")
+    return map_batches(source, run, ", ".join(f"{c} long" for c in [*own, "fp"]))
 
 
 def group_bits(together: np.ndarray, rows: int, parts: int = PARTS) -> list[list[int]]:
@@ -483,20 +462,25 @@ def grouped(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE_WORD
             similar_words: int = SIMILAR_WORDS) -> DataFrame:
     """(doc_id, fp, component, component_id) for every row of `docs`: fingerprint, the
     group as one of its fingerprints, and the group's smallest doc_id. With `similarity`
-    the second search adds its links, between the fingerprints of the texts found."""
-    if similarity is None:
-        marked = keep(fingerprints(docs, words, seed))
-    else:
-        marked = keep(sketches(docs, words, similar_words, seed))
+    texts whose sets of `similar_words` words have it are linked as well."""
+    marked = keep(fingerprints(docs, words, seed, with_text=similarity is not None))
     distinct = keep(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     found = links(distinct, distance, parts)
+    label = components(found)
     if similarity is not None:
-        texts = keep(marked.select("fp", "key", *WIDE).distinct())
-        found = found.unionByName(
-            links(texts, WORD_DISTANCE, WORD_PARTS, key="key", wide=wide_distance(similarity))
+        groups = marked.select("text_id", "fp").distinct().join(
+            label.withColumnRenamed("node", "fp"), "fp", "left"
+        ).select("text_id", F.coalesce("component", "fp").alias("label"))
+        wider = components(joined(docs, groups, similarity, similar_words, seed)).select(
+            F.col("node").alias("component"), F.col("component").alias("wider")
+        )
+        label = (
+            distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left")
+            .select(F.col("fp").alias("node"), F.coalesce("component", "fp").alias("component"))
+            .join(wider, "component", "left")
+            .select("node", F.coalesce("wider", "component").alias("component"))
         )
         marked = marked.select("doc_id", "fp")
-    label = components(found)
     named = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp")
     )
@@ -523,8 +507,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """One row of each group of near duplicates, all columns: the row with the smallest
     doc_id. Groups hold together by the links of `near_duplicates`; with `similarity`,
-    also by pairs of texts whose sets of five-word shingles have it, as estimated. Rows that share a doc_id are one document, of which the row with the smallest
-    columns stays. A group in which no row has a doc_id keeps one row as well."""
+    also by pairs of texts whose sets of five-word shingles have it. Rows that share a
+    doc_id are one document, of which the row with the smallest columns stays. A group in which no row has a doc_id keeps one row as well."""
     found = grouped(docs, **options)
     by_id = found.filter("component_id IS NOT NULL").select(F.col("component_id").alias("__llm_id"))
     kept = docs.join(by_id.distinct(), docs["doc_id"] == F.col("__llm_id"), "left_semi")
