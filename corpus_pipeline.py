@@ -39,8 +39,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of token ids."""
-    return packing.pack(docs)
+    """Rows of token ids, pool by pool in training order."""
+    return packing.pack(curriculum.as_written(docs))
 
 
 STAGES = [

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnledger.llm.common import WORDS, text_or_empty
@@ -197,3 +198,25 @@ def curriculum(docs: DataFrame, **options) -> DataFrame:
         .sortWithinPartitions("__llm_position", "__llm_id")
         .select(*columns)
     )
+
+
+def as_written(docs: DataFrame) -> DataFrame:
+    """The rows of files that Spark has written, in the order of the frame written.
+
+    A scan deals files out by size. Their order is that of the part numbers in their names
+    and of the rows inside; the rows are range-sorted by these. Frames that are not read
+    from files come back as they are."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    try:
+        file = docs.metadataColumn("_metadata")
+        marked = docs.select(
+            *columns,
+            F.regexp_extract(file["file_name"], r"^part-(\d+)", 1).try_cast("long").alias("__llm_part"),
+            file["file_name"].alias("__llm_file"),
+            file["row_index"].alias("__llm_row"),
+        )
+        marked.schema  # resolves the columns
+    except AnalysisException:
+        return docs
+    place = ["__llm_part", "__llm_file", "__llm_row"]
+    return marked.repartitionByRange(*place).sortWithinPartitions(*place).select(*columns)
