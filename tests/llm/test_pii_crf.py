@@ -120,3 +120,33 @@ def test_a_repeat_is_told_by_the_other_occurrence():
     alone = pii.Model(weights, np.zeros((5, 5)), np.zeros((5, 5))).beliefs([graph])
     linked = pii.Model(weights, np.zeros((5, 5)), skip).beliefs([graph])
     assert alone[far, 4] < 0.3 < 0.9 < linked[far, 4]
+
+
+def exact_on_a_chain(own, bond):
+    """Marginals by forward and backward sums."""
+    ahead, behind = np.zeros_like(own), np.zeros_like(own)
+    for i in range(1, len(own)):
+        ahead[i] = np.log(np.exp((own[i - 1] + ahead[i - 1])[:, None] + bond).sum(axis=0))
+        ahead[i] -= ahead[i].max()
+    for i in range(len(own) - 2, -1, -1):
+        behind[i] = np.log(np.exp((own[i + 1] + behind[i + 1])[None, :] + bond).sum(axis=1))
+        behind[i] -= behind[i].max()
+    return pii._softmax(own + ahead + behind)
+
+
+def test_evidence_reaches_every_repeat():
+    """Repeats of which only the first has evidence, in a short and a long document."""
+    weights, bond = np.zeros((pii.FEATURES, pii.LABELS)), np.full((5, 5), -3.0) + 6 * np.eye(5)
+    weights[21, 4] = 8
+    model = pii.Model(weights, np.zeros((5, 5)), bond)
+    chains = [
+        pii.Graph([0] * n, [0] * n, [[21]] + [[0]] * (n - 1), [], [(i, i + 1) for i in range(n - 1)])
+        for n in (20, 400)
+    ]
+    got, at = model.beliefs(chains), 0
+    for graph in chains:
+        n = len(graph.starts)
+        own = np.array([weights[r].sum(axis=0) for r in graph.rows])
+        assert np.allclose(got[at : at + n], exact_on_a_chain(own, bond), atol=1e-4)
+        at += n
+    assert got[8, 4] > 0.9 and got[19, 4] > 0.8 and pii.longest_path(chains[1]) == 399
