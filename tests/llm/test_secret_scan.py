@@ -85,5 +85,32 @@ def test_p_values_are_uniform_for_random_tokens(spark):
             assert abs(sum(x <= level for x in p) / len(p) - level) < 0.08
 
 
+def test_tokens_of_one_case_with_digits(spark):
+    """Random ones pass in a class of their own: base36, and base32 with other digits."""
+    rng = random.Random(17)
+    forms = {
+        "upper": string.ascii_uppercase + string.digits,
+        "lower": string.ascii_lowercase + string.digits,
+        "crockford": "0123456789ABCDEFGHJKMNPQRSTVWXYZ",
+        "base32hex": "0123456789abcdefghijklmnopqrstuv",
+    }
+    rows = [
+        (name, size, "".join(rng.choice(letters) for _ in range(size)))
+        for name, letters in forms.items() for size in (20, 32, 40, 64) for _ in range(200)
+    ]
+    got = {}
+    for r in spark.createDataFrame(rows, "form string, size int, t string").select(
+        "form", "size", secret_scan.encoding(F.col("t")).alias("kind"), secret_scan.p_value(F.col("t")).alias("p")
+    ).collect():
+        got.setdefault((r.form, r.size), []).append(r)
+    for (form, size), found in got.items():
+        assert all(r.kind == "base36" or r.kind == "base32" and size < 64 for r in found)
+        passed = sum(r.p >= 0.01 for r in found) / len(found)
+        assert passed >= (0.95 if form in ("upper", "lower") else 0.85), (form, size, passed)
+    text = [(i, f"see {t} there") for i, (_, size, t) in enumerate(rows) if size == 40]
+    found = secret_scan.secrets(spark.createDataFrame(text, "doc_id long, text string")).collect()
+    assert sum(r.n_random > 0 for r in found) >= 0.9 * len(found)
+
+
 def test_empty_table(spark):
     assert secret_scan.secrets(spark.createDataFrame([], "doc_id long, text string")).collect() == []

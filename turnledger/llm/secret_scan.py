@@ -37,6 +37,7 @@ DIGITS, UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = {
     "base16": DIGITS + "abcdef",
     "base32": UPPER + "234567",
+    "base36": DIGITS + UPPER,
     "base62": DIGITS + UPPER + UPPER.lower(),
     "base64": UPPER + UPPER.lower() + DIGITS + "+/",
 }
@@ -74,6 +75,7 @@ def encoding(token: Column) -> Column:
     return (
         F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "base16")
         .when(body.rlike("^[A-Z2-7]+$"), "base32")
+        .when(body.rlike("^([A-Z0-9]+|[a-z0-9]+)$"), "base36")
         .when(body.rlike("^[A-Za-z0-9]+$"), "base62")
         .otherwise("base64")
     )
@@ -82,7 +84,7 @@ def encoding(token: Column) -> Column:
 def symbol_values(token: Column, kind: str) -> Column:
     """Position of each character in an alphabet, from 0."""
     body = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
-    body = F.lower(body) if kind == "base16" else body
+    body = F.lower(body) if kind == "base16" else F.upper(body) if kind == "base36" else body
     at = F.array_remove(F.split(body, ""), "")
     alphabet = F.lit(ALPHABETS[kind])
     return F.transform(at, lambda c: (F.instr(alphabet, c) - 1).cast("double"))
@@ -200,7 +202,7 @@ def secrets(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     in the estimates); an empty table gives no row. Other columns are not read.
     """
     scanned = keep(scan(docs))
-    # A row per class: four encodings by about two lengths per octave.
+    # A row per class: five encodings by about two lengths per octave.
     limits = {r["class"]: r["threshold"] for r in thresholds(scanned, alpha).collect()}
     entries = [F.lit(x) for pair in limits.items() for x in pair]
     limit = F.create_map(*entries) if entries else F.create_map(F.lit(""), F.lit(2.0))
