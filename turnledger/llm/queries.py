@@ -17,6 +17,7 @@ from turnledger.llm import (
     rollups,
     secret_scan,
     simhash,
+    whitening,
 )
 from turnledger.llm.common import WORDS, keep, table, text_or_empty
 from turnledger.storage import staging_path
@@ -171,3 +172,8 @@ SELECT doc_id, source, size, source_size, target::DOUBLE AS target, copies::INTE
     ELSE share END, 0), 1), 6) END AS position
 FROM (SELECT *, CASE WHEN target > 0 THEN least(middle / target, 1.0) END AS share FROM taken)
 """
+
+
+@query
+def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
