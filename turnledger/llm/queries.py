@@ -13,6 +13,7 @@ from turnledger.llm import (
     lattice_lm,
     packing,
     pii_crf,
+    ptolemaic,
     quality,
     rollups,
     secret_scan,
@@ -177,3 +178,55 @@ FROM (SELECT *, CASE WHEN target > 0 THEN least(middle / target, 1.0) END AS sha
 @query
 def op11_bit_sliced_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_ptolemaic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ptolemaic.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def _sql_rounds(rounds: int) -> str:
+    """Assignment and means, written out round by round."""
+    apart = "list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    parts = []
+    for i in range(rounds + 1):
+        # The nearest centroid and, of equally near ones, the smallest: one number for both.
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(x) AS x, min({apart} * 16 + k) AS nearest
+  FROM kept CROSS JOIN c{i} GROUP BY row
+)""")
+        if i < rounds:
+            parts.append(f"""
+m{i} AS (
+  SELECT k, d, sum(v) AS s, count(*) AS n
+  FROM (SELECT nearest % 16 AS k, unnest(x) AS v, generate_subscripts(x, 1) AS d FROM a{i})
+  GROUP BY k, d
+),
+c{i + 1} AS MATERIALIZED (
+  SELECT k, coalesce(any_value(mean), any_value(c)) AS c
+  FROM c{i} LEFT JOIN (
+    SELECT k, list(((s - (s % n + n) % n) // n)::BIGINT ORDER BY d) AS mean FROM m{i} GROUP BY k
+  ) USING (k) GROUP BY k
+)""")
+    return ",".join(parts)
+
+
+ORACLES["op12_ptolemaic_clusters"] = f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id,
+    list_transform(embedding, lambda c: floor(64 * c::DOUBLE)::BIGINT) AS x
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = 64
+),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS k, x AS c
+  FROM kept QUALIFY k < 16
+),{_sql_rounds(3)},
+done AS (SELECT vec_id, (nearest % 16)::INTEGER AS cluster, nearest // 16 AS distance FROM a3)
+SELECT vec_id, cluster, distance,
+  sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM done JOIN c3 ON k = cluster
+"""
