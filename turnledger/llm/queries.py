@@ -10,6 +10,7 @@ from turnledger.llm import (
     ann_partitions,
     curriculum,
     decontaminate,
+    kd_shards,
     lattice_lm,
     packing,
     pii_crf,
@@ -230,3 +231,8 @@ SELECT vec_id, cluster, distance,
   sha256(array_to_string(c, ',')) AS centroid_sha256
 FROM done JOIN c3 ON k = cluster
 """
+
+
+@query
+def op13_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.assign(table(spark, sf_dir, "documents"))
