@@ -155,7 +155,8 @@ class Search:
             self.before += c.bytes
         if c.rows == 1:
             short = self.goal - self.before * count
-            self.node.cut = Cut(self.axis, tuple(c.key), closed=short >= c.bytes * count - short)
+            key = tuple(c[f"key{i}"] for i in range(len(self.axis)))
+            self.node.cut = Cut(self.axis, key, closed=short >= c.bytes * count - short)
             return True
         if c.least == c.most:
             self.known.append(c.least)
@@ -173,21 +174,22 @@ def _cut_all(rows: DataFrame, searches: list[Search]) -> None:
     """Cut the nodes of a level: a histogram of each per pass, at most `CELLS` times as
     many rows told apart by each."""
     while searches:
-        key = lambda s: F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(s.axis)])
+        # Of a single row the smallest values are its key.
+        keys = [f"key{i}" for i in range(len(searches[0].axis))]
         measured = rows.select(
             "node",
             F.col("__llm_size").alias("size"),
             _by_node(searches, Search.cell).alias("cell"),
             _by_node(searches, Search.value).alias("value"),
             _by_node(searches, lambda s: s.value(after=1)).alias("next"),
-            _by_node(searches, key).alias("key"),
+            *[_by_node(searches, lambda s, i=i: F.col(s.axis[i])).alias(k) for i, k in enumerate(keys)],
         ).filter("cell IS NOT NULL")
         found = measured.groupBy("node", "cell").agg(
             F.sum("size").alias("bytes"),
             F.count("*").alias("rows"),
             F.min("value").alias("least"), F.max("value").alias("most"),
             F.min("next").alias("next_least"), F.max("next").alias("next_most"),
-            F.min("key").alias("key"),
+            *[F.min(k).alias(k) for k in keys],
         ).collect()  # CELLS rows for each of at most half as many nodes as shards
         cells: dict[int, list] = {}
         for r in found:
