@@ -61,9 +61,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     result = picks.pop()
     while picks:
-        # What the earlier round picked may have picked again; else it stays.
+        # What the earlier round picked may have picked again; else it stays. Each round is
+        # kept: the plan of the result does not hold those of all rounds.
         later = result.select(F.col("node").alias("pick"), F.col("pick").alias("last"))
-        result = (
+        result = keep(
             picks.pop()
             .join(later, "pick", "left")
             .select("node", F.coalesce("last", "pick").alias("pick"))

@@ -3,13 +3,19 @@
 Shingles are put in one order for all texts: rare before common, by a table of counts of
 fixed size (how good the counts are changes the work, not the result). Two sets of
 similarity s or more share a shingle among the first n - ceil(s * n) + 1 of each, so only
-texts that meet in such a prefix are compared, and each comparison is the exact overlap
-of the two sets.
+texts that meet in such a prefix are compared.
+
+Texts that meet are first compared by a bitmap: each shingle of a set turns one of
+`BITMAP` bits over, so the bits in which two bitmaps differ are at most the shingles in
+which the sets differ. Pairs that differ in too many bits go where they meet, and are
+never written; the others are decided by the exact overlap of the two sets.
 
 Pairs are wanted for what they connect. Texts that are connected already are not compared:
 first every text that meets others is compared to the smallest of them, then, with the
 groups that this has joined, every pair of texts of different groups. A large group of
-near copies thus costs its size and not its square.
+near copies thus costs its size and not its square. Where many texts share a shingle, they
+are dealt to blocks of about `BLOCK` texts, each task holds one, and the texts of other
+blocks pass by it.
 """
 
 from __future__ import annotations
@@ -21,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from turnledger.llm.common import keep, map_batches, text_or_empty
+from turnledger.storage import staging_path
 
 # Counts of shingles: fixed size, whatever the input.
 SLOTS = 1 << 16
-# Ids of texts sent to all tasks at most; with more of them the texts are shuffled.
-SENT_IDS = 1 << 18
+# Bits of the bitmaps.
+BITMAP = 512
+# Texts of one shingle, or partners of one text, that a task holds or sees on their own.
+BLOCK = 4096
 # Pairs held in memory at a time.
 PAIRS = 1 << 20
 
@@ -78,14 +87,20 @@ def slot_counts(texts: DataFrame, words: int, seed: int) -> np.ndarray:
     return out
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Which of the bits an odd number of the shingles belongs to."""
+    bits = np.bincount((shingles >> np.uint64(16)).astype(np.int64) & (BITMAP - 1), minlength=BITMAP) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
+
+
 def prefixes(texts: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
-    """(text_id, size, prefix) per distinct text with words."""
+    """(text_id, size, prefix, bitmap) per distinct text with words."""
     sent = texts.sparkSession.sparkContext.broadcast(slot_counts(texts, words, seed))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
         for batch in batches:
-            ids, sizes, heads = [], [], []
+            ids, sizes, heads, bits = [], [], [], []
             for i, text in zip(batch.column("text_id").to_pylist(), batch.column("text").to_pylist()):
                 found = shingle_set(text, words, seed)
                 if len(found):
@@ -93,40 +108,36 @@ def prefixes(texts: DataFrame, similarity: float, words: int, seed: int) -> Data
                     ids.append(i)
                     sizes.append(len(found))
                     heads.append(found[order[: prefix_length(len(found), similarity)]].view(np.int64))
+                    bits.append(bitmap(found))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64()))],
-                names=["text_id", "size", "prefix"],
+                [
+                    pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()),
+                    pa.array(heads, pa.list_(pa.int64())), pa.array(bits, pa.binary()),
+                ],
+                names=["text_id", "size", "prefix", "bitmap"],
             )
 
-    found = map_batches(texts, run, "text_id long, size int, prefix array<long>")
-    return found.groupBy("text_id").agg(F.first("size").alias("size"), F.first("prefix").alias("prefix"))
+    found = map_batches(texts, run, "text_id long, size int, prefix array<long>, bitmap binary")
+    return found.groupBy("text_id").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "bitmap")])
 
 
-def by_shingle(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
-    """The columns of each shingle's rows, in pieces as they come; a piece None ends it.
-    Rows come sorted by shingle."""
-    last = None
-    for batch in batches:
-        read = [batch.column(c).to_numpy(zero_copy_only=False) for c in ["shingle", *columns]]
-        key = read[0]
-        if not len(key):
-            continue
-        new = np.flatnonzero(np.diff(key)) + 1
-        for s, e in zip([0, *new.tolist()], [*new.tolist(), len(key)]):
-            if last is not None and key[s] != last:
-                yield None
-            last = key[s]
-            yield [c[s:e] for c in read[1:]]
-    if last is not None:
-        yield None
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a staged table, whose size the planner knows when it picks a join."""
+    path = staging_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def meeting(heads: DataFrame) -> DataFrame:
-    """(shingle, text_id, size, at): rows of prefixes whose shingle is in another prefix
-    too, with the place in the prefix."""
+    """(shingle, blocks, cell, text_id, size, at): rows of prefixes whose shingle is in
+    another prefix too, with the place in the prefix, and the block of the shingle that
+    the text is dealt to."""
     rows = heads.select("text_id", "size", F.posexplode("prefix").alias("at", "shingle"))
-    columns = ["text_id", "size", "at"]
-    names = ["shingle", *columns]
+    crowded = rows.groupBy("shingle").agg(F.count("*").alias("n")).filter(F.col("n") > BLOCK)
+    blocks = crowded.select("shingle", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(written(blocks, "crowded-shingles"), "shingle", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("text_id", "shingle"), "blocks").cast("int"))
+    columns = ["shingle", "blocks", "cell", "text_id", "size", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, if nothing has met it yet
@@ -137,7 +148,8 @@ def meeting(heads: DataFrame) -> DataFrame:
                 continue
             same = np.empty(len(key), bool)
             same[0], same[1:] = last is not None and key[0] == last, key[1:] == key[:-1]
-            take = same.copy()
+            # A text in a block of its own meets those of the other blocks.
+            take = same | (batch.column("blocks").to_numpy(zero_copy_only=False) > 1)
             take[:-1] |= same[1:]
             if same[0] and held is not None:
                 yield held
@@ -146,8 +158,8 @@ def meeting(heads: DataFrame) -> DataFrame:
             if take.any():
                 yield batch.filter(pa.array(take))
 
-    dealt = rows.select(*names).repartition("shingle").sortWithinPartitions("shingle", "text_id")
-    return dealt.mapInArrow(run, "shingle long, text_id long, size int, at int")
+    placed = dealt.select(*columns).repartition("shingle", "cell").sortWithinPartitions("shingle", "cell", "text_id")
+    return placed.mapInArrow(run, "shingle long, blocks int, cell int, text_id long, size int, at int")
 
 
 def possible(size_a, at_a, size_b, at_b, similarity: float) -> np.ndarray:
@@ -156,68 +168,131 @@ def possible(size_a, at_a, size_b, at_b, similarity: float) -> np.ndarray:
     return rest * (1 + similarity) >= similarity * (size_a + size_b) - 1e-6
 
 
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple, bool]]:
+    """(held, passing, own): the rows of a block and rows to compare them to. The rows of
+    a block come first and are held; `own` rows are part of them, the others follow in
+    pieces as they come. Rows are numbers (text_id, size, at, label) and bitmaps."""
+    last, held, open_ = None, [], False
+    together = lambda parts: tuple(np.concatenate(p) for p in zip(*parts))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        read = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != "bitmap"}
+        numbers = np.stack([read[c].astype(np.int64) for c in ("text_id", "size", "at", "label")], axis=1)
+        bits = np.frombuffer(b"".join(batch.column("bitmap").to_pylist()), np.uint64).reshape(len(numbers), -1)
+        key = np.stack([read["shingle"], read["cell"].astype(np.int64), (~read["indexed"]).astype(np.int64)], axis=1)
+        new = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+        for s, e in zip([0, *new.tolist()], [*new.tolist(), len(key)]):
+            block = (key[s, 0], key[s, 1])
+            if block != last:
+                if open_:
+                    rows = together(held)
+                    yield rows, rows, True
+                last, held, open_ = block, [], False
+            piece = (numbers[s:e], bits[s:e])
+            if not key[s, 2]:
+                held.append(piece)
+                open_ = True
+            elif held:
+                held = [together(held)]
+                if open_:
+                    yield held[0], held[0], True
+                    open_ = False
+                yield held[0], piece, False
+    if open_:
+        rows = together(held)
+        yield rows, rows, True
+
+
 def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """(a, b), a < b, of different groups that share a prefix's shingle: `every` pair, or
-    each text with the smallest that has the shingle. `met` is `meeting` with a column label."""
-    columns = ["text_id", "size", "at", "label"]
+    """(a, b), a < b, of different groups that share a prefix's shingle and may be similar:
+    `every` pair, or each text with the smallest of its block of the shingle. `met` is
+    `meeting` with the columns label and bitmap."""
+    apart = (1 - similarity) / (1 + similarity)
 
-    def batch_of(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate([np.stack(f, axis=1) for f in found]), axis=0)
+    def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays(
             [pa.array(np.ascontiguousarray(c)) for c in pairs.T], names=["a", "b"]
         )
 
+    def compare(held: tuple, passing: tuple, own: bool) -> np.ndarray:
+        """(pairs, 2) of text ids."""
+        (x, x_bits), (y, y_bits) = held, passing
+        ok = (x[None, :, 3] != y[:, None, 3]) & possible(
+            x[None, :, 1], x[None, :, 2], y[:, None, 1], y[:, None, 2], similarity
+        )
+        i, j = np.nonzero(ok)
+        if own:
+            i, j = i[y[i, 0] > x[j, 0]], j[y[i, 0] > x[j, 0]]
+        differ = np.bitwise_count(y_bits[i] ^ x_bits[j]).sum(axis=1, dtype=np.int64)
+        near = differ <= apart * (y[i, 1] + x[j, 1]) + 1e-6
+        a, b = y[i[near], 0], x[j[near], 0]
+        return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held, before = [], 0, []
-        for piece in by_shingle(batches, columns):
-            if piece is None:
-                before = []
-                continue
-            rows = [c.astype(np.int64) for c in piece]
-            if every:
-                # Rows of this piece meet those before and, among themselves, later ones.
-                seen = [np.concatenate(c) for c in zip(*before, rows)]
-                start = len(seen[0]) - len(rows[0])
-                before = [seen]
-                if (seen[3] == seen[3][0]).all():
-                    continue
-                spans = [(i, [c[:i] for c in seen]) for i in range(start, len(seen[0]))]
-            else:
-                if not before:
-                    before = [[c[:1] for c in rows]]
-                seen, spans = before[0], [(0, rows)]
-            for i, (ids, size, at, label) in spans:
-                mine = [c[i] for c in seen]
-                ok = (label != mine[3]) & possible(size, at, mine[1], mine[2], similarity)
-                if ok.any():
-                    other = ids[ok]
-                    found.append((np.minimum(other, mine[0]), np.maximum(other, mine[0])))
-                    held += len(other)
-                if held > PAIRS:
+        found, count = [], 0
+        for held, passing, own in by_block(batches):
+            if not every:
+                held = tuple(c[:1] for c in held)
+            step = max(1, PAIRS // len(held[0]))
+            for at in range(0, len(passing[0]), step):
+                pairs = compare(held, tuple(c[at : at + step] for c in passing), own)
+                if len(pairs):
+                    found.append(pairs)
+                    count += len(pairs)
+                if count > PAIRS:
                     yield batch_of(found)
-                    found, held = [], 0
+                    found, count = [], 0
         if found:
             yield batch_of(found)
 
-    dealt = met.select("shingle", *columns).repartition("shingle").sortWithinPartitions("shingle", "text_id")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    columns = ["text_id", "size", "at", "label", "bitmap"]
+    # A text stays in its block and passes by those after it, so each pair meets once.
+    last = F.col("blocks") - 1 if every else F.col("cell")
+    rows = met.select("shingle", F.explode(F.sequence("cell", last)).alias("to"), "cell", *columns)
+    rows = rows.select("shingle", F.col("to").alias("cell"), (F.col("to") == F.col("cell")).alias("indexed"), *columns)
+    placed = rows.repartition("shingle", "cell").sortWithinPartitions("shingle", "cell", F.desc("indexed"), "text_id")
+    return placed.mapInArrow(run, "a long, b long").distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets have the similarity."""
+    """The pairs whose sets have the similarity.
+
+    One set travels with each pair; that of `a` comes once for all its pairs, or once for
+    every `BLOCK` of them. `pairs` is read more than once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of = None, None
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(common * (1 + similarity) >= similarity * (len(x) + len(y)) - 1e-6)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    of = lambda name: sets.select(F.col("text_id").alias(name), F.col("set").alias(f"set_{name}"))
-    return map_batches(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "set_a", "set_b"),
-                       run, "a long, b long")
+            left, right = [], []
+            names = (batch.column(c).to_pylist() for c in ("a", "salt", "b"))
+            for a, salt, b, value in zip(*names, batch.column("set")):
+                found = np.frombuffer(value.as_buffer(), np.uint64)
+                if b is None:
+                    # Batches do not outlive their turn.
+                    own, of = found.copy(), (a, salt)
+                    continue
+                assert of == (a, salt)
+                common = len(np.intersect1d(own, found, assume_unique=True))
+                if common * (1 + similarity) >= similarity * (len(own) + len(found)) - 1e-6:
+                    left.append(a)
+                    right.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
+    crowded = written(counts.filter("salts > 1"), "crowded-texts")
+    salted = pairs.join(crowded, "a", "left").withColumn(
+        "salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")
+    )
+    partners = salted.select("a", "salt", "b").join(sets.withColumnRenamed("text_id", "b"), "b")
+    heads = salted.select(F.col("a").alias("text_id"), "salt").distinct().join(sets, "text_id")
+    rows = partners.select("a", "salt", "b", "set").unionByName(
+        heads.select(F.col("text_id").alias("a"), "salt", F.lit(None).cast("long").alias("b"), "set")
+    )
+    placed = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return map_batches(placed, run, "a long, b long")
 
 
 def joined(docs: DataFrame, groups: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
@@ -225,7 +300,10 @@ def joined(docs: DataFrame, groups: DataFrame, similarity: float, words: int, se
     text_id as `text_id` gives it; they join exactly as all pairs of texts with the
     similarity or more ask for."""
     texts = docs.select(text_id().alias("text_id"), text_or_empty().alias("text"))
-    met = keep(meeting(prefixes(texts, similarity, words, seed)))
+    heads = keep(prefixes(texts, similarity, words, seed))
+    met = keep(meeting(heads.select("text_id", "size", "prefix")))
+    bitmaps = heads.select("text_id", "bitmap").join(met.select("text_id").distinct(), "text_id", "left_semi")
+    label_of = keep(groups.join(bitmaps, "text_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,18 +312,15 @@ def joined(docs: DataFrame, groups: DataFrame, similarity: float, words: int, se
                 [batch.column("text_id"), pa.array(found, pa.binary())], names=["text_id", "set"]
             )
 
-    label_of = keep(groups.join(met.select("text_id").distinct(), "text_id", "left_semi"))
-
     def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = keep(pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct())
-        few = wanted.count() <= SENT_IDS
-        some = texts.join(F.broadcast(wanted) if few else wanted, "text_id", "left_semi")
-        found = map_batches(some, run, "text_id long, set binary")
+        """Sets of the texts of `pairs`, hashed where the texts are if their ids are few."""
+        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("text_id")).distinct(), "compared-texts")
+        found = map_batches(texts.join(wanted, "text_id", "left_semi"), run, "text_id long, set binary")
         return keep(found.groupBy("text_id").agg(F.first("set").alias("set")))
 
     def edges(every: bool) -> DataFrame:
         pairs = keep(candidates(met.join(label_of, "text_id"), similarity, every))
-        right = similar(pairs, sets_of(pairs), similarity)
+        right = keep(similar(pairs, sets_of(pairs), similarity))
         of = lambda name: label_of.select(F.col("text_id").alias(name), F.col("label").alias(f"{name}_label"))
         return keep(
             right.join(of("a"), "a").join(of("b"), "b")
@@ -258,7 +333,10 @@ def joined(docs: DataFrame, groups: DataFrame, similarity: float, words: int, se
     step = keep(first.filter("a != b").groupBy("b").agg(F.min("a").alias("a")))
     onward = step.select(F.col("b").alias("a"), F.col("a").alias("next"))
     new = step.join(onward, "a", "left").select(F.col("b").alias("label"), F.coalesce("next", "a").alias("new"))
-    label_of = keep(label_of.join(new, "label", "left").select("text_id", F.coalesce("new", "label").alias("label")))
+    label_of = keep(
+        label_of.join(keep(new), "label", "left")
+        .select("text_id", F.coalesce("new", "label").alias("label"), "bitmap")
+    )
     return first.unionByName(edges(every=True))
 
 

@@ -36,9 +36,8 @@ BITS = 64
 DISTANCE = 3
 SHINGLE_WORDS = 3
 SEED = 42
-# The second search: sets of shingles of so many words; estimates of them on four longs.
+# The second search: sets of shingles of so many words.
 SIMILAR_WORDS = 5
-WIDE = ["w0", "w1", "w2", "w3"]
 # Parts of the 64 bits. The tables below have 2^(64 / parts) entries a part: 2 MB in all
 # at four parts, whatever the input.
 PARTS = 4
@@ -76,42 +75,6 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
-def spread_hashes(hashes: np.ndarray, longs: int) -> np.ndarray:
-    """(rows, longs): as many hashes of each hash, by the finaliser of splitmix64."""
-    steps = np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    z = hashes[:, None] + steps
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def sketch(text: str, words: int = SIMILAR_WORDS, seed: int = SEED) -> tuple[int, ...]:
-    """Fingerprint of the distinct words, and `WIDE` ones of the distinct shingles of
-    `words` words (the whole sequence, if shorter). All zero without any word."""
-    import xxhash
-
-    tokens = text.encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return (0,) * (1 + len(WIDE))
-    digest = xxhash.xxh64_intdigest
-    single = np.array([digest(t, seed) for t in set(tokens)], "<u8")
-    joined = b" ".join(tokens)
-    ends = np.cumsum([len(t) + 1 for t in tokens]).tolist()
-    starts, stops = [0, *ends[: -words]], ends[words - 1 :] or ends[-1:]
-    shingles = np.unique(
-        np.array([digest(joined[s : e - 1], seed) for s, e in zip(starts, stops)], "<u8")
-    )
-    wide = majority(spread_hashes(shingles, len(WIDE)))
-    return (int(majority(single[:, None])[0]), *wide.tolist())
-
-
-def wide_distance(similarity: float) -> int:
-    """Bits of the wide fingerprints in which sets of equal size differ on average, if
-    they have this similarity: an angle's share of the half circle."""
-    cosine = 2 * similarity / (1 + similarity)
-    return round(BITS * len(WIDE) * np.arccos(cosine) / np.pi)
-
-
 def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, seed: int = SEED,
                  with_text: bool = False) -> DataFrame:
     """(doc_id, fp): a row for each row of documents; fp is the fingerprint as a long.
@@ -313,17 +276,16 @@ def _part_counts(fps: DataFrame, groups: list[list[int]], key: str) -> list[np.n
 
 
 def links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, block: int = BLOCK,
-          key: str = "fp", wide: int | None = None) -> DataFrame:
+          key: str = "fp") -> DataFrame:
     """(a, b): pairs of `fp` that connect exactly what links within `distance` bits of
-    the column `key` connect; with `wide`, links also differ in no more than so many bits
-    of the columns `WIDE`. `fps` has distinct rows of these longs. Each task returns, of
-    the links that it found, a star for each group that they connect.
+    the column `key` connect. `fps` has distinct rows of these longs. Each task returns,
+    of the links that it found, a star for each group that they connect.
     """
     spark = fps.sparkSession
     groups = group_bits(*_co_occurrence(fps, key), parts)
     shared = spark.sparkContext.broadcast((groups, _part_counts(fps, groups, key)))
     # What travels with a row: the fingerprint looked up comes first.
-    columns = [key, *([] if key == "fp" else ["fp"]), *([] if wide is None else WIDE)]
+    columns = [key, *([] if key == "fp" else ["fp"])]
     node = columns.index("fp")
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,11 +357,6 @@ def links(fps: DataFrame, distance: int = DISTANCE, parts: int = PARTS, block: i
                 i, j = np.nonzero(popcount(some[:, None, 0] ^ index[None, :, 0]) <= distance)
                 differ = some[i, node] != index[j, node]
                 i, j = i[differ], j[differ]
-                if wide is not None:
-                    apart = np.zeros(len(i), np.int64)
-                    for c in range(len(columns) - len(WIDE), len(columns)):
-                        apart += popcount(some[i, c] ^ index[j, c])
-                    i, j = i[apart <= wide], j[apart <= wide]
                 found.append((some[i, node].view(np.int64), index[j, node].view(np.int64)))
                 held += len(i)
                 if held > PAIRS:
@@ -468,17 +425,18 @@ def grouped(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE_WORD
     found = links(distinct, distance, parts)
     label = components(found)
     if similarity is not None:
-        groups = marked.select("text_id", "fp").distinct().join(
-            label.withColumnRenamed("node", "fp"), "fp", "left"
-        ).select("text_id", F.coalesce("component", "fp").alias("label"))
+        # Plans end here and there, so that none holds the tables of all the steps.
+        named = keep(
+            distinct.select("fp").join(label.withColumnRenamed("node", "fp"), "fp", "left")
+            .select("fp", F.coalesce("component", "fp").alias("label"))
+        )
+        groups = keep(marked.select("text_id", "fp").distinct().join(named, "fp").select("text_id", "label"))
         wider = components(joined(docs, groups, similarity, similar_words, seed)).select(
-            F.col("node").alias("component"), F.col("component").alias("wider")
+            F.col("node").alias("label"), F.col("component").alias("wider")
         )
-        label = (
-            distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left")
-            .select(F.col("fp").alias("node"), F.coalesce("component", "fp").alias("component"))
-            .join(wider, "component", "left")
-            .select("node", F.coalesce("wider", "component").alias("component"))
+        label = keep(
+            named.join(wider, "label", "left")
+            .select(F.col("fp").alias("node"), F.coalesce("wider", "label").alias("component"))
         )
         marked = marked.select("doc_id", "fp")
     named = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
