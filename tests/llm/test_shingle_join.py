@@ -86,13 +86,15 @@ def test_texts_that_share_one_shingle_give_no_pairs(spark):
     want = {(17, 3000), (17, 3001), (3000, 3001)}
     for blocks in (1, 4):
         got = shingle_join.candidates(met_rows(spark, rows, blocks), 0.8, True).collect()
-        assert want <= {tuple(r) for r in got} and len(got) < 10
+        assert want <= {(r.a, r.b) for r in got} and len(got) < 10
 
 
 @pytest.mark.parametrize("every", [False, True])
 def test_blocks_meet_each_pair_once(spark, every):
     rows = [(9, i, 10, 0, i % 6, [1 << 16, 2 << 16]) for i in range(60)]
-    got = sorted(tuple(r) for r in shingle_join.candidates(met_rows(spark, rows, 4), 0.8, every).collect())
+    found = shingle_join.candidates(met_rows(spark, rows, 4), 0.8, every).collect()
+    got = sorted((r.a, r.b) for r in found)
+    assert all((r.a_label, r.b_label) == (r.a % 6, r.b % 6) for r in found)
     if every:
         assert got == [(i, j) for i in range(60) for j in range(i + 1, 60) if i % 6 != j % 6]
     else:

@@ -37,6 +37,7 @@ BITMAP = 512
 BLOCK = 4096
 # Pairs held in memory at a time.
 PAIRS = 1 << 20
+PAIR = ["a", "b", "a_label", "b_label"]
 
 
 def shingle_set(text: str, words: int, seed: int) -> np.ndarray:
@@ -205,19 +206,19 @@ def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple,
 
 
 def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
-    """(a, b), a < b, of different groups that share a prefix's shingle and may be similar:
-    `every` pair, or each text with the smallest of its block of the shingle. `met` is
-    `meeting` with the columns label and bitmap."""
+    """(a, b, a_label, b_label), a < b, of different groups that share a prefix's shingle
+    and may be similar: `every` pair, or each text with the smallest of its block of the
+    shingle. `met` is `meeting` with the columns label and bitmap."""
     apart = (1 - similarity) / (1 + similarity)
 
     def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.ascontiguousarray(c)) for c in pairs.T], names=["a", "b"]
+            [pa.array(np.ascontiguousarray(c)) for c in pairs.T], names=PAIR
         )
 
     def compare(held: tuple, passing: tuple, own: bool) -> np.ndarray:
-        """(pairs, 2) of text ids."""
+        """(pairs, 4) of text ids and labels."""
         (x, x_bits), (y, y_bits) = held, passing
         ok = (x[None, :, 3] != y[:, None, 3]) & possible(
             x[None, :, 1], x[None, :, 2], y[:, None, 1], y[:, None, 2], similarity
@@ -227,8 +228,10 @@ def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
             i, j = i[y[i, 0] > x[j, 0]], j[y[i, 0] > x[j, 0]]
         differ = np.bitwise_count(y_bits[i] ^ x_bits[j]).sum(axis=1, dtype=np.int64)
         near = differ <= apart * (y[i, 1] + x[j, 1]) + 1e-6
-        a, b = y[i[near], 0], x[j[near], 0]
-        return np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)
+        one, two = y[i[near]][:, [0, 3]], x[j[near]][:, [0, 3]]
+        swap = one[:, 0] > two[:, 0]
+        one[swap], two[swap] = two[swap], one[swap]
+        return np.stack([one[:, 0], two[:, 0], one[:, 1], two[:, 1]], axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, count = [], 0
@@ -253,46 +256,43 @@ def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
     rows = met.select("shingle", F.explode(F.sequence("cell", last)).alias("to"), "cell", *columns)
     rows = rows.select("shingle", F.col("to").alias("cell"), (F.col("to") == F.col("cell")).alias("indexed"), *columns)
     placed = rows.repartition("shingle", "cell").sortWithinPartitions("shingle", "cell", F.desc("indexed"), "text_id")
-    return placed.mapInArrow(run, "a long, b long").distinct()
+    return placed.mapInArrow(run, ", ".join(f"{c} long" for c in PAIR)).distinct()
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose sets have the similarity.
+    """(a_label, b_label) of the pairs whose sets have the similarity.
 
-    One set travels with each pair; that of `a` comes once for all its pairs, or once for
-    every `BLOCK` of them. `pairs` is read more than once.
+    One set travels with each pair; that of `a` comes once for all its pairs, unless some
+    text has more than `BLOCK` of them: then pairs are dealt to as many tasks as that text
+    needs. `pairs` is read more than once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, of = None, None
         for batch in batches:
-            left, right = [], []
+            right = []
             names = (batch.column(c).to_pylist() for c in ("a", "salt", "b"))
             for a, salt, b, value in zip(*names, batch.column("set")):
                 found = np.frombuffer(value.as_buffer(), np.uint64)
                 if b is None:
                     # Batches do not outlive their turn.
                     own, of = found.copy(), (a, salt)
+                    right.append(False)
                     continue
                 assert of == (a, salt)
                 common = len(np.intersect1d(own, found, assume_unique=True))
-                if common * (1 + similarity) >= similarity * (len(own) + len(found)) - 1e-6:
-                    left.append(a)
-                    right.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
-    crowded = written(counts.filter("salts > 1"), "crowded-texts")
-    salted = pairs.join(crowded, "a", "left").withColumn(
-        "salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")
-    )
-    partners = salted.select("a", "salt", "b").join(sets.withColumnRenamed("text_id", "b"), "b")
-    heads = salted.select(F.col("a").alias("text_id"), "salt").distinct().join(sets, "text_id")
-    rows = partners.select("a", "salt", "b", "set").unionByName(
-        heads.select(F.col("text_id").alias("a"), "salt", F.lit(None).cast("long").alias("b"), "set")
-    )
+                right.append(common * (1 + similarity) >= similarity * (len(own) + len(found)) - 1e-6)
+            yield batch.select(PAIR[2:]).filter(pa.array(right, pa.bool_()))
+
+    most = pairs.groupBy("a").count().agg(F.max("count").alias("n")).first().n or 0
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(-(-most // BLOCK) or 1)).cast("int"))
+    columns = ["a", "salt", "b", *PAIR[2:], "set"]
+    partners = salted.join(sets.withColumnRenamed("text_id", "b"), "b").select(*columns)
+    heads = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("text_id", "a"), "a")
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("b", *PAIR[2:])]
+    rows = partners.unionByName(heads.select("a", "salt", "set", *nothing))
     placed = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return map_batches(placed, run, "a long, b long")
+    return map_batches(placed, run, "a_label long, b_label long")
 
 
 def joined(docs: DataFrame, groups: DataFrame, similarity: float, words: int, seed: int) -> DataFrame:
@@ -320,21 +320,15 @@ def joined(docs: DataFrame, groups: DataFrame, similarity: float, words: int, se
 
     def edges(every: bool) -> DataFrame:
         pairs = keep(candidates(met.join(label_of, "text_id"), similarity, every))
-        right = keep(similar(pairs, sets_of(pairs), similarity))
-        of = lambda name: label_of.select(F.col("text_id").alias(name), F.col("label").alias(f"{name}_label"))
-        return keep(
-            right.join(of("a"), "a").join(of("b"), "b")
-            .select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct()
-        )
+        found = similar(pairs, sets_of(pairs), similarity)
+        return keep(found.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
 
-    # A group joined to that of a smaller text takes its label, over two steps. Groups of
-    # one label belong together; that not all that do have one only means more pairs.
+    # A group joined to that of a smaller text takes its label. Groups of one label belong
+    # together; that not all that do have one only means more pairs.
     first = edges(every=False)
-    step = keep(first.filter("a != b").groupBy("b").agg(F.min("a").alias("a")))
-    onward = step.select(F.col("b").alias("a"), F.col("a").alias("next"))
-    new = step.join(onward, "a", "left").select(F.col("b").alias("label"), F.coalesce("next", "a").alias("new"))
+    step = first.filter("a != b").groupBy(F.col("b").alias("label")).agg(F.min("a").alias("new"))
     label_of = keep(
-        label_of.join(keep(new), "label", "left")
+        label_of.join(step, "label", "left")
         .select("text_id", F.coalesce("new", "label").alias("label"), "bitmap")
     )
     return first.unionByName(edges(every=True))

@@ -467,7 +467,7 @@ def keep_first(docs: DataFrame, **options) -> DataFrame:
     doc_id. Groups hold together by the links of `near_duplicates`; with `similarity`,
     also by pairs of texts whose sets of five-word shingles have it. Rows that share a
     doc_id are one document, of which the row with the smallest columns stays. A group in which no row has a doc_id keeps one row as well."""
-    found = grouped(docs, **options)
+    found = keep(grouped(docs, **options))
     by_id = found.filter("component_id IS NOT NULL").select(F.col("component_id").alias("__llm_id"))
     kept = docs.join(by_id.distinct(), docs["doc_id"] == F.col("__llm_id"), "left_semi")
 
