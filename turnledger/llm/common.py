@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnledger.storage import shared_dir
+from turnledger.storage import shared_dir, staging_path
 
 # Rows of documents that a Python worker holds at a time. The session's default suits
 # narrow rows; a batch of that many very long texts would not fit a worker.
@@ -49,3 +50,16 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """The rows as a staged table, whose size the planner knows when it picks a join."""
+    path = staging_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffles, broadcasts and checkpoints that nothing refers to any
+    more. It learns of them when the driver collects garbage, which it does by itself
+    every 30 minutes only; an operator of many small jobs has gone through a lot by then."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

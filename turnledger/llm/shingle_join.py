@@ -11,8 +11,8 @@ which the sets differ. Pairs that differ in too many bits go where they meet, an
 never written; the others are decided by the exact overlap of the two sets.
 
 Pairs are wanted for what they connect. Texts that are connected already are not compared:
-first every text that meets others is compared to the smallest of them, then, with the
-groups that this has joined, every pair of texts of different groups. A large group of
+first every text that meets others is compared to the `HUBS` smallest of them, then, with
+the groups that this has joined, every pair of texts of different groups. A large group of
 near copies thus costs its size and not its square. Where many texts share a shingle, they
 are dealt to blocks of about `BLOCK` texts, each task holds one, and the texts of other
 blocks pass by it.
@@ -26,13 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from turnledger.llm.common import keep, map_batches, text_or_empty
-from turnledger.storage import staging_path
+from turnledger.llm.common import keep, map_batches, release, text_or_empty, written
+from turnledger.llm.components import components
 
 # Counts of shingles: fixed size, whatever the input.
 SLOTS = 1 << 16
 # Bits of the bitmaps.
 BITMAP = 512
+# Texts of a block that all others of it are compared to before any other pair.
+HUBS = 8
 # Texts of one shingle, or partners of one text, that a task holds or sees on their own.
 BLOCK = 4096
 # Pairs held in memory at a time.
@@ -122,13 +124,6 @@ def prefixes(texts: DataFrame, similarity: float, words: int, seed: int) -> Data
     return found.groupBy("text_id").agg(*[F.first(c).alias(c) for c in ("size", "prefix", "bitmap")])
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
-    """The rows as a staged table, whose size the planner knows when it picks a join."""
-    path = staging_path(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
-
-
 def meeting(heads: DataFrame) -> DataFrame:
     """(shingle, blocks, cell, text_id, size, at): rows of prefixes whose shingle is in
     another prefix too, with the place in the prefix, and the block of the shingle that
@@ -207,8 +202,8 @@ def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, tuple,
 
 def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
     """(a, b, a_label, b_label), a < b, of different groups that share a prefix's shingle
-    and may be similar: `every` pair, or each text with the smallest of its block of the
-    shingle. `met` is `meeting` with the columns label and bitmap."""
+    and may be similar: `every` pair, or each text with the `HUBS` smallest of its block of
+    the shingle. `met` is `meeting` with the columns label and bitmap."""
     apart = (1 - similarity) / (1 + similarity)
 
     def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
@@ -237,7 +232,7 @@ def candidates(met: DataFrame, similarity: float, every: bool) -> DataFrame:
         found, count = [], 0
         for held, passing, own in by_block(batches):
             if not every:
-                held = tuple(c[:1] for c in held)
+                held = tuple(c[:HUBS] for c in held)
             step = max(1, PAIRS // len(held[0]))
             for at in range(0, len(passing[0]), step):
                 pairs = compare(held, tuple(c[at : at + step] for c in passing), own)
@@ -323,14 +318,14 @@ def joined(docs: DataFrame, groups: DataFrame, similarity: float, words: int, se
         found = similar(pairs, sets_of(pairs), similarity)
         return keep(found.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
 
-    # A group joined to that of a smaller text takes its label. Groups of one label belong
-    # together; that not all that do have one only means more pairs.
+    # What the first links join is one group before any other pair is looked at.
     first = edges(every=False)
-    step = first.filter("a != b").groupBy(F.col("b").alias("label")).agg(F.min("a").alias("new"))
+    of = components(first).select(F.col("node").alias("label"), F.col("component").alias("new"))
     label_of = keep(
-        label_of.join(step, "label", "left")
+        label_of.join(of, "label", "left")
         .select("text_id", F.coalesce("new", "label").alias("label"), "bitmap")
     )
+    release(docs.sparkSession)
     return first.unionByName(edges(every=True))
 
 

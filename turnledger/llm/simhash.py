@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from turnledger.llm.common import keep, map_batches, text_or_empty
+from turnledger.llm.common import keep, map_batches, release, text_or_empty
 from turnledger.llm.components import components
 from turnledger.llm.shingle_join import joined, text_id
 
@@ -430,6 +430,7 @@ def grouped(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE_WORD
             distinct.select("fp").join(label.withColumnRenamed("node", "fp"), "fp", "left")
             .select("fp", F.coalesce("component", "fp").alias("label"))
         )
+        release(docs.sparkSession)
         groups = keep(marked.select("text_id", "fp").distinct().join(named, "fp").select("text_id", "label"))
         wider = components(joined(docs, groups, similarity, similar_words, seed)).select(
             F.col("node").alias("label"), F.col("component").alias("wider")
@@ -438,6 +439,7 @@ def grouped(docs: DataFrame, distance: int = DISTANCE, words: int = SHINGLE_WORD
             named.join(wider, "label", "left")
             .select(F.col("fp").alias("node"), F.coalesce("wider", "label").alias("component"))
         )
+        release(docs.sparkSession)
         marked = marked.select("doc_id", "fp")
     named = distinct.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "component", F.coalesce("component", "fp")
