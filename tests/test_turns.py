@@ -1,9 +1,12 @@
+import json
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from turnledger.operators import normalize, sampling, stats, turns as T
 from turnledger.plans.preprocess import preprocess
-from turnledger.schemas import TURN_COLUMNS
+from turnledger.schemas import SEGMENTED_CONVERSATION, TURN_COLUMNS
 from turnledger.sources import conversations as files
 
 SCHEMA = "id string, conversations array<struct<from:string,value:string>>"
@@ -66,6 +69,49 @@ def test_segments_of_long_conversations(spark, segment):
     assert {r.conversation_turn_count for r in back} == {23}
 
 
+def segments(spark, path):
+    """Conversation a in three rows, b in one, a row without id, c whose rows repeat one."""
+    turn = lambda i: {"from": "human", "value": f"turn {i}"}
+    rows = [("a", 0, 4), ("a", 4, 4), ("a", 8, 2), ("b", None, 3), (None, 0, 2), (None, 5, 1), ("c", 0, 1)]
+    lines = [json.dumps({"id": i, "first_turn": f, "conversations": [turn(k) for k in range(n)]}) for i, f, n in rows]
+    (path / "raw.jsonl").write_text("\n".join(lines))
+    return files.read_conversations(spark, f"{path}/raw.jsonl", SEGMENTED_CONVERSATION)
+
+
+COUNTS = {("a", 10): 10, ("b", 3): 3, (None, 2): 2, (None, 1): 1, ("c", 1): 1}
+
+
+def of_counts(turns):
+    return Counter((r.record_id, r.conversation_turn_count) for r in turns.collect())
+
+
+@pytest.mark.parametrize("sent", [T.SENT_TOTALS, 0])
+def test_turns_are_counted_over_rows(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(T, "SENT_TOTALS", sent)
+    assert of_counts(T.explode_turns(segments(spark, tmp_path))) == COUNTS
+
+
+def test_text_is_not_shuffled_for_turn_counts(spark, tmp_path):
+    rows = segments(spark, tmp_path)
+    for df in (rows, rows.filter("first_turn = 0 OR first_turn IS NULL")):
+        node = T.turn_features(df)._jdf.queryExecution().executedPlan()
+        # Exchanges below carry ids and numbers only.
+        moved = [n.split("[")[0] for n in str(node.toString()).splitlines() if "Exchange hashpartitioning" in n]
+        plan = node.toString()
+        assert "SortMergeJoin" not in plan and len(moved) <= 2
+        top = plan.split("BroadcastExchange")[0]
+        assert "hashpartitioning" not in top
+    assert "Exchange" not in T.turn_features(rows.filter("first_turn = 0"))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_preprocess_counts_continued_conversations(spark, tmp_path):
+    segments(spark, tmp_path)
+    preprocess(spark, f"{tmp_path}/raw.jsonl", f"{tmp_path}/turns")
+    assert of_counts(spark.read.parquet(f"{tmp_path}/turns")) == COUNTS
+    preprocess(spark, f"{tmp_path}/raw.jsonl", f"{tmp_path}/apart", segmented=False)
+    assert of_counts(spark.read.parquet(f"{tmp_path}/apart"))["a", 4] == 8
+
+
 def test_empty_corpus_gives_nulls(spark):
     s = stats.corpus_stats(T.turn_features(spark.createDataFrame([], SCHEMA))).first()
     assert s.total_turns == 0 and s.avg_token_count is None and s.total_tokens is None

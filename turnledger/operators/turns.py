@@ -3,7 +3,8 @@
 Both input shapes end in the same processed turn table (`schemas.TURN_COLUMNS`):
 
 * nested rows (`id`, `conversations`): the turn count is the array size, so the
-  whole chain is one map-only stage;
+  whole chain is one map-only stage; only conversations that continue in further rows
+  are counted over their rows, and no text moves for it;
 * flat rows (one per turn): features are computed next to the scan, then the count
   per conversation is joined on. It is a left join to a unique side, so Catalyst
   removes it whenever `conversation_turn_count` is not read.
@@ -20,6 +21,8 @@ from turnledger.schemas import TURN_COLUMNS
 
 # Turns of one conversation that may meet in one join task.
 BLOCK_TURNS = 65_536
+# Conversations whose totals are sent to all tasks: ids and numbers, a few MB.
+SENT_TOTALS = 50_000
 
 
 def _block(position: str) -> Column:
@@ -57,22 +60,48 @@ def _join_turn_counts(rows: DataFrame, counted: DataFrame, turns: Column, positi
     )
 
 
+def continues() -> Column:
+    """Whether a row continues a conversation that began in another row."""
+    return F.col("first_turn") > 0
+
+
+def _count_over_rows(rows: DataFrame) -> DataFrame:
+    """Add the turn count of conversations that may go on in further rows.
+
+    How many conversations do is counted first, from ids alone. Usually none does, or few:
+    then only their totals are made, from ids and array sizes, and sent to the rows. With
+    more of them than `SENT_TOTALS` the rows are joined to all totals by a shuffle.
+    """
+    size = F.size("conversations")
+    continued = rows.filter(continues() & F.col("record_id").isNotNull()).select("record_id").distinct()
+    found = continued.limit(SENT_TOTALS + 1).count()
+    if not found:
+        return rows.withColumn("conversation_turn_count", size)
+    if found > SENT_TOTALS:
+        counted = _join_turn_counts(rows, rows, size, "first_turn")
+        own = F.when(F.col("record_id").isNull(), size).otherwise(F.col("conversation_turn_count"))
+        return counted.withColumn("conversation_turn_count", own)
+    sizes = rows.select("record_id", size.alias("turns"))
+    totals = (
+        sizes.join(F.broadcast(continued), "record_id", "left_semi")
+        .groupBy("record_id").agg(F.sum("turns").cast("int").alias("total"))
+    )
+    counted = rows.join(F.broadcast(totals), "record_id", "left")
+    return counted.withColumn("conversation_turn_count", F.coalesce("total", size)).drop("total")
+
+
 def explode_turns(conversations: DataFrame) -> DataFrame:
     """One row per turn: record_id, turn_index, conversation_turn_count, role, value.
 
     Null and empty conversations give no row. Segmented conversations (see
     `normalize.nest_turns`) carry `first_turn`, null for 0; their turn index continues
     over the segments and the count is the sum over all segments. A row without id is a
-    conversation of its own.
+    conversation of its own. With `first_turn` a small job looks for such conversations
+    when this is called.
     """
     rows = conversations.withColumnRenamed("id", "record_id")
     if "first_turn" in conversations.columns:
-        rows = _join_turn_counts(rows, rows, F.size("conversations"), "first_turn").withColumn(
-            "conversation_turn_count",
-            F.when(F.col("record_id").isNull(), F.size("conversations")).otherwise(
-                F.col("conversation_turn_count")
-            ),
-        )
+        rows = _count_over_rows(rows)
         first_turn = F.coalesce("first_turn", F.lit(0))
     else:
         rows = rows.withColumn("conversation_turn_count", F.size("conversations"))
