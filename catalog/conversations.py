@@ -315,13 +315,8 @@ def agg_corpus_stats(spark, sf):
 # ---- samples -------------------------------------------------------------------------------------
 
 
-def _sql_fraction(*keys: str) -> str:
-    joined = " || ':' || ".join(["'42'", *keys])
-    return f"CAST(('0x' || substr(md5({joined}), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE"
-
-
 @query("sample_rows", f"""WITH {I.FEATURES}
-SELECT {KEY}token_count FROM features ORDER BY {_sql_fraction('record_id', 'turn_index')}, record_id, turn_index LIMIT 100""")
+SELECT {KEY}token_count FROM features ORDER BY {I.sql_fraction('record_id', 'turn_index')}, record_id, turn_index LIMIT 100""")
 def sample_rows(spark, sf):
     return sampling.sample_rows(I.features(spark, sf), ["record_id", "turn_index"], 100).select(
         "record_id", "turn_index", "token_count"
@@ -330,14 +325,14 @@ def sample_rows(spark, sf):
 
 @query("sample_conversations", f"""WITH {I.TURNS}, ids AS (
   SELECT record_id, count(*) AS turns FROM turns GROUP BY record_id)
-SELECT record_id, turns FROM ids ORDER BY {_sql_fraction('record_id')}, record_id LIMIT 40""")
+SELECT record_id, turns FROM ids ORDER BY {I.sql_fraction('record_id')}, record_id LIMIT 40""")
 def sample_conversations(spark, sf):
     counts = I.turns(spark, sf).groupBy("record_id").agg(F.count("*").alias("turns"))
     return sampling.sample_rows(counts, ["record_id"], 40)
 
 
 @query("split_train_test", f"""WITH {I.FEATURES}
-SELECT {KEY}CASE WHEN {_sql_fraction('record_id', 'turn_index')} < 0.8 THEN 'train' ELSE 'test' END AS part FROM features""")
+SELECT {KEY}CASE WHEN {I.sql_fraction('record_id', 'turn_index')} < 0.8 THEN 'train' ELSE 'test' END AS part FROM features""")
 def split_train_test(spark, sf):
     train, test = sampling.split_rows(I.features(spark, sf), ["record_id", "turn_index"])
     keyed = lambda df, part: df.select("record_id", "turn_index", F.lit(part).alias("part"))

@@ -32,6 +32,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[exact(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def sql_fraction(*keys: str, seed: int = K.SPLIT_SEED) -> str:
+    """SQL of `keys.hash_fraction`."""
+    joined = " || ':' || ".join([f"'{seed}'", *keys])
+    return f"CAST(('0x' || substr(md5({joined}), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE"
+
+
 def rnd_shown(expr: str, digits: int) -> str:
     """SQL: the rounding of `functions.round` for a double, which goes by its digits as
     printed; for values that both engines compute with the same steps."""

@@ -1,7 +1,7 @@
 """Feature assembly, model fits and their metrics over the processed turns.
 
-Fitted numbers have no SQL equivalent; `tests/test_ml.py` checks them against a
-closed-form solution.
+SQL computes ridge models as well: covariances of the rows, standardised, and their
+system of equations solved step by step. Models of trees are checked by `tests/test_ml.py`.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from catalog import inputs as I
+from catalog.inputs import sql_fraction
 from catalog.registry import query
 from turnledger import constants as K
 from turnledger.functions import text as tx
@@ -79,14 +80,105 @@ def _fitted(spark, sf, job) -> DataFrame:
     return I.rounded(ml.metrics_frame(spark, fitted).drop("training_time_seconds"))
 
 
-@query("ml_ridge_metrics")
+def _sql_solved(name: str, rows: str, systems: str, features: list[str], label: str) -> str:
+    """CTEs that end in `{name}_fit(system, i, mean, slope)`, the label's mean at the last i.
+
+    `systems` selects (system, penalty, left_out): a ridge model of the training rows
+    whose fold is not left out. The elimination of Gauss and Jordan, one CTE per feature.
+    """
+    n = len(features)
+    columns = ", ".join(f"CAST({c} AS DOUBLE)" for c in [*features, label])
+    steps = "".join(f"""
+{name}_{k} AS MATERIALIZED (
+  SELECT a.system, a.i, a.j,
+    CASE WHEN a.i = {k} THEN a.v / p.v ELSE a.v - r.v * c.v / p.v END AS v
+  FROM {name}_{k - 1} a
+  JOIN {name}_{k - 1} p ON p.system = a.system AND p.i = {k} AND p.j = {k}
+  JOIN {name}_{k - 1} r ON r.system = a.system AND r.i = a.i AND r.j = {k}
+  JOIN {name}_{k - 1} c ON c.system = a.system AND c.i = {k} AND c.j = a.j),""" for k in range(1, n + 1))
+    return f"""
+{name}_systems AS ({systems}),
+{name}_long AS MATERIALIZED (
+  SELECT row, fold, generate_subscripts([{columns}], 1) AS i, unnest([{columns}]) AS x
+  FROM {rows} WHERE in_train),
+{name}_moments AS MATERIALIZED (
+  SELECT system, penalty, a.i, b.i AS j, covar_pop(a.x, b.x) AS c, avg(a.x) AS mean
+  FROM {name}_long a JOIN {name}_long b USING (row) JOIN {name}_systems ON a.fold IS DISTINCT FROM left_out
+  GROUP BY ALL),
+{name}_0 AS MATERIALIZED (
+  SELECT m.system, m.i, m.j, coalesce(m.c / nullif(sqrt(s.c * t.c), 0), 0)
+    + CASE WHEN m.i = m.j THEN m.penalty / sqrt(y.c) ELSE 0 END AS v
+  FROM {name}_moments m
+  JOIN {name}_moments s ON s.system = m.system AND s.i = m.i AND s.j = m.i
+  JOIN {name}_moments t ON t.system = m.system AND t.i = m.j AND t.j = m.j
+  JOIN {name}_moments y ON y.system = m.system AND y.i = {n + 1} AND y.j = {n + 1}
+  WHERE m.i <= {n}),{steps}
+{name}_fit AS MATERIALIZED (
+  SELECT m.system, m.i, m.mean, CASE WHEN m.i <= {n} THEN coalesce(z.v * sqrt(y.c / nullif(m.c, 0)), 0) END AS slope
+  FROM {name}_moments m
+  JOIN {name}_moments y ON y.system = m.system AND y.i = {n + 1} AND y.j = {n + 1}
+  LEFT JOIN {name}_{n} z ON z.system = m.system AND z.i = m.i AND z.j = {n + 1}
+  WHERE m.i = m.j)"""
+
+
+def _sql_predicted(name: str, rows: str, features: list[str], label: str, condition: str) -> str:
+    """(system, row, y, p): rows with what the models of `_sql_solved` predict."""
+    columns = ", ".join(f"CAST({c} AS DOUBLE)" for c in features)
+    return f"""SELECT f.system, r.row, any_value(r.y) AS y,
+    sum(CASE WHEN f.slope IS NULL THEN f.mean ELSE (r.x[f.i] - f.mean) * f.slope END) AS p
+  FROM (SELECT row, fold, in_train, CAST({label} AS DOUBLE) AS y, [{columns}] AS x FROM {rows}) r
+  JOIN {name}_fit f ON true JOIN {name}_systems s ON s.system = f.system
+  WHERE {condition} GROUP BY f.system, r.row"""
+
+
+_FOLD = f"CAST(floor({sql_fraction('record_id', 'turn_index', seed=K.SPLIT_SEED + 1)} * 3) AS INTEGER)"
+_SPLIT = f"""split AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS row, {_FOLD} AS fold,
+    {sql_fraction('record_id', 'turn_index')} < 0.8 AS in_train FROM features)"""
+
+
+def _sql_fit_row(predicted: str, name: str, kind: str, label: str, chosen: str) -> str:
+    return f"""SELECT '{name}' AS model_name, '{kind}' AS model_type, '{label}' AS target,
+  {I.rnd('sqrt(avg((y - p) * (y - p)))')} AS rmse, {I.rnd('avg(abs(y - p))')} AS mae,
+  {I.rnd('1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*))')} AS r2,
+  count(*) AS test_rows, {chosen} AS best_reg_param FROM ({predicted})"""
+
+
+def _sql_ridge(name: str, label: str) -> str:
+    """Metrics on the test rows of the model with penalty 0.1."""
+    system = "SELECT 0 AS system, 0.1::DOUBLE AS penalty, NULL::INTEGER AS left_out"
+    predicted = _sql_predicted("ridge", "split", K.FEATURE_COLUMNS, label, "NOT in_train")
+    return (
+        f"WITH {I.FEATURES}, {_SPLIT}, {_sql_solved('ridge', 'split', system, K.FEATURE_COLUMNS, label)} "
+        + _sql_fit_row(predicted, name, "LinearRegression", label, "NULL::DOUBLE")
+    )
+
+
+def _sql_cross_validated() -> str:
+    label, features = K.LABEL_COLUMN, K.FEATURE_COLUMNS
+    grid = """SELECT row_number() OVER (ORDER BY penalty, left_out) AS system, penalty, left_out
+  FROM (SELECT unnest([0.01, 0.1, 1.0])::DOUBLE AS penalty), (SELECT unnest([0, 1, 2]) AS left_out)"""
+    held = _sql_predicted("grid", "split", features, label, "r.in_train AND r.fold = s.left_out")
+    best = """SELECT 0 AS system, penalty, NULL::INTEGER AS left_out FROM (
+    SELECT system, sqrt(avg((y - p) * (y - p))) AS rmse FROM held GROUP BY system
+  ) JOIN grid_systems USING (system) GROUP BY penalty ORDER BY avg(rmse), penalty LIMIT 1"""
+    predicted = _sql_predicted("best", "split", features, label, "NOT in_train")
+    return (
+        f"WITH {I.FEATURES}, {_SPLIT}, {_sql_solved('grid', 'split', grid, features, label)}, "
+        f"held AS MATERIALIZED ({held}), {_sql_solved('best', 'split', best, features, label)} "
+        + _sql_fit_row(predicted, "cv_ridge_token_count", "CrossValidatedRidge", label,
+                       "(SELECT penalty FROM best_systems)")
+    )
+
+
+@query("ml_ridge_metrics", _sql_ridge("ridge_token_count", K.LABEL_COLUMN))
 def ml_ridge_metrics(spark, sf):
     return _fitted(
         spark, sf, lambda tr, te: [ml.fit("ridge_token_count", ml.ridge(), tr, te)]
     )
 
 
-@query("ml_ridge_opt_metrics")
+@query("ml_ridge_opt_metrics", _sql_ridge("ridge_opt_token_count", K.OPT_LABEL_COLUMN))
 def ml_ridge_opt_metrics(spark, sf):
     return _fitted(
         spark, sf,
@@ -94,7 +186,7 @@ def ml_ridge_opt_metrics(spark, sf):
     )
 
 
-@query("ml_cv_metrics")
+@query("ml_cv_metrics", _sql_cross_validated())
 def ml_cv_metrics(spark, sf):
     return _fitted(spark, sf, lambda tr, te: [ml.cross_validate(tr, te)])
 

@@ -13,13 +13,12 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
-from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnledger import constants as K
+from turnledger.operators.ridge import best_penalty, fold_of, moments
 
 
 def assembler(features: Sequence[str] = K.FEATURE_COLUMNS) -> VectorAssembler:
@@ -125,26 +124,21 @@ def fit(name: str, regressor: Estimator, train: DataFrame, test: DataFrame,
 
 def cross_validate(train: DataFrame, test: DataFrame, label: str = K.LABEL_COLUMN,
                    features: Sequence[str] = K.FEATURE_COLUMNS, folds: int = 3,
-                   reg_params: Sequence[float] = (0.01, 0.1, 1.0), parallelism: int = 2,
+                   reg_params: Sequence[float] = (0.01, 0.1, 1.0),
+                   keys: Sequence[str] = ("record_id", "turn_index"),
                    name: str = "cv_ridge_token_count") -> Fitted:
-    """Ridge with the penalty of the lowest cross-validated rmse."""
-    regressor = LinearRegression(elasticNetParam=0.0, maxIter=100, solver="normal")
-    stages = pipeline(regressor, label, features)
-    grid = ParamGridBuilder().addGrid(stages.getStages()[-1].regParam, list(reg_params)).build()
+    """Ridge with the penalty of the lowest cross-validated rmse.
+
+    One pass over the rows gives the moments of every fold, from which all models of the
+    grid are solved and judged; only the chosen penalty is fitted as a pipeline. Folds
+    depend on `keys`, so reruns choose the same.
+    """
     started = time.perf_counter()
-    found: CrossValidatorModel = CrossValidator(
-        estimator=stages,
-        estimatorParamMaps=grid,
-        evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
-        numFolds=folds,
-        parallelism=parallelism,
-        seed=K.SPLIT_SEED,
-    ).fit(train)
-    seconds = time.perf_counter() - started
-    best = found.bestModel
-    metrics = regression_metrics(best.transform(test), label).first().asDict()
-    extra = {"best_reg_param": float(best.stages[-1].getRegParam())}
-    return Fitted(name, "CrossValidatedRidge", label, best, metrics, seconds, extra)
+    chosen, errors = best_penalty(moments(train, label, features, fold_of(keys, folds)), reg_params)
+    spent = time.perf_counter() - started
+    best = fit(name, ridge(chosen), train, test, label, features)
+    extra = {"best_reg_param": float(chosen), "cv_rmse": errors[chosen]}
+    return Fitted(name, "CrossValidatedRidge", label, best.model, best.metrics, best.seconds + spent, extra)
 
 
 def select_model(train: DataFrame, test: DataFrame, features: Sequence[str] = K.FEATURE_COLUMNS,
