@@ -34,7 +34,7 @@ SLOTS = 1 << 16
 # Bits of the bitmaps.
 BITMAP = 512
 # Texts of a block that all others of it are compared to before any other pair.
-HUBS = 8
+HUBS = 4
 # Texts of one shingle, or partners of one text, that a task holds or sees on their own.
 BLOCK = 4096
 # Pairs held in memory at a time.
@@ -314,8 +314,12 @@ def joined(docs: DataFrame, groups: DataFrame, similarity: float, words: int, se
         return keep(found.groupBy("text_id").agg(F.first("set").alias("set")))
 
     def edges(every: bool) -> DataFrame:
+        # Shuffles of a step go before the next one begins: each may hold as much as the texts.
         pairs = keep(candidates(met.join(label_of, "text_id"), similarity, every))
-        found = similar(pairs, sets_of(pairs), similarity)
+        release(docs.sparkSession)
+        sets = sets_of(pairs)
+        release(docs.sparkSession)
+        found = similar(pairs, sets, similarity)
         return keep(found.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
 
     # What the first links join is one group before any other pair is looked at.
