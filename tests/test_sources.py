@@ -2,11 +2,13 @@ import json
 import random
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F, types as T
 
 from turnledger.operators import events as ev
 from turnledger.sources import conversations as files, event_store as store, tables
+from turnledger.sources import json_array
 from turnledger.sources.json_array import array_elements
 
 BITS = ["{", "}", "[", "]", '"', "\\", '\\"', ",", "},{", '}, {"id"', "é", "\n", " ", "a", "\t", "]}"]
@@ -134,8 +136,9 @@ def test_bulk_append_counts_and_keeps_bad_rows(spark, tmp_path):
     assert {(r.n, r.index_date) for r in good.collect()} == {(1, "2024.01.05"), (4, "unknown")}
 
 
-def test_invalid_element_is_refused(spark, tmp_path):
-    (tmp_path / "bad.json").write_text('[{"id": "a", "n": 1}, {"id": "b" "n": 2}, {"id": "c"}]')
+@pytest.mark.parametrize("text", ['[{"id": "a", "n": 1}, {"id": "b" "n": 2}, {"id": "c"}]', '[{"id": "a"}], [{"id": "b"}]'])
+def test_invalid_element_is_refused(spark, tmp_path, text):
+    (tmp_path / "bad.json").write_text(text)
     with pytest.raises(Exception, match="not valid JSON: element 1"):
         files.json_array_to_jsonl(spark, f"{tmp_path}/bad.json", f"{tmp_path}/out")
 
@@ -185,3 +188,74 @@ def test_lines_are_not_an_array(spark, tmp_path):
         files.read_json_array(spark, f"{tmp_path}/lines.txt").collect()
     (tmp_path / "spaced.json").write_text(' \n[ {"id": "1", "conversations": []}]\n')
     assert [r.id for r in files.read_json_array(spark, f"{tmp_path}/spaced.json").collect()] == ["1"]
+
+
+def plain_depths(text, inside):
+    """At each `}`: is it outside of strings, and the depth after it, character by character."""
+    depth, out, at = 0, [], 0
+    while at < len(text):
+        c = text[at]
+        if c == "\\":
+            at += 1
+        elif c == '"':
+            inside = not inside
+        elif not inside:
+            depth += (c in "{[") - (c in "}]")
+        if c == "}":
+            out.append((not inside, depth))
+        at += 1
+    return out
+
+
+def test_sums_of_pieces_against_single_characters(monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(json_array, "SLICE", 40)
+    for _ in range(60):
+        parts = [rng.choice(['"', "{", "[", "]", "a", "é", "\\\\", '\\"', "\\n", "}", "}"]) for _ in range(90)]
+        text = "".join(parts) + "}"
+        pieces = text.split("}")[:-1]
+        rows = range(100, 100 + len(pieces))
+        sums = json_array._Sums(pieces[0])
+        batch = pa.RecordBatch.from_pydict({"file": ["f"] * len(pieces), "block": [0] * len(pieces), "row": list(rows), "value": pieces})
+        for _, part in json_array._runs(batch):
+            sums.add(part.column("value"), part.column("row").to_numpy())
+        got = sums.row(("f", 0))
+        for state in (0, 1):
+            plain = plain_depths(text, bool(state))
+            at = {}
+            for row, (outside, depth) in zip(rows, plain):
+                if outside:
+                    at.setdefault(depth, []).append(row)
+            kept = [x for x in sorted(at) if x < min(at) + 3]
+            assert got[f"change_{state}"] == plain[-1][1]
+            assert got[f"levels_{state}"] == [{"level": x, "n": len(at[x]), "first": at[x][0], "last": at[x][-1]} for x in kept]
+
+
+@pytest.mark.parametrize("sent_blocks", [0, 1000])
+def test_states_of_blocks_are_sent_or_joined(spark, tmp_path, small_splits, sent_blocks):
+    records = awkward_records(80)
+    # One element fills many blocks, and a file has no elements.
+    records[40]["more"] = [{"long": "x } \\" * 30} for _ in range(60)]
+    (tmp_path / "a.json").write_text(json.dumps(records, indent=1))
+    (tmp_path / "none.json").write_text("[]")
+    got = array_elements(spark, f"{tmp_path}/*.json", sent_blocks).orderBy("element").collect()
+    assert [json.loads(r.value) for r in got] == records
+    assert [r.element for r in got] == list(range(80)) and all("\n" not in r.value for r in got)
+
+
+def test_array_text_is_neither_staged_nor_shuffled(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": str(i), "conversations": []} for i in range(50)]))
+    folder = f"{tmp_path}/staged"
+    monkeypatch.setattr(json_array, "staging_path", lambda spark, name: folder)
+    elements = array_elements(spark, f"{tmp_path}/a.json")
+    assert elements.count() == 50
+    assert "Exchange hashpartitioning" not in elements._jdf.queryExecution().executedPlan().toString()
+    staged = [spark.read.parquet(f"{folder}/{name}").columns for name in ("sums", "starts")]
+    assert not any("value" in columns for columns in staged)
+
+
+@pytest.mark.parametrize("text", ['[{"a": 1}]]', '{"a": [{"b": 1}]}', '[{"a": "}]', "", "null"])
+def test_what_is_no_array_is_refused(spark, tmp_path, text):
+    (tmp_path / "x.json").write_text(text or " ")
+    with pytest.raises(ValueError, match="x.json"):
+        array_elements(spark, f"{tmp_path}/x.json")
