@@ -1,11 +1,13 @@
 """What the plans must and must not contain."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from catalog import inputs as I
-from turnledger.operators import cost, events as ev, stats, turns as T
+from turnledger.operators import cost, events as ev, sampling, stats, turns as T
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,7 +77,18 @@ def test_latest_time_filter_reaches_the_scan(spark):
     plan = optimized(ev.last_days(I.table(spark, SF, "events"), 7).select("event_id"))
     assert "scalar-subquery" in plan
     scans = physical(ev.last_days(I.table(spark, SF, "events"), 7).select("event_id"))
-    assert "GreaterThanOrEqual(ts,ScalarSubquery" in scans.replace(" ", "") or "DataFilters: [isnotnull(ts" in scans
+    filters = re.findall(r"DataFilters: \[.*?\], Format", scans)
+    assert any(re.search(r"ts#\d+ >= .*[Ss]ubquery", x) for x in filters)
+
+
+def test_sample_takes_two_scans(spark):
+    documents = I.table(spark, SF, "documents")
+    sample = sampling.sample_rows(documents, ["doc_id"], 50)
+    assert len(sample.collect()) == 50 and sample.columns == documents.columns
+    plan = physical(sample).split("Initial Plan")[0]
+    # Whole rows once; the keys once, in a subquery whose other uses are the same one.
+    assert plan.count("FileScan") - plan.count("struct<doc_id:bigint>\n") <= 1
+    assert "ReusedSubquery" in physical(sample)
 
 
 def test_shortening_is_computed_once(spark):

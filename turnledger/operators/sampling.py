@@ -10,80 +10,52 @@ from turnledger import constants as K
 from turnledger.functions.keys import hash_fraction
 
 
+# Groups that candidates for the last places are dealt to before the last choice.
+SALTS = 256
+
+
+def _step(hash_: Column) -> Column:
+    """Number of the step, rising with the hash, in which a hash lies. A step is at most
+    a 64th of what lies below it, so there are about 3,000 of them."""
+    whole = (hash_ * float(1 << 48)).cast("long")
+    bits = F.length(F.bin(whole))
+    # Seven leading bits; shiftright takes its distance from an expression only in SQL.
+    return bits * 128 + F.call_function("shiftright", whole, F.greatest(bits - 7, F.lit(0)))
+
+
 def sample_rows(df: DataFrame, keys: Sequence[str], n: int, seed: int = K.SPLIT_SEED) -> DataFrame:
-    """The `n` rows with the smallest key hashes (all rows if there are fewer).
+    """The `n` rows with the smallest key hashes (all rows if there are fewer); of rows that
+    share the last key those with the smallest hashes of the whole row.
 
     A plain `limit(n)` before a write makes every task ship n rows to one task. Here the
-    n-th smallest hash is looked up first, from key columns only, and the rows are then
-    picked where they are. For the lookup the rows below 1, 1/2, 1/4, ... are counted in
-    one pass, and only hashes below the smallest of these bounds with n rows or more are
-    sorted. Of rows that share the last key those with the smallest hashes of the whole
-    row are taken, up to n.
+    rows of each step of hashes are counted first, from key columns only, which tells in
+    which step the n-th smallest lies. A second pass takes the rows up to this step. Those
+    before it are all in the sample and spread over tasks; only those inside of it, about
+    n / 64 unless many share a key, are ordered, in groups first.
     """
     hash_ = hash_fraction(keys, seed)
-    below = {f"below_{i}": 2.0**-i for i in reversed(range(41))}
-    bound = (
-        df.select(hash_.alias("hash"))
-        .agg(*[F.count_if(F.col("hash") < b).alias(name) for name, b in below.items()])
-        .select(
-            F.coalesce(
-                *[F.when(F.col(name) >= n, F.lit(b)) for name, b in below.items()], F.lit(1.0)
-            ).alias("bound")
-        )
-        .scalar()
-    )
-    position = F.struct(hash_.alias("hash"), *keys)
+    steps = df.select(_step(hash_).alias("step")).groupBy("step").agg(F.count("*").alias("rows"))
+    until_here = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     last = (
-        df.select(position.alias("position"))
-        .filter(F.col("position.hash") < bound)
-        .orderBy("position")
-        .limit(n)
-        .groupBy("position")
-        .agg(F.count("*").alias("copies"))
-        .orderBy(F.desc("position"))
-        .limit(1)
-        .select(F.struct("position", "copies").alias("last"))
-        .scalar()
-    )
-    placed = df.withColumn("_position", position).withColumn("_last", last)
-    first = placed.filter(F.col("_position") < F.col("_last.position")).select(*df.columns)
-    tied = placed.filter(F.col("_position") == F.col("_last.position")).drop("_position")
-    return first.unionByName(_first_rows(tied, df.columns, n))
-
-
-def _first_rows(tied: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
-    """Of rows that share a key, the `_last.copies` (at most n) with the smallest hashes
-    of the whole row. Rows that are equal throughout are only counted before they are
-    repeated, so no task holds all rows of a key."""
-    hashed = F.xxhash64(*[c for c, t in tied.select(*columns).dtypes if "map<" not in t and t != "variant"])
-    marked = tied.withColumn("_hash", hashed)
-    # At most n numbers reach the one task that finds the last hash.
-    smallest = marked.select("_hash", F.col("_last.copies").alias("copies")).orderBy("_hash").limit(n)
-    place = F.row_number().over(Window.orderBy("_hash"))
-    cut = (
-        smallest.withColumn("place", place)
-        .filter("place <= copies")
-        .groupBy("_hash")
-        .agg(F.count("*").alias("copies"))
-        .orderBy(F.desc("_hash"))
-        .limit(1)
-        .select(F.struct("_hash", "copies").alias("cut"))
+        steps.withColumn("until", F.sum("rows").over(until_here))
+        .filter(F.col("until") >= n)
+        .agg(F.min_by(F.struct("step", (n - F.col("until") + F.col("rows")).alias("wanted")), "step"))
         .scalar()
     )
-    against = marked.withColumn("_cut", cut)
-    whole = against.filter(F.col("_hash") < F.col("_cut._hash")).select(*columns)
-    row = F.struct(*[F.col(f"`{c}`") for c in columns])
-    repeated = (
-        against.filter(F.col("_hash") == F.col("_cut._hash"))
-        .groupBy("_hash")
-        .agg(
-            F.first(row).alias("row"),
-            F.least(F.count("*"), F.first("_cut.copies")).cast("int").alias("copies"),
-        )
-        .select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
-        .select("row.*")
+    hashed = F.xxhash64(*[f"`{c}`" for c, t in df.dtypes if "map<" not in t and t != "variant"])
+    order = [hash_, *keys, "_row_hash"]
+    found = (
+        df.withColumn("_last", last)
+        .filter(F.coalesce(_step(hash_) <= F.col("_last.step"), F.lit(True)))
+        .withColumn("_tail", F.coalesce(_step(hash_) == F.col("_last.step"), F.lit(False)))
+        .withColumn("_row_hash", hashed)
     )
-    return whole.unionByName(repeated)
+    chosen = ~F.col("_tail") | (F.col("_place") <= F.col("_last.wanted"))
+    for salt in (F.spark_partition_id() % SALTS, F.lit(0)):
+        group = F.when(F.col("_tail"), salt.cast("long")).otherwise(F.col("_row_hash"))
+        place = F.row_number().over(Window.partitionBy("_tail", "_group").orderBy(*order))
+        found = found.withColumn("_group", group).withColumn("_place", place).filter(chosen)
+    return found.drop("_last", "_tail", "_row_hash", "_group", "_place")
 
 
 def in_first_part(keys: Sequence[str], share: float = 0.8, seed: int = K.SPLIT_SEED) -> Column:
