@@ -54,13 +54,8 @@ LINE = StructType(
 )
 
 
-@query("event_bulk_append", """WITH d AS (
-  SELECT CASE WHEN event_id % 40 = 0 THEN 'corrupt' ELSE 'events' END AS index_prefix,
-    CASE WHEN event_id % 40 = 0 THEN 'unknown' ELSE strftime(ts, '%Y.%m.%d') END AS index_date, event_id FROM events)
-SELECT index_prefix || '-' || index_date AS index_name, count(*) AS docs FROM d GROUP BY 1""")
-def event_bulk_append(spark, sf):
-    """Documents as JSON lines, every fortieth one cut off in the middle."""
-    root = staging_path(spark, "bulk")
+def _lines(spark, sf):
+    """event_id and documents as JSON lines, every fortieth one cut off in the middle."""
     line = F.to_json(
         F.struct(
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
@@ -68,11 +63,27 @@ def event_bulk_append(spark, sf):
         )
     )
     cut = F.when(F.col("event_id") % 40 == 0, F.substring(line, 1, 20)).otherwise(line)
-    lines = I.table(spark, sf, "events").select(cut.alias("value"))
-    store.bulk_append(lines, LINE, root, "events")
+    return I.table(spark, sf, "events").select("event_id", cut.alias("value"))
+
+
+@query("event_bulk_append", """WITH d AS (
+  SELECT CASE WHEN event_id % 40 = 0 THEN 'corrupt' ELSE 'events' END AS index_prefix,
+    CASE WHEN event_id % 40 = 0 THEN 'unknown' ELSE strftime(ts, '%Y.%m.%d') END AS index_date, event_id FROM events)
+SELECT index_prefix || '-' || index_date AS index_name, count(*) AS docs FROM d GROUP BY 1""")
+def event_bulk_append(spark, sf):
+    root = staging_path(spark, "bulk")
+    store.bulk_append(_lines(spark, sf), LINE, root, "events")
     return store.docs_per_index(spark.read.parquet(root))
 
 
+@query("event_bulk_chunks", """WITH d AS (
+  SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS place FROM events)
+SELECT place // 500 AS chunk, count(*) FILTER (event_id % 40 <> 0) AS indexed,
+  count(*) FILTER (event_id % 40 = 0) AS failed FROM d GROUP BY 1""")
+def event_bulk_chunks(spark, sf):
+    return store.chunk_counts(_lines(spark, sf), LINE, "event_id")
+
+
 @query("event_retention", f"""WITH {I.DOCS}
 SELECT strftime(ts, '%Y.%m.%d') AS index_date, count(*) AS docs FROM docs
 WHERE CAST(ts AS DATE) >= (SELECT CAST(max(ts) AS DATE) FROM docs) - 10 GROUP BY 1""")

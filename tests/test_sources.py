@@ -136,6 +136,17 @@ def test_bulk_append_counts_and_keeps_bad_rows(spark, tmp_path):
     assert {(r.n, r.index_date) for r in good.collect()} == {(1, "2024.01.05"), (4, "unknown")}
 
 
+def test_chunks_are_counted_in_order_whatever_the_splits(spark):
+    schema = T.StructType([T.StructField("n", T.LongType())])
+    lines = [(i, '{"n":' if i % 7 == 0 else f'{{"n":{i}}}') for i in range(0, 2460, 2)]
+    bad = [sum(p % 7 == 0 for p, _ in lines[a:a + 250]) for a in range(0, 1230, 250)]
+    for parts in (1, 9):
+        df = spark.createDataFrame(lines[::-1], "place long, value string").repartition(parts)
+        got = sorted(tuple(r) for r in store.chunk_counts(df, schema, "place", 250).collect())
+        assert got == [(c, min(250, 1230 - 250 * c) - b, b) for c, b in enumerate(bad)]
+    assert store.chunk_counts(df.limit(0), schema, "place").collect() == []
+
+
 @pytest.mark.parametrize("text", ['[{"id": "a", "n": 1}, {"id": "b" "n": 2}, {"id": "c"}]', '[{"id": "a"}], [{"id": "b"}]'])
 def test_invalid_element_is_refused(spark, tmp_path, text):
     (tmp_path / "bad.json").write_text(text)

@@ -5,6 +5,7 @@ Target: `id` and `conversations`, an array of {from, value}.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -33,17 +34,19 @@ def map_roles(messages: Column) -> Column:
     )
 
 
-def dense_positions(df: DataFrame, order: str, parts: int | None = None) -> DataFrame:
-    """(order, dense_position): 0, 1, 2, ... in the order of a column with unique values.
+def dense_positions(df: DataFrame, order: str, parts: int | None = None,
+                    others: Sequence[str] = ()) -> DataFrame:
+    """(order, others, dense_position): 0, 1, 2, ... in the order of a column with unique
+    values.
 
     A window over everything would sort all rows in one task. Here rows are numbered
     inside the parts of a range partitioning, which are even whatever the values are,
     and shifted by the number of rows in the parts before. The parts are checkpointed,
-    because they come from a sample and must stay the same; only the order column is
-    written.
+    because they come from a sample and must stay the same; only the order column and
+    the narrow `others` are written.
     """
     shared_dir(df.sparkSession)
-    values = df.select(F.col(order).alias("_order"))
+    values = df.select(F.col(order).alias("_order"), *others)
     ranged = (
         values.repartitionByRange("_order")
         if parts is None
@@ -62,6 +65,7 @@ def dense_positions(df: DataFrame, order: str, parts: int | None = None) -> Data
         .join(offsets, "_part")
         .select(
             F.col("_order").alias(order),
+            *others,
             (F.col("_inside") + F.col("_offset")).cast("long").alias("dense_position"),
         )
     )

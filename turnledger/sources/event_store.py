@@ -12,9 +12,13 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
+from turnledger.operators.normalize import dense_positions
+
 DAY_FORMAT = "yyyy.MM.dd"
 CORRUPT_PREFIX = "corrupt"
 UNKNOWN_DAY = "unknown"
+# Lines that are counted together when a bulk of them is appended.
+CHUNK = 500
 
 
 def utc(df: DataFrame, ts: str) -> Column:
@@ -107,6 +111,23 @@ def bulk_append(lines: DataFrame, schema: StructType, root: str, index_prefix: s
     return {k: int(v) for k, v in counted.get.items()}
 
 
+def chunk_counts(lines: DataFrame, schema: StructType, order: str,
+                 chunk: int = CHUNK) -> DataFrame:
+    """(chunk, indexed, failed): how many of each `chunk` lines, taken in the order of a
+    column with unique values, `bulk_append` puts into the index and into the side index.
+
+    Chunks are numbered from 0 whatever the splits; the last may be short, and no lines
+    give no chunk. Lines are parsed where they are read, and only the order column and
+    whether a line fits are moved.
+    """
+    parsed = parse_lines(lines, schema, others={"_at": F.col(order)})
+    marked = parsed.select("_at", F.col("_corrupt_record").isNotNull().alias("_bad"))
+    placed = dense_positions(marked, "_at", others=["_bad"])
+    return placed.groupBy(F.floor(F.col("dense_position") / chunk).alias("chunk")).agg(
+        F.count_if(~F.col("_bad")).alias("indexed"), F.count_if("_bad").alias("failed")
+    )
+
+
 def read_index(spark: SparkSession, root: str, prefix: str, first_day: str | None = None,
                last_day: str | None = None, schema: StructType | None = None) -> DataFrame:
     """All daily indices of a prefix, or those of a range of days (`yyyy.MM.dd`).
