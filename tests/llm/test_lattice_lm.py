@@ -131,13 +131,15 @@ def test_matches_plain_counts(spark, head):
     expected = []
     for d, t in rows:
         known, base, score = 1, math.log10((ends + 1) / (n + types + 1)), math.log10(ends / n)
+        own = score
         for w in split(t):
             c, log = counts[w], revised.log_probability(w)
             known += c > 0
             base += math.log10((c + 1) / (n + types + 1))
+            own += log / math.log(10) + math.log10(1 - ends / n)
             share = 0.75 * len(counts) / n
             score += math.log10((c - 0.75) / n + share * math.exp(log)) if c else (log + math.log(share)) / math.log(10)
-        expected.append((d, out(d), len(split(t)) + 1, known, n, base, score))
+        expected.append((d, out(d), len(split(t)) + 1, known, n, base, score, own))
     got = [tuple(r) for r in lattice_lm.score_texts(docs.repartition(3), lattice, head=head).collect()]
     order = lambda r: (str(r[0]), r[2], round(r[5], 6))
     assert len(got) == len(expected)
@@ -150,4 +152,5 @@ def test_no_training_rows_and_empty_table(spark):
     r = lattice_lm.score_texts(spark.createDataFrame([(d, "ab")], "doc_id long, text string"), small()).first()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 2, 0, 0, 0.0)
     assert r.score == pytest.approx(small().revised({}, 0).log_probability("ab") / math.log(10))
+    assert r.lattice_score == pytest.approx(r.score)
     assert lattice_lm.score_texts(spark.createDataFrame([], "doc_id long, text string"), small()).collect() == []

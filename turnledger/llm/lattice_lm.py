@@ -11,7 +11,9 @@ documents, by absolute discounting: a word seen c times among N tokens has
 
     P(word) = max(c - D, 0) / N + D * distinct / N * lattice(word)
 
-and the end of a text, a token of its own, its share of N. Words of all documents are
+and the end of a text, a token of its own, its share of N. The lattice's own marginal
+probability of a text, where each word has its share of N as a whole times the lattice's
+probability and no count of a word is used, is returned beside it. Words of all documents are
 counted, in the reading tasks first. Scores of the most frequent words go to all tasks,
 a table of fixed size; the rest are joined by word, so no hot word meets in one task.
 """
@@ -292,10 +294,12 @@ def adapt(words: DataFrame, lattice: Lattice) -> Lattice:
 
 def score_texts(docs: DataFrame, lattice: Lattice, folds: int = FOLDS, remainder: int = HELD_OUT,
                 discount: float = DISCOUNT, head: int = HEAD) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
+    lattice_score) per row.
 
     Words are split at ASCII white space, A-Z in lower case, and a text ends with one end
-    token. base_score is add-one unigram, score the model's, both log10 over all tokens.
+    token. base_score is add-one unigram, score the word model's, lattice_score the sum over
+    all segmentations of the text, all log10 over all tokens.
     Null texts are empty: they hold the end alone. Rows without doc_id are training rows;
     repeated rows are counted and returned each; an empty table gives no row. Without
     training documents words have the lattice's probability and the end has 1. Other
@@ -339,42 +343,50 @@ def score_texts(docs: DataFrame, lattice: Lattice, folds: int = FOLDS, remainder
         model = F.col("lattice") / ln10
     end_base = math.log10((ends + 1) / (n + types + 1))
     end_model = math.log10(ends / n) if ends else 0.0
-    scored = words.select("word", "every", (F.col("c") > 0).alias("known"), base.alias("base"), model.alias("model"))
+    # What is left to words when ends have their share; texts without words leave it all.
+    go_on = math.log10(1 - ends / n) if 0 < n != ends else 0.0
+    scored = words.select(
+        "word", "every", (F.col("c") > 0).alias("known"), base.alias("base"), model.alias("model"),
+        (F.col("lattice") / ln10 + go_on).alias("plain"),
+    )
     # A table of `head` rows, whatever the input.
     top = scored.orderBy(F.desc("every"), "word").limit(head).drop("every").toArrow()
     frequent = spark.sparkContext.broadcast({
-        w.encode("utf-8", "surrogatepass"): (int(k), b, m)
-        for w, k, b, m in zip(*(top.column(c).to_pylist() for c in ("word", "known", "base", "model")))
+        w.encode("utf-8", "surrogatepass"): (int(k), *logs)
+        for w, k, *logs in zip(
+            *(top.column(c).to_pylist() for c in ("word", "known", "base", "model", "plain"))
+        )
     })
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, row = frequent.value.get, TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: list[list] = [[] for _ in range(7)]
+            out: list[list] = [[] for _ in range(8)]
             for text in batch.column("text").to_pylist():
                 tokens = words_of(text)
-                known, low, high, rare, times = 0, end_base, end_model, [], []
+                known, low, high, own, rare, times = 0, end_base, end_model, end_model, [], []
                 for word, n in Counter(tokens).items():
                     if found := get(word):
                         known += n * found[0]
                         low += n * found[1]
                         high += n * found[2]
+                        own += n * found[3]
                     else:
                         rare.append(word.decode("utf-8", "surrogatepass"))
                         times.append(n)
-                for column, value in zip(out, (row, len(tokens) + 1, known, low, high, rare, times)):
+                for column, value in zip(out, (row, len(tokens) + 1, known, low, high, own, rare, times)):
                     column.append(value)
                 row += 1
-            kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.list_(pa.string()), pa.list_(pa.int64())]
+            kinds = [pa.int64()] * 3 + [pa.float64()] * 3 + [pa.list_(pa.string()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), *map(pa.array, out, kinds)],
-                names=["doc_id", "held_out", "row", "n_tokens", "known", "low", "high", "rare", "times"],
+                names=["doc_id", "held_out", "row", "n_tokens", "known", "low", "high", "own", "rare", "times"],
             )
 
     rows = keep(map_batches(
         source, split,
         "doc_id long, held_out boolean, row long, n_tokens long, known long, low double, "
-        "high double, rare array<string>, times array<long>",
+        "high double, own double, rare array<string>, times array<long>",
     ))
     rest = (
         rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("t"))
@@ -385,6 +397,7 @@ def score_texts(docs: DataFrame, lattice: Lattice, folds: int = FOLDS, remainder
             F.sum(F.when(F.col("known"), F.col("times")).otherwise(F.lit(0))).alias("more_known"),
             F.sum(F.col("times") * F.col("base")).alias("more_low"),
             F.sum(F.col("times") * F.col("model")).alias("more_high"),
+            F.sum(F.col("times") * F.col("plain")).alias("more_own"),
         )
     )
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
@@ -396,4 +409,5 @@ def score_texts(docs: DataFrame, lattice: Lattice, folds: int = FOLDS, remainder
         F.lit(n).cast("long").alias("train_tokens"),
         plus("low", "more_low").alias("base_score"),
         plus("high", "more_high").alias("score"),
+        plus("own", "more_own").alias("lattice_score"),
     )
