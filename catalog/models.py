@@ -1,7 +1,8 @@
 """Feature assembly, model fits and their metrics over the processed turns.
 
 SQL computes ridge models as well: covariances of the rows, standardised, and their
-system of equations solved step by step. Models of trees are checked by `tests/test_ml.py`.
+system of equations solved step by step. Of models of trees it computes scores and what
+rows say at every node, and what the sums at the leaves of a fitted model have to be.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from turnledger import constants as K
 from turnledger.functions import text as tx
 from turnledger.operators import ml, scoring
 from turnledger.operators.sampling import in_first_part
+from turnledger.operators.tree_table import Node, Trees, node_statistics, node_table
 from turnledger.operators.turns import training_rows
 from turnledger.plans.train import model_rows, train_and_test
 
@@ -233,3 +235,100 @@ def ml_forest_importance(spark, sf):
     with ml.kept(_prompt_rows(spark, sf)) as rows:
         fitted = ml.pipeline(ml.forest(), "output_tokens", K.REQUEST_FEATURE_COLUMNS).fit(rows)
     return I.rounded(ml.feature_importances(spark, fitted, K.REQUEST_FEATURE_COLUMNS))
+
+
+TREES = Trees(
+    features=("char_count", "sentence_count", "avg_word_length", "has_code_block_int"),
+    mean=(120.0, 2.0, 5.0, 0.0),
+    factor=(0.015625, 0.5, 1.0, 1.0),
+    weights=(1.0, 0.1, 0.1),
+    trees=(
+        (Node(1, 0, 0.25), Node(2, 1, -0.5), Node(4, prediction=9.0), Node(5, prediction=17.5),
+         Node(3, 0, 2.0), Node(6, prediction=41.0), Node(7, prediction=160.25)),
+        (Node(1, 2, 0.5), Node(2, prediction=6.0), Node(3, 1, 1.0), Node(6, prediction=-4.5), Node(7, prediction=-11.0)),
+        (Node(1, 3, 0.5), Node(2, 0, -1.0), Node(4, prediction=-3.0), Node(5, prediction=0.5), Node(3, prediction=8.0)),
+    ),
+    boosted=True,
+)
+
+
+def _sql_went(n: Node, right: int) -> str:
+    at = f"({TREES.features[n.feature]}::DOUBLE - {TREES.mean[n.feature]!r}::DOUBLE) * {TREES.factor[n.feature]!r}::DOUBLE"
+    return f"{at} {'>' if right else '<='} {n.threshold!r}::DOUBLE"
+
+
+def _sql_passed(tree: tuple[Node, ...], node: int) -> str:
+    """Whether a row passes a node: all splits above it led there."""
+    by_number = {n.node: n for n in tree}
+    above = [(by_number[node >> k], node >> (k - 1) & 1) for k in range(1, node.bit_length())]
+    return " AND ".join([_sql_went(n, right) for n, right in above]) or "true"
+
+
+def _sql_tree(t: int) -> str:
+    leaves = [n for n in TREES.trees[t] if n.feature is None]
+    cases = " ".join(f"WHEN {_sql_passed(TREES.trees[t], n.node)} THEN {n.prediction!r}::DOUBLE" for n in leaves)
+    return f"{TREES.weights[t]!r}::DOUBLE * CASE {cases} END"
+
+
+def _sql_score(trees: int) -> str:
+    return " + ".join(["0.0::DOUBLE", *[_sql_tree(t) for t in range(trees)]])
+
+
+def _sql_node_rows() -> str:
+    return " UNION ALL ".join(
+        f"""SELECT {t} AS tree, {n.node} AS node, {'token_count::DOUBLE' if t == 0 else f'2 * (token_count - ({_sql_score(t)}))'} AS y
+  FROM features WHERE {_sql_passed(tree, n.node)}"""
+        for t, tree in enumerate(TREES.trees) for n in tree
+    )
+
+
+@query("ml_tree_scores", f"WITH {I.FEATURES} SELECT record_id, turn_index, {I.rnd(_sql_score(len(TREES.trees)))} AS prediction FROM features")
+def ml_tree_scores(spark, sf):
+    """Given trees as one expression over the turns."""
+    rows = training_rows(I.features(spark, sf))
+    return I.rounded(rows.select("record_id", "turn_index", TREES.predict().alias("prediction")))
+
+
+@query("ml_tree_statistics", f"""WITH {I.FEATURES}, at_nodes AS ({_sql_node_rows()}),
+s AS (SELECT tree, node, count(*) AS rows, avg(y) AS mean, var_pop(y) AS variance FROM at_nodes GROUP BY 1, 2),
+c AS (SELECT tree, node // 2 AS node, sum(rows * variance) AS left_over FROM s WHERE node > 1 GROUP BY 1, 2)
+SELECT CAST(s.tree AS INTEGER) AS tree, CAST(s.node AS BIGINT) AS node, s.rows, {I.rnd('s.mean')} AS mean, {I.rnd('s.variance')} AS variance,
+  {I.rnd('s.variance - c.left_over / s.rows')} AS gain FROM s LEFT JOIN c USING (tree, node)""")
+def ml_tree_statistics(spark, sf):
+    """Rows, mean and variance at every node of given trees, and the gain of every split."""
+    return I.rounded(node_statistics(training_rows(I.features(spark, sf)), TREES, "token_count"))
+
+
+# Trees a segment in `ml_boosted_leaves`, whose fits are those of `ml_segment_models`.
+LEAF_TREES = 10
+
+_SQL_OUTPUT_TOKENS = (
+    "greatest(1, len(regexp_split_to_array(prompt, '[.!?]+'))) * 20.0::DOUBLE"
+    f" + len(regexp_extract_all(prompt, '\\b(?:{'|'.join(K.CODE_KEYWORDS)})\\b'))"
+)
+
+
+@query("ml_boosted_leaves", f"""WITH {I.PROMPTS}, rows AS (
+  SELECT {I.sql_segment('prompt')} AS segment, {_SQL_OUTPUT_TOKENS} AS y FROM prompts
+  WHERE prompt IS NOT NULL AND {sql_fraction('doc_id')} < 0.8)
+SELECT segment, CAST(t AS INTEGER) AS tree, count(*) AS rows, {I.rnd('CASE WHEN t = 0 THEN avg(y) ELSE 0 END')} AS mean,
+  0.0::DOUBLE AS leaf_error FROM rows, generate_series(0, {LEAF_TREES - 1}) g(t) GROUP BY segment, t""")
+def ml_boosted_leaves(spark, sf):
+    """What has to hold for boosted trees, whatever their splits: every row comes to one
+    leaf of every tree, the first tree predicts the label's mean over all rows, later ones
+    nothing over all rows, and each leaf predicts the mean of what its rows leave over."""
+    result = []
+    with ml.kept(_prompt_rows(spark, sf)) as rows:
+        train, _ = train_and_test(rows)
+        models = ml.fit_segments(train, "output_tokens", K.REQUEST_FEATURE_COLUMNS, max_iter=LEAF_TREES)
+        for name, model in models.items():
+            trees = Trees.of(model)
+            own = node_statistics(train.filter(F.col("segment") == name), trees, "output_tokens")
+            leaves = node_table(spark, trees).filter("feature IS NULL").join(own, ["tree", "node"])
+            result += leaves.groupBy("tree").agg(
+                F.lit(name).alias("segment"),
+                F.sum("rows").alias("rows"),
+                (F.sum(F.col("rows") * F.col("prediction")) / F.sum("rows")).alias("mean"),
+                F.max(F.abs(F.col("mean") - F.col("prediction"))).alias("leaf_error"),
+            ).select("segment", "tree", "rows", "mean", "leaf_error").collect()
+    return I.rounded(spark.createDataFrame(result, "segment string, tree int, rows long, mean double, leaf_error double"))
