@@ -1,11 +1,14 @@
 import json
+import os
+import shutil
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from catalog.inputs import MODEL
 from turnledger.operators import events as ev, scoring
-from turnledger.sources import event_store as store
+from turnledger.sources import event_commits as commits, event_store as store
 from turnledger.streaming import histogram, ingest, prompts
 
 
@@ -53,16 +56,27 @@ def events(spark, tmp_path):
     return path
 
 
-def test_histogram_snapshot_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("compact_every", [20, 1, 2])
+def test_histogram_snapshot_equals_batch(spark, tmp_path, compact_every):
     path = events(spark, tmp_path)
     batch = spark.read.parquet(path)
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 2).parquet(path)
     aggregates = lambda: [F.count("*").alias("n"), F.sum("value").alias("total")]
     series = histogram.windowed(stream, *aggregates(), bucket="6 hours", watermark="30 days", keys=["kind"])
-    run(histogram.start_snapshot(series, f"{tmp_path}/s", f"{tmp_path}/sm", availableNow=True))
+    with pytest.raises(FileNotFoundError):
+        histogram.read_snapshot(spark, f"{tmp_path}/s", ["kind"])
+    run(histogram.start_snapshot(series, f"{tmp_path}/s", f"{tmp_path}/sm", ["kind"], compact_every=compact_every, availableNow=True))
     want = ev.over_time(batch, *aggregates(), bucket="6 hours", keys=["kind"])
     columns = ["bucket_start", "kind", "n", "total"]
-    assert sorted(spark.read.parquet(f"{tmp_path}/s").select(columns).collect()) == sorted(want.select(columns).collect())
+    snapshot = lambda: sorted(histogram.read_snapshot(spark, f"{tmp_path}/s", ["kind"]).select(columns).collect())
+    assert snapshot() == sorted(want.select(columns).collect())
+    names = [n for n in os.listdir(f"{tmp_path}/s") if not n.startswith(".")]
+    assert any(n.startswith("whole-") for n in names) == (compact_every < 20)
+    # A version that is being written is not part of the table.
+    last = max((n for n in names if n.startswith("changed-")), key=lambda n: int(n.split("-")[1]))
+    shutil.copytree(f"{tmp_path}/s/{last}", f"{tmp_path}/s/changed-99")
+    os.remove(f"{tmp_path}/s/changed-99/_SUCCESS")
+    assert snapshot() == sorted(want.select(columns).collect())
 
 
 def test_append_writes_closed_windows_once(spark, tmp_path):
@@ -108,3 +122,88 @@ def test_ingest_keeps_fields_times_and_bad_lines(spark, tmp_path):
     assert good["2024.01.05"].fields == {"logger": "x.y", "metrics": '{"a":1.5}'} and good["2024.01.07"].value == 2.5
     bad = store.read_index(spark, out, store.CORRUPT_PREFIX).collect()
     assert sorted(r._corrupt_record for r in bad) == sorted(lines[2:4])
+
+
+def line(day, hour, kind):
+    return json.dumps({"timestamp": f"2024-01-{day:02d}T{hour:02d}:00:00Z", "event_type": kind})
+
+
+def test_good_and_bad_lines_from_one_read(spark, tmp_path):
+    feed, out = tmp_path / "feed", f"{tmp_path}/table"
+    feed.mkdir()
+    (feed / "1.json").write_text("\n".join([line(d, h, f"a{d}.{h}") for d in (1, 2, 3) for h in range(8)] + ["{cut", " "]))
+    docs = lambda: ingest.to_documents(ingest.read_event_lines(spark, str(feed)))
+    start = lambda mark: ingest.start_line_ingest(docs(), out, f"{tmp_path}/{mark}", availableNow=True)
+    run(start("m"))
+    (feed / "2.json").write_text("\n".join([line(3, 9, "late"), line(4, 1, "new")]))
+    run(start("m"))
+    run(start("m"))
+    kinds = lambda: sorted(r.event_type for r in commits.read_committed(spark, out, "logs").collect())
+    want = sorted([f"a{d}.{h}" for d in (1, 2, 3) for h in range(8)] + ["late", "new"])
+    assert kinds() == want
+    bad = commits.read_committed(spark, out, store.CORRUPT_PREFIX).collect()
+    assert [r._corrupt_record for r in bad] == ["{cut"]
+    for folder in (tmp_path / "table" / "index_prefix=logs").glob("index_date=*/commit=*"):
+        assert len(list(folder.glob("part-*"))) == 1
+    # A stream that has lost its checkpoint repeats its first commit: nothing is added.
+    run(start("other"))
+    assert kinds() == want
+    both = commits.read_committed(spark, out, "logs", store.CORRUPT_PREFIX)
+    assert both.count() == len(want) + 1
+    days = {(r.index_prefix, r.index_date): r.docs for r in commits.docs_per_day(commits.manifest(spark, out)).collect()}
+    assert [days["logs", f"2024.01.0{d}"] for d in (1, 2, 3, 4)] == [8, 8, 9, 1]
+    # Days expire at once, for the manifest and for readers.
+    assert store.drop_expired(spark, out, "logs", 1) == ["2024.01.01", "2024.01.02"]
+    assert kinds() == sorted(k for k in want if not k.startswith(("a1", "a2")))
+    assert store.index_days(spark, out, "logs") == ["2024.01.03", "2024.01.04"]
+
+
+def test_unfinished_commit_is_not_read_and_may_be_repeated(spark, tmp_path):
+    out = f"{tmp_path}/table"
+    rows = spark.createDataFrame([(1, "2024-01-05"), (2, "2024-01-06"), (3, None)], "i int, day string").select(
+        "i", F.to_timestamp("day").alias("@timestamp"), F.date_format(F.to_date("day"), "yyyy.MM.dd").alias("index_date"),
+        F.lit("logs").alias("index_prefix"))
+    numbers = lambda **days: sorted(r.i for r in commits.read_committed(spark, out, "logs", schema=rows.select("i").schema, **days).collect())
+    assert numbers() == [] and commits.manifest(spark, out).count() == 0
+    commits.commit(rows.limit(0), out, "b-0")
+    assert numbers() == []
+    commits.commit(rows, out, "b-1")
+    commits.commit(rows.withColumn("i", F.col("i") + 10), out, "b-2")
+    shutil.rmtree(f"{out}/_manifest/b-2")
+    assert numbers() == [1, 2, 3]
+    commits.commit(rows.withColumn("i", F.col("i") + 10), out, "b-2")
+    commits.commit(rows, out, "b-1")
+    assert numbers() == [1, 2, 3, 11, 12, 13]
+    assert numbers(first_day="2024.01.06", last_day="2024.01.06") == [2, 12]
+    files = commits.read_committed(spark, out, "logs", first_day="2024.01.06", last_day="2024.01.31").inputFiles()
+    documents = [f for f in files if "_manifest" not in f]
+    assert len(documents) == 2 and all("2024.01.06" in f for f in documents)
+
+
+def test_last_days_of_commits(spark, tmp_path):
+    out = f"{tmp_path}/table"
+    rows = spark.range(48).select("id", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 6 * 3600).alias("@timestamp"))
+    docs = rows.withColumns({"index_date": store.index_day(rows, "@timestamp"), "index_prefix": F.lit("logs")})
+    commits.commit(docs.filter("id < 20"), out, "b-0")
+    commits.commit(docs.filter("id >= 20"), out, "b-1")
+    got = commits.last_days(spark, out, "logs", 3)
+    assert sorted(r.id for r in got.collect()) == list(range(35, 48))
+    assert commits.last_days(spark, out, "none", 3, rows.schema).count() == 0
+
+
+def test_days_of_a_stream_expire_while_it_runs_on(spark, tmp_path):
+    feed, out = tmp_path / "feed", f"{tmp_path}/table"
+    feed.mkdir()
+    (feed / "1.json").write_text("\n".join(line(d, 0, str(d)) for d in range(1, 8)))
+    docs = lambda: ingest.to_documents(ingest.read_event_lines(spark, str(feed)))
+    start = lambda: ingest.start_ingest(docs(), out, f"{tmp_path}/m", availableNow=True)
+    run(start())
+    days = lambda: sorted(int(r.event_type) for r in store.read_index(spark, out, "logs").collect())
+    assert store.drop_expired(spark, out, "logs", 2) == [f"2024.01.0{d}" for d in range(1, 5)]
+    assert days() == [5, 6, 7]
+    (feed / "2.json").write_text("\n".join([line(2, 0, "2"), line(9, 0, "9")]))
+    run(start())
+    assert days() == [5, 6, 7, 9]
+    assert store.drop_expired(spark, out, "logs", 2) == ["2024.01.05", "2024.01.06"] and days() == [7, 9]
+    # Marks never go back.
+    assert store.drop_expired(spark, out, "logs", 30) == [] and days() == [7, 9]

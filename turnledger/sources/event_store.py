@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from turnledger.operators.normalize import dense_positions
+from turnledger.storage import names_in, remove, touch
 
 DAY_FORMAT = "yyyy.MM.dd"
+DAY_OF_FOLDER = "%Y.%m.%d"
 CORRUPT_PREFIX = "corrupt"
 UNKNOWN_DAY = "unknown"
 # Lines that are counted together when a bulk of them is appended.
@@ -130,7 +132,8 @@ def chunk_counts(lines: DataFrame, schema: StructType, order: str,
 
 def read_index(spark: SparkSession, root: str, prefix: str, first_day: str | None = None,
                last_day: str | None = None, schema: StructType | None = None) -> DataFrame:
-    """All daily indices of a prefix, or those of a range of days (`yyyy.MM.dd`).
+    """All daily indices of a prefix, or those of a range of days (`yyyy.MM.dd`), without
+    the days that have expired.
 
     Only folders of the prefix are listed. Documents of different kinds have different
     fields: without a schema the fields of all files are merged, which reads every
@@ -139,47 +142,68 @@ def read_index(spark: SparkSession, root: str, prefix: str, first_day: str | Non
     reader = spark.read.option("basePath", root)
     reader = reader.option("mergeSchema", True) if schema is None else reader.schema(schema)
     docs = reader.parquet(f"{root.rstrip('/')}/index_prefix={prefix}")
-    if first_day is not None:
-        docs = docs.filter(F.col("index_date") >= first_day)
+    first = max((d for d in (first_day, kept_from(spark, root, prefix)) if d), default=None)
+    if first is not None:
+        docs = docs.filter(F.col("index_date") >= first)
     if last_day is not None:
         docs = docs.filter(F.col("index_date") <= last_day)
     return docs
 
 
+def _marks(root: str, prefix: str) -> str:
+    return f"{root.rstrip('/')}/_retention/index_prefix={prefix}"
+
+
+def kept_from(spark: SparkSession, root: str, prefix: str) -> str | None:
+    """The first day of a prefix that has not expired, null if none ever has."""
+    return max(names_in(spark, _marks(root, prefix)), default=None)
+
+
 def index_days(spark: SparkSession, root: str, prefix: str) -> list[str]:
-    """Days of the daily indices of a prefix, in order, from the folder listing alone."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/index_prefix={prefix}")
-    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not fs.exists(folder):
-        return []
-    names = [status.getPath().getName() for status in fs.listStatus(folder)]
+    """Days of the daily indices of a prefix that have not expired, in order, from folder
+    listings alone."""
+    first = kept_from(spark, root, prefix) or ""
+    return [d for d in _days_of_folders(spark, root, prefix) if d >= first]
+
+
+def _days_of_folders(spark: SparkSession, root: str, prefix: str) -> list[str]:
+    names = names_in(spark, f"{root.rstrip('/')}/index_prefix={prefix}")
     days = [n.removeprefix("index_date=") for n in names if n.startswith("index_date=")]
     return sorted(d for d in days if d != UNKNOWN_DAY)
 
 
 def drop_expired(spark: SparkSession, root: str, prefix: str, days: int,
                  as_of: date | None = None) -> list[str]:
-    """Remove the daily indices of a prefix older than `days` days before `as_of` (its
-    latest day if not given) and return their days. Documents without a day stay.
+    """Let the daily indices of a prefix older than `days` days before `as_of` (its latest
+    day if not given) expire and return their days. Documents without a day stay.
 
-    Only for prefixes that batch jobs fill: the commit log of a stream would still name
-    the files.
+    A mark beside the table hides them from readers at once, as a filter on folders; marks
+    never go back. Then their folders are removed, but not those whose files a commit log
+    of Spark names (`ingest.start_ingest`): they stay hidden, and the stream may go on.
     """
     present = index_days(spark, root, prefix)
     if not present:
         return []
-    last = as_of or datetime.strptime(present[-1], "%Y.%m.%d").date()
-    first_kept = (last - timedelta(days=days)).strftime("%Y.%m.%d")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/index_prefix={prefix}")
-    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_spark_metadata")):
-        raise ValueError(f"a stream writes the indices of {prefix}")
+    last = as_of or datetime.strptime(present[-1], DAY_OF_FOLDER).date()
+    first_kept = (last - timedelta(days=days)).strftime(DAY_OF_FOLDER)
     expired = [d for d in present if d < first_kept]
-    for day in expired:
-        fs.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, f"index_date={day}"), True)
+    if expired:
+        touch(spark, f"{_marks(root, prefix)}/{first_kept}")
+    remove_expired(spark, root, prefix)
     return expired
 
 
+def remove_expired(spark: SparkSession, root: str, prefix: str) -> None:
+    """Remove folders of expired days, also those that late documents have filled again."""
+    folder = f"{root.rstrip('/')}/index_prefix={prefix}"
+    first = kept_from(spark, root, prefix)
+    if first is None or "_spark_metadata" in names_in(spark, folder):
+        return
+    for day in _days_of_folders(spark, root, prefix):
+        if day < first:
+            remove(spark, f"{folder}/index_date={day}")
+
+
 def docs_per_index(docs: DataFrame) -> DataFrame:
     """Documents per daily index, sorted by index name."""
     return (

@@ -39,3 +39,23 @@ def _remove(spark: SparkSession, path: str) -> None:
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder; nothing is created or replaced."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, in order; none for a folder that is not there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(folder):
+        return []
+    return sorted(status.getPath().getName() for status in fs.listStatus(folder))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file, also where there is one already."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(file, True).close()

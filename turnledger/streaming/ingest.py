@@ -7,7 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from turnledger.schemas import EVENT_LINE
-from turnledger.sources.event_store import event_time, index_day, parse_lines
+from turnledger.sources.event_commits import commit
+from turnledger.sources.event_store import CORRUPT_PREFIX, event_time, index_day, parse_lines
 
 AT = "@timestamp"
 
@@ -70,3 +71,27 @@ def start_ingest(docs: DataFrame, root: str, checkpoint: str, index_prefix: str
         .trigger(**(trigger or {"processingTime": "1 minute"}))
         .start()
     )
+
+
+def start_line_ingest(docs: DataFrame, root: str, checkpoint: str, index_prefix: str = "logs",
+                      name: str | None = None, **trigger) -> StreamingQuery:
+    """Store good lines under `index_prefix` and lines that do not fit under
+    `event_store.CORRUPT_PREFIX`, from one read of the feed.
+
+    Every trigger is one commit of `event_commits`: its lines are brought together by day,
+    readers (`event_commits.read_committed`) see all of them or none, and a trigger that is
+    repeated after a failure stores nothing twice. Commits are named by `name`, the prefix
+    if not given, and the number of the trigger: no two streams into one table may have the
+    same name. Times of arrival are those of the trigger, so a repetition brings the same
+    rows.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        prefix = F.when(F.col("_corrupt_record").isNotNull(), CORRUPT_PREFIX).otherwise(index_prefix)
+        commit(batch.withColumn("index_prefix", prefix), root, f"{name or index_prefix}-{batch_id}", AT)
+
+    return (
+        docs.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"processingTime": "1 minute"}))
+        .start()
+    )
