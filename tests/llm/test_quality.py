@@ -66,3 +66,36 @@ def test_odd_rows_and_empty_tables(spark):
     blank = quality.fit(df, labels.limit(0))
     assert {r.score for r in quality.score_quality(df, blank).collect()} == {0.5}
     assert quality.score_quality(df.limit(0), quality.fit(df.limit(0), labels)).collect() == []
+
+
+def test_one_row_of_each_id_is_drawn(spark):
+    """A third of all rows under one id, some of them equal: a row counts, the same one
+    whatever the partitions."""
+    rows = [(7, f"text {i % 60} of the crowd") for i in range(1500)] + [(i, f"plain words {i}") for i in range(100, 3100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = spark.createDataFrame([(7, True), (7, False), (150, False), (4000, True)], "doc_id long, positive boolean")
+    draw = lambda parts: {
+        (r.doc_id, r.positive): bytes(r.vector)
+        for r in quality.drawn_vectors(df.repartition(parts), wanted).collect()
+    }
+    got = draw(1)
+    assert set(got) == {(7, True), (7, False), (150, False)} and quality.drawn_vectors(df, wanted).count() == 3
+    assert got == draw(5) == draw(8) and got[7, True] == got[7, False]
+    first = df.filter("doc_id = 7").orderBy(F.xxhash64("text")).first().text
+    assert got[7, True] == quality.features(first).astype(np.float16).tobytes()
+
+
+def test_features_against_plain_counts():
+    for text in ("", "a", "The cat sat. The cat sat!", "é 日本 é"):
+        data = b"  " + text.encode() + b"  "
+        counts = [0] * quality.FEATURES
+        for a, b, c in zip(data, data[1:], data[2:]):
+            counts[((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 21] += 1
+        want = np.sqrt(np.array(counts) / sum(counts))
+        got = quality.features(text)
+        assert np.allclose(got[: quality.FEATURES], want, atol=1e-6) and np.linalg.norm(want) == pytest.approx(1)
+    words = "one two two three one two".split()
+    text = " ".join(words)
+    again, seen = 1 / 6, 1 - 3 / 6
+    level = lambda share: [0.1 * (share >= k / 10) for k in range(1, 11)]
+    assert quality.repetition(text) == pytest.approx(level(again) + level(seen) + level(seen) + level(0.0))

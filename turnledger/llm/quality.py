@@ -151,28 +151,48 @@ def _sample(ids: DataFrame, n: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(n)
 
 
+def drawn_vectors(learn: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, positive, vector): one row of `learn` for each row of `wanted`, whatever
+    rows share an id. Of several texts under an id the one with the smallest hash counts,
+    so the choice does not depend on partitions.
+
+    Tasks keep one vector per wanted row, at most 2 * sample of them, and only these are
+    shuffled.
+    """
+    def run(batches):
+        least: dict[tuple[int, bool], tuple[int, bytes]] = {}
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("doc_id", "positive", "hash", "text"))
+            for doc_id, positive, text_hash, text in zip(*columns):
+                known = least.get((doc_id, positive))
+                if known is None or text_hash < known[0]:
+                    least[doc_id, positive] = text_hash, features(text).astype(np.float16).tobytes()
+        keys, found = zip(*least), zip(*least.values())
+        if least:
+            arrays = [*(pa.array(k) for k in keys), *(pa.array(f) for f in found)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "positive", "hash", "vector"])
+
+    # At most 2 * sample ids, so the texts stay where they are.
+    rows = learn.join(F.broadcast(wanted), "doc_id").select(
+        "doc_id", "positive", F.xxhash64("text").alias("hash"), "text"
+    )
+    per_task = map_batches(rows, run, "doc_id long, positive boolean, hash long, vector binary")
+    picked = per_task.groupBy("doc_id", "positive").agg(F.min(F.struct("hash", "vector")).alias("one"))
+    return picked.select("doc_id", "positive", "one.vector")
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = FOLDS, sample: int = SAMPLE,
         prior: float | None = None) -> QualityModel:
     """Fit on documents out of the held-out fold: at most `sample` trusted positives and
-    `sample` unlabelled documents. Without either the model scores all texts 0.5."""
+    `sample` unlabelled documents, one row each. Without either the model scores all texts
+    0.5."""
     learn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     learn = learn.filter(crc_fold("doc_id", folds) != 0)
     ids = learn.select("doc_id").distinct()
     wanted = _sample(trusted(labels).join(ids, "doc_id", "left_semi"), sample).withColumn(
         "positive", F.lit(True)
     ).unionByName(_sample(ids, sample).withColumn("positive", F.lit(False)))
-
-    def run(batches):
-        for batch in batches:
-            vectors = [features(t).astype(np.float16).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("positive"), pa.array(vectors, pa.binary())],
-                names=["doc_id", "positive", "vector"],
-            )
-
-    # At most 2 * sample ids, so the texts stay where they are.
-    rows = learn.join(F.broadcast(wanted), "doc_id")
-    drawn = map_batches(rows, run, "doc_id long, positive boolean, vector binary").toArrow()
+    drawn = drawn_vectors(learn, wanted).toArrow()
     if not drawn.num_rows:
         return QualityModel(np.zeros(FEATURES + REPETITION), 0.0, prior or 0.5)
     drawn = drawn.sort_by([("positive", "ascending"), ("doc_id", "ascending"), ("vector", "ascending")])
@@ -211,7 +231,11 @@ def score_quality(docs: DataFrame, model: QualityModel, folds: int = FOLDS,
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs`, all columns, that score at least `threshold`."""
+    """The rows of `docs`, all columns, that score at least `threshold`.
+
+    Null texts score like empty ones, repeated rows stay or go together, an empty table
+    gives no row, and other columns, however they are named, are kept as they are.
+    """
     bounded_batches(docs.sparkSession)
     names = [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.withColumn("__llm_score", scorer(model)(text_or_empty()))
