@@ -19,11 +19,12 @@ def _finish(stream: StreamingQuery) -> None:
 
 
 def _table_stream(spark: SparkSession, sf: str, name: str):
-    """A table as a stream of its Parquet files."""
+    """A table as a stream of its Parquet files, be it one file or a folder of files.
+
+    A stream takes a plain path for a folder; a pattern, here of one name, may be either.
+    """
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-    )
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("stream_event_ingest", """SELECT 'logs-' || strftime(ts, '%Y.%m.%d') AS index_name, event_type, count(*) AS docs,

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from catalog.inputs import MODEL
 from turnledger.operators import events as ev, scoring
 from turnledger.sources import event_commits as commits, event_store as store
@@ -207,3 +208,32 @@ def test_days_of_a_stream_expire_while_it_runs_on(spark, tmp_path):
     assert store.drop_expired(spark, out, "logs", 2) == ["2024.01.05", "2024.01.06"] and days() == [7, 9]
     # Marks never go back.
     assert store.drop_expired(spark, out, "logs", 30) == [] and days() == [7, 9]
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_tables_of_one_file_and_folders_of_files_are_streams(spark, tmp_path, folder):
+    """A table beside them, whose files must not be read with theirs, is there as well."""
+    sf = f"{tmp_path}/sf"
+    texts = [(i, f"What is word {i}? " * i) for i in range(60)] + [(None, None)]
+    times = [(datetime(2024, 1, 1) + timedelta(hours=i), "ab"[i % 2], i / 2) for i in range(60)]
+    tables = {
+        "documents": spark.createDataFrame(texts, "doc_id long, text string"),
+        "events": spark.createDataFrame(times, "ts timestamp_ntz, event_type string, value double"),
+        "labels": spark.createDataFrame([(1, "b")], "doc_id long, text string"),
+    }
+    for name, rows in tables.items():
+        if folder:
+            rows.repartition(3).write.parquet(f"{sf}/{name}.parquet")
+        else:
+            rows.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+            os.makedirs(sf, exist_ok=True)
+            shutil.copy(next((tmp_path / name).glob("part-*.parquet")), f"{sf}/{name}.parquet")
+    queries = entry.queries()
+    columns = ["doc_id", "input_tokens", "output_tokens", "estimated_cost", "question_flag"]
+    want = queries["score_prompts"](spark, sf).select(columns)
+    got = queries["stream_score_prompts"](spark, sf)
+    assert got.columns == columns and got.count() == 61
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert queries["stream_event_histogram"](spark, sf).agg(F.sum("docs")).collect() == [(60,)]
+    # The last day is still open, and so is the day whose end is less than an hour ago.
+    assert queries["stream_event_closed_windows"](spark, sf).agg(F.sum("docs")).collect() == [(48,)]
