@@ -197,12 +197,13 @@ SELECT index_date, count(*) AS docs, CAST(sum(prompt_chars) AS BIGINT) AS prompt
   CAST(sum(optimized_prompt_chars) AS BIGINT) AS optimized_prompt_chars, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS total_tokens
 FROM documented GROUP BY 1""")
 def event_prediction_documents(spark, sf):
-    """Every scored prompt as a document of the event table, one hour after the other."""
+    """Every scored prompt as a document of the event table, one hour after the other: no
+    more than 24 a day, so that they are stored by year."""
     at = F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, doc_id)")
     scored = scoring.score_prompts(I.prompts(spark, sf), I.MODEL).withColumn("ts", at)
     docs = ev.prediction_documents(scored, "prompt", "ridge_token_count")
     root = staging_path(spark, "predictions")
-    store.append(store.documents(docs, "metrics"), root)
+    store.append(store.documents(docs, "metrics"), root, by_year=True)
     return (
         store.read_index(spark, root, "metrics")
         .groupBy("index_date")

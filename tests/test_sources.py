@@ -270,3 +270,37 @@ def test_what_is_no_array_is_refused(spark, tmp_path, text):
     (tmp_path / "x.json").write_text(text or " ")
     with pytest.raises(ValueError, match="x.json"):
         array_elements(spark, f"{tmp_path}/x.json")
+
+
+def test_thin_days_share_a_folder_per_year(spark, tmp_path):
+    """800 days and a document without one: a few folders instead of 801, the same answers."""
+    at = F.expr("timestamp_ntz'2022-12-31 12:00:00' + make_interval(0, 0, 0, id)")
+    rows = spark.range(800).select("id", F.when(F.col("id") != 5, at).alias("ts"))
+    docs = store.documents(rows, "metrics").withColumn("index_date", F.coalesce("index_date", F.lit(store.UNKNOWN_DAY)))
+    by_day, by_year = f"{tmp_path}/d", f"{tmp_path}/y"
+    store.append(docs, by_day)
+    store.append(docs, by_year, by_year=True)
+    assert len(list((tmp_path / "y").rglob("part-*.parquet"))) <= 20
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("absent", T.StringType())])
+
+    def same(first=None, last=None):
+        for given in (None, schema):
+            want, got = (store.read_index(spark, r, "metrics", first, last, given) for r in (by_day, by_year))
+            assert got.columns == want.columns and got.dtypes == want.dtypes
+            assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+        assert store.index_days(spark, by_day, "metrics") == store.index_days(spark, by_year, "metrics")
+        return want.count()
+
+    assert same() == 800 and same("2023.12.30", "2024.01.02") == 4 and same(last="2022.12.31") == 1
+    files = store.read_index(spark, by_year, "metrics", "2023.12.30", "2023.12.31")
+    assert "PartitionFilters: [isnotnull(index_year" in files._jdf.queryExecution().executedPlan().toString()
+    for root in (by_day, by_year):
+        assert len(store.drop_expired(spark, root, "metrics", 30)) == 768
+    assert same() == 32
+    assert [p.name for p in (tmp_path / "y" / "_years" / "index_prefix=metrics").glob("index_year=20*")] == ["index_year=2025"]
+    # A prefix may have both.
+    late = store.documents(rows.filter("id = 799").withColumn("more", F.lit(1)), "metrics")
+    store.append(late, by_year)
+    both = store.read_index(spark, by_year, "metrics")
+    assert both.count() == 33 and both.columns[-2:] == ["index_prefix", "index_date"]
+    assert sorted(r.more for r in both.filter("id = 799").collect() if r.more) == [1]

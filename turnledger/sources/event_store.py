@@ -3,13 +3,19 @@
 Layout: `<root>/index_prefix=<prefix>/index_date=<yyyy.MM.dd>/*.parquet`. One index
 of the document store this replaces is one partition here; reading a prefix or a
 range of days lists only the matching folders.
+
+Where days hold few documents, a file for each of very many days costs far more than what
+is in it. Such documents may be appended by year instead, to
+`<root>/_years/index_prefix=<prefix>/index_year=<yyyy>/*.parquet`, with their day as a
+column and in its order. Everything here takes both layouts, also of one prefix; what
+reads folders below the root by itself sees only the daily ones.
 """
 
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, DataFrameReader, Observation, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from turnledger.operators.normalize import dense_positions
@@ -64,18 +70,29 @@ def documents(events: DataFrame, index_prefix: Column | str, ts: str = "ts",
     )
 
 
-def append(docs: DataFrame, root: str) -> None:
-    """Append documents to their daily indices.
+def append(docs: DataFrame, root: str, by_year: bool = False) -> None:
+    """Append documents to their daily indices, each in a folder of its own or, for days
+    of few documents, `by_year`.
 
-    The rebalance brings rows of one index together, so that a wide job does not
-    leave a file per task and day; adaptive execution splits large days again.
+    The rebalance brings rows of one folder together, so that a wide job does not
+    leave a file per task and day; adaptive execution splits large ones again.
     """
-    (
-        docs.hint("rebalance", "index_prefix", "index_date")
-        .write.mode("append")
-        .partitionBy("index_prefix", "index_date")
-        .parquet(root)
-    )
+    if by_year:
+        docs = docs.withColumn("index_year", _year("index_date"))
+    folder = ["index_prefix", "index_year" if by_year else "index_date"]
+    dealt = docs.hint("rebalance", *folder)
+    if by_year:
+        dealt = dealt.sortWithinPartitions(*folder, "index_date")
+    dealt.write.mode("append").partitionBy(*folder).parquet(_years(root) if by_year else root)
+
+
+def _years(root: str) -> str:
+    return f"{root.rstrip('/')}/_years"
+
+
+def _year(day: str) -> Column:
+    """The year of a day `yyyy.MM.dd`; `UNKNOWN_DAY` is a year of its own."""
+    return F.substring_index(F.col(day), ".", 1)
 
 
 def parse_lines(lines: DataFrame, schema: StructType, column: str = "value",
@@ -139,14 +156,36 @@ def read_index(spark: SparkSession, root: str, prefix: str, first_day: str | Non
     fields: without a schema the fields of all files are merged, which reads every
     footer once; with one, missing fields are null and nothing has to be merged.
     """
-    reader = spark.read.option("basePath", root)
-    reader = reader.option("mergeSchema", True) if schema is None else reader.schema(schema)
-    docs = reader.parquet(f"{root.rstrip('/')}/index_prefix={prefix}")
     first = max((d for d in (first_day, kept_from(spark, root, prefix)) if d), default=None)
+    by_day, by_year = (f"{r.rstrip('/')}/index_prefix={prefix}" for r in (root, _years(root)))
+    found = []
+    in_years = bool(names_in(spark, by_year))
+    if not in_years or names_in(spark, by_day):
+        found.append(_in_days(_reader(spark, root, schema).parquet(by_day), "index_date", first, last_day))
+    if in_years:
+        full = schema and StructType([*schema.fields, StructField("index_date", StringType())])
+        docs = _reader(spark, _years(root), full).parquet(by_year)
+        year = lambda day: day and day.split(".")[0]
+        docs = docs.withColumn("index_year", F.col("index_year").cast("string"))
+        docs = _in_days(_in_days(docs, "index_year", year(first), year(last_day)), "index_date", first, last_day)
+        index = ["index_prefix", "index_date"]
+        found.append(docs.select(*[f"`{c}`" for c in docs.columns if c not in [*index, "index_year"]], *index))
+    if len(found) == 1:
+        return found[0]
+    both = found[0].unionByName(found[1], allowMissingColumns=True)
+    return both.select(*[f"`{c}`" for c in both.columns if c not in index], *index)
+
+
+def _reader(spark: SparkSession, base: str, schema: StructType | None) -> DataFrameReader:
+    reader = spark.read.option("basePath", base)
+    return reader.option("mergeSchema", True) if schema is None else reader.schema(schema)
+
+
+def _in_days(docs: DataFrame, column: str, first: str | None, last: str | None) -> DataFrame:
     if first is not None:
-        docs = docs.filter(F.col("index_date") >= first)
-    if last_day is not None:
-        docs = docs.filter(F.col("index_date") <= last_day)
+        docs = docs.filter(F.col(column) >= first)
+    if last is not None:
+        docs = docs.filter(F.col(column) <= last)
     return docs
 
 
@@ -161,9 +200,14 @@ def kept_from(spark: SparkSession, root: str, prefix: str) -> str | None:
 
 def index_days(spark: SparkSession, root: str, prefix: str) -> list[str]:
     """Days of the daily indices of a prefix that have not expired, in order, from folder
-    listings alone."""
+    listings alone; of documents by year from their days."""
     first = kept_from(spark, root, prefix) or ""
-    return [d for d in _days_of_folders(spark, root, prefix) if d >= first]
+    days = set(_days_of_folders(spark, root, prefix))
+    by_year = f"{_years(root)}/index_prefix={prefix}"
+    if names_in(spark, by_year):
+        stored = spark.read.schema("index_date string").parquet(by_year).select("index_date").distinct()
+        days |= {r.index_date for r in stored.collect()} - {None, UNKNOWN_DAY}
+    return sorted(d for d in days if d >= first)
 
 
 def _days_of_folders(spark: SparkSession, root: str, prefix: str) -> list[str]:
@@ -194,10 +238,18 @@ def drop_expired(spark: SparkSession, root: str, prefix: str, days: int,
 
 
 def remove_expired(spark: SparkSession, root: str, prefix: str) -> None:
-    """Remove folders of expired days, also those that late documents have filled again."""
+    """Remove folders of expired days and years, also those that late documents have filled
+    again. Expired days of the first year that is kept stay hidden in its folder."""
     folder = f"{root.rstrip('/')}/index_prefix={prefix}"
     first = kept_from(spark, root, prefix)
-    if first is None or "_spark_metadata" in names_in(spark, folder):
+    if first is None:
+        return
+    by_year = f"{_years(root)}/index_prefix={prefix}"
+    for name in names_in(spark, by_year):
+        year = name.removeprefix("index_year=")
+        if year.isdigit() and year < first.split(".")[0]:
+            remove(spark, f"{by_year}/{name}")
+    if "_spark_metadata" in names_in(spark, folder):
         return
     for day in _days_of_folders(spark, root, prefix):
         if day < first:
