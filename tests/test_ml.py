@@ -99,6 +99,33 @@ def test_gbt_is_tried_only_below_the_threshold(spark, rows):
     assert best.metrics["r2"] == max(f.metrics["r2"] for f in tried)
 
 
+def test_trees_are_fitted_in_few_partitions(spark, rows, monkeypatch):
+    """Every level of every tree sends the driver a result of each partition."""
+    part, test = train_and_test(model_rows(rows.repartition(40)))
+    fit, trained = ml.fit, {}
+
+    def watched(name, regressor, train, *others):
+        trained[name] = train.rdd.getNumPartitions(), train.count()
+        return fit(name, regressor, train, *others)
+
+    monkeypatch.setattr(ml, "fit", watched)
+    count = part.count()
+    select = lambda: ml.select_model(part, test, K.NO_LEAK_COLUMNS, threshold=1.1, gbt_iterations=1)
+    select()
+    assert trained["gbt_token_count"] == (1, count)
+    # More rows than one partition should hold: the cores of the session, here 4, and no more.
+    monkeypatch.setattr(ml, "FIT_ROWS", 10)
+    monkeypatch.setattr(ml, "MOST_FIT_ROWS", 200)
+    select()
+    assert trained["gbt_token_count"] == (4, count)
+    # Beyond them as few as hold the rows, evenly.
+    monkeypatch.setattr(ml, "MOST_FIT_ROWS", 60)
+    dealt = ml.few_partitions(part, count, ordered=True)
+    sizes = [r[0] for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).select("n").collect()]
+    assert len(sizes) == -(-count // 60) and max(sizes) <= 80
+    assert dealt.exceptAll(part).count() == 0 and part.exceptAll(dealt).count() == 0
+
+
 def test_segments_and_importances(spark, rows):
     data = T.training_rows(rows).withColumn(
         "segment", F.when(F.col("has_code_block"), "code").otherwise("general")

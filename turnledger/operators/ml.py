@@ -142,33 +142,50 @@ def cross_validate(train: DataFrame, test: DataFrame, label: str = K.LABEL_COLUM
     return Fitted(name, "CrossValidatedRidge", label, best.model, best.metrics, best.seconds + spent, extra)
 
 
+# Rows of a narrow table that a partition should hold while trees are fitted on it: every
+# level of every tree is a job with a task for each partition, and the driver gets a result
+# of each task.
+FIT_ROWS = 50_000
+# Rows that it should hold where there are more such partitions than cores.
+MOST_FIT_ROWS = 1_000_000
+
+
+def few_partitions(rows: DataFrame, count: int, ordered: bool = False) -> DataFrame:
+    """`count` kept rows in no more partitions than they fill: one for each `FIT_ROWS`, and
+    beyond the cores of the session one for each `MOST_FIT_ROWS`. Tables in fewer stay as
+    they are.
+
+    Partitions are joined where they are kept, without a shuffle. `ordered` rows are shuffled
+    evenly and sorted inside of a partition instead: which of them a fit samples for its
+    thresholds does then not depend on where they are kept.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    wanted = max(1, -(-count // MOST_FIT_ROWS), min(cores, -(-count // FIT_ROWS)))
+    if wanted >= rows.rdd.getNumPartitions():
+        return rows
+    if ordered:
+        return rows.repartition(wanted).sortWithinPartitions(*rows.columns)
+    return rows.coalesce(wanted)
+
+
 def select_model(train: DataFrame, test: DataFrame, features: Sequence[str] = K.FEATURE_COLUMNS,
                  threshold: float = K.RIDGE_R2_THRESHOLD, label: str = K.LABEL_COLUMN,
                  gbt_iterations: int = 50) -> tuple[Fitted, list[Fitted]]:
     """(best, all): ridge, and boosted trees as well if the r2 of ridge is below the
-    threshold; boosted trees win only with a higher r2."""
+    threshold; boosted trees win only with a higher r2. Give kept rows: the trees are fitted
+    on narrow rows of their own, in few partitions."""
     first = fit(f"ridge_{label}", ridge(), train, test, label, features)
     tried, best = [first], first
     if first.metrics["r2"] is None or first.metrics["r2"] < threshold:
-        second = fit(f"gbt_{label}", boosted_trees(gbt_iterations), train, test, label, features)
+        narrow = train.select(*features, label)
+        with kept(few_partitions(narrow, narrow.count(), ordered=True)) as own:
+            second = fit(f"gbt_{label}", boosted_trees(gbt_iterations), own, test, label, features)
         tried.append(second)
         if best.metrics["r2"] is None or (second.metrics["r2"] or 0.0) > best.metrics["r2"]:
             best = second
     return best, tried
 
 
-# Rows of a narrow table that a partition should hold while trees are fitted on it: every
-# level of every tree is a job with a task for each partition.
-FIT_ROWS = 50_000
-
-
-def few_partitions(rows: DataFrame, count: int) -> DataFrame:
-    """`count` kept rows in no more partitions than they fill, without a shuffle; tables
-    that fill their partitions stay as they are."""
-    wanted = -(-count // FIT_ROWS)
-    return rows if wanted >= rows.rdd.getNumPartitions() else rows.coalesce(max(1, wanted))
-
-
 def fit_segments(train: DataFrame, label: str, features: Sequence[str],
                  segments: Sequence[str] = tuple(K.SEGMENT_BASELINE), segment: str = "segment",
                  max_iter: int = 50) -> dict[str, PipelineModel]:
